@@ -121,7 +121,7 @@ def look_up(rows: DataFrame, history: DataFrame, shards: int, spread: dict[int,
     none = lambda kind: F.lit(None).cast(kind)
     left = rows.select(shard_of(shards).alias("shard"), "*").withColumn("salt", F.pmod(F.xxhash64("_row"), copies).cast("int"))
     left = left.select("shard", "salt", F.lit(1).alias("kind"), "_row", "_id", "_len", "_digest", *(none(t).alias(c) for c, t in (("keys", "int"), ("seeds", "binary"), ("slots", "binary"), ("ids", f"array<{id_type}>"), ("lens", "binary"), ("rows", "binary"), ("sizes", "binary"))))
-    right = history.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)).cast("int"))
+    right = history.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     right = right.select("shard", "salt", F.lit(0).alias("kind"), none("long").alias("_row"), none(id_type).alias("_id"), none("int").alias("_len"), none("binary").alias("_digest"), "keys", "seeds", "slots", "ids", "lens", "rows", "sizes")
     dealt = left.unionByName(right).repartition(shuffle_parts(rows.sparkSession), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     id_pa = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
