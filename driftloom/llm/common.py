@@ -89,11 +89,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64, by doubling."""
     out = np.ones(max(n, 1), np.uint64)
-    have, step = 1, np.uint64(base & 0xFFFFFFFFFFFFFFFF)
+    have, step = 1, base & 0xFFFFFFFFFFFFFFFF
     while have < n:
         more = min(have, n - have)
-        out[have : have + more] = out[:more] * step
-        have, step = have + more, step * step
+        out[have : have + more] = out[:more] * np.uint64(step)
+        have, step = have + more, step * step & 0xFFFFFFFFFFFFFFFF
     return out[:n]
 
 
