@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower
+from .common import SPACES, ascii_lower, materialise
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,14 +20,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     one copy of each text travel."""
     own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
     base = docs.select(*own, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body")).withColumn("_same", F.xxhash64("_body"))
-    key = F.btrim(ascii_lower(F.col("_line")), F.lit(SPACES))
+    key = F.btrim(F.col("_line"), F.lit(SPACES))
     lines = (
         base.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), "_same", F.posexplode(F.split("_body", "\n", -1)).alias("_pos", "_line"))
+        .select(F.col(id_col).alias("_id"), "_same", F.posexplode(F.split(ascii_lower(F.col("_body")), "\n", -1)).alias("_pos", "_line"))
         .withColumn("_key", key)
         .filter(F.char_length("_key") >= min_chars)
         .select("_id", "_same", "_pos", F.unhex(F.md5("_key")).alias("_hash"))
     )
+    lines = materialise(lines, "lines")  # both the counts and the join below read it
     groups = lines.groupBy("_hash")
     if min_docs == 2:
         counted = groups.agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter(F.col("_first") != F.col("_last"))
