@@ -7,9 +7,13 @@ from .chat import format_chats
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .pieces import encode_pieces
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
 
+#: A public SentencePiece model; the operators take the path as a parameter.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -34,7 +38,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_chat_formatting, op4_exact_dedup, op5_substring_dedup, op7_line_dedup)}
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL).select("doc_id", "n_tokens", "round_trip", "ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_chat_formatting, op4_exact_dedup, op5_substring_dedup, op7_line_dedup, op9_sentencepiece)}
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
