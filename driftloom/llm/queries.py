@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats
 from .common import table
+from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .pieces import encode_pieces
@@ -20,6 +21,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
@@ -42,7 +47,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL).select("doc_id", "n_tokens", "round_trip", "ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_chat_formatting, op4_exact_dedup, op5_substring_dedup, op7_line_dedup, op9_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_exact_dedup, op5_substring_dedup, op7_line_dedup, op9_sentencepiece)}
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
