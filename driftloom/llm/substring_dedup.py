@@ -48,7 +48,7 @@ def _repeated(rows: DataFrame, schema: str, out: list[str]) -> DataFrame:
     Repeats within a batch were marked before it: the first goes to its hash's task, the rest anywhere. So a hash that
     fills the corpus sends one row a batch to that task. Sorted tasks find the other repeats from neighbour to neighbour."""
     names = rows.columns
-    deal = F.when(F.col("kind") == 2, F.xxhash64("doc", "place")).otherwise(F.col("h"))
+    deal = F.when(F.col("kind") == 2, F.xxhash64("doc", "check", "place")).otherwise(F.col("h"))
     dealt = rows.repartition(shuffle_parts(rows.sparkSession), deal).sortWithinPartitions("h", *(["g"] if "g" in names else []))
     keys = ["h"] + (["g"] if "g" in names else [])
 
@@ -90,16 +90,26 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     no words. Repeated rows are occurrences of their own, so their windows repeat. A null id is kept as null. An empty
     table gives an empty result; other columns are ignored.
 
+    0. Of equal texts, one stands for all in the search; all of a group of equal texts of a window or more goes.
     1. Anchors (window - period + 1 words) are hashed at the cover's places modulo the period only. Two equal windows
        share an anchor at an offset under the period where both are at places of the cover.
     2. Repeated anchors extend: the full windows around them, and only those, are hashed (96 bits) and matched.
     3. Words of repeated windows are marked and left out.
-    Rows of hashes travel, no pairs are made, and the texts are shuffled once for steps 2 and 3."""
+    Rows of hashes travel, no pairs are made, and the texts are shuffled once for all steps."""
     period = period_for(window)
     cover, anchor = np.isin(np.arange(period), COVERS[period]), window - period + 1
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("doc", F.xxhash64("id", "text")).withColumn("check", F.hash("text", "id"))
+    key = ["doc", "check"]  # 96 bits that tell the rows' ids and texts apart
+
+    same = base.select(*key, F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(1), "text").alias("c2"))
+    groups = same.groupBy("c1", "c2").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = same.join(groups, ["c1", "c2"]).groupBy(*key).agg(F.min(F.struct(*key) != F.col("first")).alias("rest"))
+    # Every step reads the same columns of the same shuffle, which Spark then runs once. The other sides are small next
+    # to the texts, so each task hashes them and need not sort texts.
+    parts = base.repartition(shuffle_parts(spark), *key).join(copies.hint("shuffle_hash"), key, "left")
+    shown = parts.filter(~F.coalesce("rest", F.lit(False)))
 
     def anchors(batches):
         for batch in batches:
@@ -110,10 +120,10 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 take = cover[place % period] & (np.diff(first)[doc] >= window)
                 at, doc, place = at[take], doc[take], place[take]
                 h = segment_hashes(word_hashes(data, starts, ends), at, at + anchor, BASE_B)
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), part.column("doc").take(pa.array(doc)), pa.array(place, pa.int32()), pa.array(_combine(h))], ["h", "doc", "place", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), *(part.column(c).take(pa.array(doc)) for c in key), pa.array(place, pa.int32()), pa.array(_combine(h))], ["h", *key, "place", "kind"])
 
-    found = _repeated(base.select("text", "doc").mapInArrow(anchors, "h long, doc long, place int, kind byte"), "doc long, place int", ["doc", "place"])
-    anchored = found.groupBy("doc").agg(F.collect_set("place").alias("places")).withColumnRenamed("doc", "_doc")
+    found = _repeated(shown.select("id", "text", *key).mapInArrow(anchors, "h long, doc long, check int, place int, kind byte"), "doc long, check int, place int", [*key, "place"])
+    anchored = found.groupBy(*key).agg(F.collect_set("place").alias("places"))
 
     def extend(batches):
         for batch in batches:
@@ -139,16 +149,14 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 h, g = segment_hashes(words, at, at + window, BASE_A), segment_hashes(mix(words + np.uint64(1)), at, at + window, BASE_B)
                 own = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.astype(np.int64)), pa.array((g & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), part.column("doc").take(own), part.column("check").take(own), pa.array(place, pa.int32()), pa.array(_combine(h))],
-                    ["h", "g", "doc", "check", "place", "kind"],
+                    [pa.array(h.astype(np.int64)), pa.array((g & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), *(part.column(c).take(own) for c in key), pa.array(place, pa.int32()), pa.array(_combine(h))],
+                    ["h", "g", *key, "place", "kind"],
                 )
 
-    parts = base.repartition(shuffle_parts(spark), "doc")
-    windows = parts.join(anchored, F.col("doc") == F.col("_doc")).select("text", "doc", "check", "places").mapInArrow(extend, "h long, g int, doc long, check int, place int, kind byte")
-    again = _repeated(windows, "doc long, check int, place int", ["doc", "check", "place"])
-    marked = again.groupBy("doc", "check").agg(F.collect_set("place").alias("places")).groupBy("doc").agg(F.collect_list(F.struct("check", "places")).alias("marked")).withColumnRenamed("doc", "_doc")
-    own = F.element_at(F.filter("marked", lambda m: m["check"] == F.col("check")), 1)["places"]
-    joined = parts.join(marked, F.col("doc") == F.col("_doc"), "left").select("id", "text", own.alias("places"))
+    windows = shown.join(anchored.hint("shuffle_hash"), key).select("id", "text", *key, "places").mapInArrow(extend, "h long, g int, doc long, check int, place int, kind byte")
+    again = _repeated(windows, "doc long, check int, place int", [*key, "place"])
+    marked = again.groupBy(*key).agg(F.collect_set("place").alias("places"))
+    joined = parts.join(marked.hint("shuffle_hash"), key, "left").select("id", "text", *key, "places", F.col("rest").isNotNull().alias("copied"))
 
     id_type = base.schema["id"].dataType.simpleString()
 
@@ -164,15 +172,16 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 np.add.at(marks, at, 1)
                 np.add.at(marks, at + window, -1)
                 stay = np.cumsum(marks[:-1]) == 0
+                sizes = np.diff(first)
+                stay &= ~np.repeat(np.asarray(part.column("copied").to_numpy(zero_copy_only=False), bool) & (sizes >= window), sizes)
                 line, _, to = joined_words(data, starts[stay], ends[stay])
                 kept_first = np.searchsorted(np.flatnonzero(stay), first)
                 edge = np.append(0, to + 1)[kept_first]  # each text's words with a space after the last
                 size = np.maximum(np.diff(edge) - 1, 0)
-                sizes = np.append(0, np.cumsum(size))
+                ends_at = np.append(0, np.cumsum(size))
                 drop = edge[1:][np.diff(edge) > 0] - 1
                 body = np.delete(line, drop)
-                text = pa.Array.from_buffers(pa.large_string(), part.num_rows, [None, pa.py_buffer(sizes.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())]).cast(pa.string())
-                total = np.diff(first)
-                yield pa.RecordBatch.from_arrays([part.column("id"), text, pa.array(total, pa.int64()), pa.array(total - np.diff(kept_first), pa.int64())], [id_col, "kept_text", "n_words", "n_removed"])
+                text = pa.Array.from_buffers(pa.large_string(), part.num_rows, [None, pa.py_buffer(ends_at.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())]).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("id"), text, pa.array(sizes, pa.int64()), pa.array(sizes - np.diff(kept_first), pa.int64())], [id_col, "kept_text", "n_words", "n_removed"])
 
     return joined.mapInArrow(keep, f"{id_col} {id_type}, kept_text string, n_words long, n_removed long")
