@@ -7,8 +7,10 @@ from .chat import format_chats
 from .common import table
 from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
+from .language import identify_language, train_language, train_rows
 from .line_dedup import line_dedup
 from .pieces import encode_pieces
+from .quality import score_quality, train_quality
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
 
@@ -38,6 +40,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_language(train_rows(docs))
+    found = identify_language(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -47,7 +57,16 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL).select("doc_id", "n_tokens", "round_trip", "ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_exact_dedup, op5_substring_dedup, op7_line_dedup, op9_sentencepiece)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    known = table(spark, sf_dir, "labels").filter(fold != 0).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    model = train_quality(docs.filter(fold != 0).select(F.col("doc_id").alias("id"), "text"), known)
+    score = F.col("quality_score")
+    return score_quality(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_exact_dedup, op5_substring_dedup, op6_language_id, op7_line_dedup, op9_sentencepiece, op10_quality_classifier)}
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
