@@ -151,7 +151,7 @@ def look_up(rows: DataFrame, history: DataFrame, shards: int, spread: dict[int,
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Decide for each row which row of the same normalised text stays. Keeps no text: id_col, _row and the decision.
 
-    Returns _row (the row's number in docs), id_col, keep_id, group_size, kept, text_sha256.
+    Returns _row (the row's number in this reading of docs), _len (code points of its text), id_col, keep_id, group_size, kept, text_sha256.
 
     history: distinct digests of an earlier corpus (as distinct_digests() gives them), whose rows are then the winners
     of their groups: kept is false for every member. Without it, the history is docs' own distinct digests. Rows that
@@ -169,8 +169,19 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
     # At most total / limit <= 512 shards exceed the limit, however large the table.
     spread = {r["shard"]: -(-r["count"] // limit) for r in rows.groupBy(shard_of(shards).alias("shard")).count().filter(F.col("count") > limit).collect()}
     found = materialise(look_up(rows, build_history(distinct, shards), shards, spread), "looked-up")
-    members = found.filter("member").select("_row", "_id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), ((F.col("keep_row") == F.col("_row")) if own else F.lit(False)).alias("kept"), "_digest")
+    members = found.filter("member").select("_row", "_id", "_len", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), ((F.col("keep_row") == F.col("_row")) if own else F.lit(False)).alias("kept"), "_digest")
     strangers = found.filter(~F.col("member")).select("_row", "_id", "_len", "_digest")
     groups = distinct_digests(strangers)
-    fresh = strangers.join(groups, "_digest").select("_row", "_id", F.col("_win.id").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_win.row") == F.col("_row")).alias("kept"), "_digest")
-    return members.unionByName(fresh).select("_row", F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("_digest")).alias("text_sha256"))
+    fresh = strangers.join(groups, "_digest").select("_row", "_id", "_len", F.col("_win.id").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_win.row") == F.col("_row")).alias("kept"), "_digest")
+    return members.unionByName(fresh).select("_row", "_len", F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("_digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the row that stays of each group of equal texts only, by exact_dedup(); of repeated rows one stays."""
+    kept = exact_dedup(docs, history, id_col, text_col).filter("kept")
+    keys = ["_none", "_key", "_sha", "_chars"]
+    name = lambda df, sha, chars: df.withColumns({"_none": F.col(id_col).isNull(), "_key": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_sha": sha, "_chars": chars})
+    winners = name(kept, F.col("text_sha256"), F.col("_len")).select(*keys)
+    named = name(docs, F.sha2(normalised(F.col(text_col)), 256), F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    # Ids spread the rows of a large group over the tasks; the last step has the join's partitioning.
+    return named.join(winners, keys).dropDuplicates(keys).select(*docs.columns)
