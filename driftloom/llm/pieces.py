@@ -4,6 +4,7 @@ import hashlib
 import re
 import sys
 import types
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -67,11 +68,14 @@ class Codec:
         letters = {c for p in self.ids for c in p if re.match(r"[^\W\d_]", c)}
         apart = not any(p[0] in letters and p[1] not in letters for p in self.pairs)
         self.chunks = re.compile(r"[\W\d_]*[^\W\d_]+|[\W\d_]+").findall if apart else None
-        self.known: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
-        self.parts: dict[str, tuple] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.fits: dict[int, bool] = {}
-        self.raw = [b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else model["unknown_surface"].encode() if t == UNKNOWN else p.replace(BLANK, " ").encode() for p, t in zip(self.pieces, types)]
+        self.splits: dict[int, tuple | None] = {}
+        self.edges: dict[tuple, list] = {}
+        raw = [b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else model["unknown_surface"].encode() if t == UNKNOWN else p.replace(BLANK, " ").encode() for p, t in zip(self.pieces, types)]
+        self.body, self.sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def merged(self, text: str) -> list[str]:
         """Merge the neighbours of the best score, the first of equals, until none is a piece."""
@@ -87,11 +91,44 @@ class Codec:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
+    def split(self, i: int) -> tuple[int, int] | None:
+        """The two pieces whose merging makes piece i last; None if it is one character or isn't made by merging."""
+        if i not in self.splits:
+            symbols, last = list(self.pieces[i]), None
+            while len(symbols) > 1:
+                found = [(-self.scores[j], k) for k in range(len(symbols) - 1) if (j := self.ids.get(symbols[k] + symbols[k + 1])) is not None]
+                if not found:
+                    last = None
+                    break
+                k = min(found)[1]
+                last = (symbols[k], symbols[k + 1])
+                symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            self.splits[i] = None if last is None else (self.ids.get(last[0]), self.ids.get(last[1]))
+        return self.splits[i]
+
+    def edge(self, i: int, right: bool) -> list[tuple[str, float]]:
+        """What stands at one end of piece i as it is merged: each symbol, and the score of the merging that ends it."""
+        if (i, right) not in self.edges:
+            out, now, end = [], i, float("-inf")
+            while now is not None:
+                out.append((self.pieces[now], end))
+                parts = self.split(now)
+                end, now = self.scores[now], parts[right] if parts else None
+            self.edges[i, right] = out
+        return self.edges[i, right]
+
     def may_follow(self, a: int, b: int) -> bool:
+        """Whether merging the characters of a and b never merges across: no pair at their border comes up before one of
+        its sides is merged away (of equal scores, the left comes first)."""
         if len(self.fits) > REMEMBERED:
             self.fits.clear()
-        left, right = self.pieces[a], self.pieces[b]
-        found = self.fits[a << 24 | b] = self.merged(left + right) == [left, right]
+        ids, scores, found = self.ids, self.scores, True
+        for left, left_end in self.edge(a, True):
+            for right, right_end in self.edge(b, False):
+                i = ids.get(left + right)
+                if i is not None and scores[i] > left_end and scores[i] >= right_end:
+                    found = False
+        self.fits[a << 24 | b] = found
         return found
 
     def solve(self, part: str) -> tuple:
@@ -106,22 +143,29 @@ class Codec:
                 if len(edges) > 2:
                     return tuple(i for x, y in zip(edges, edges[1:]) for i in self.solve(part[x:y]))
             return self.solve_with_gaps(part)
-        low = float("-inf")
-        score, last, start = [0.0] + [low] * n, [-1] * (n + 1), [0] * (n + 1)
-        fits, bpe = self.fits, self.bpe
-        for end, (size, i, s) in self.automaton.iter(part):
-            end += 1
-            at = end - size
-            total = score[at] + s
-            if total <= score[end]:
-                continue
-            if at and bpe:
-                fit = fits.get(last[at] << 24 | i)
-                if fit is None:
-                    fit = self.may_follow(last[at], i)
-                if not fit:
+        last, start = [-1] * (n + 1), [0] * (n + 1)
+        if self.bpe:
+            # Just one piece may end at each position (the merged prefix's last), so the first found is the best.
+            fits, done = self.fits, -1
+            for end, (size, i, _) in self.automaton.iter(part):
+                if end == done:
                     continue
-            score[end], last[end], start[end] = total, i, at
+                at = end + 1 - size
+                if at:
+                    fit = fits.get(last[at] << 24 | i)
+                    if fit is None:
+                        fit = self.may_follow(last[at], i)
+                    if not fit:
+                        continue
+                done = end
+                last[end + 1], start[end + 1] = i, at
+        else:
+            score = [0.0] + [float("-inf")] * n
+            for end, (size, i, s) in self.automaton.iter(part):
+                at = end + 1 - size
+                total = score[at] + s
+                if total > score[end + 1]:
+                    score[end + 1], last[end + 1], start[end + 1] = total, i, at
         out, at = [], n
         while at:
             out.append(last[at])
@@ -152,47 +196,41 @@ class Codec:
             return (self.unknown,)
         return tuple(self.bytes_at[b] for b in text.encode())
 
-    def word(self, word: str) -> tuple:
+    def word(self, word: str) -> bytes:
+        """The packed ids of a word: its parts are remembered like words."""
         found = self.older.get(word)
         if found is None:
-            out = []
-            for part in self.chunks(word) if self.chunks else (word,):
-                out += self.part(part) if part.lstrip(BLANK).isascii() else self.cut(part)
-            found = tuple(out)
+            parts = self.chunks(word) if self.chunks else (word,)
+            if len(parts) > 1:
+                found = b"".join([self.known.get(x) or self.word(x) for x in parts])
+            else:
+                found = array("i", self.solve(word) if word.lstrip(BLANK).isascii() else self.cut(word)).tobytes()
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         self.known[word] = found
         return found
 
-    def part(self, part: str) -> tuple:
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) > REMEMBERED:
-                self.parts.clear()
-            found = self.parts[part] = self.solve(part)
-        return found
-
     def cut(self, text: str) -> list[int]:
         """Solve the stretches between characters that no piece holds side by side."""
         out, at, pairs = [], 0, self.pairs
         for k in range(1, len(text) + 1):
             if k == len(text) or text[k - 1 : k + 1] not in pairs:
-                out += self.part(text[at:k])
+                out += self.solve(text[at:k])
                 at = k
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         text = (" " + text if self.prefix else text).replace(" ", BLANK)
-        out = []
-        for word in self.words.findall(text):
-            out += self.known.get(word) or self.word(word)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+        return np.frombuffer(b"".join([self.known.get(w) or self.word(w) for w in self.words.findall(text)]), np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
+        ids = np.asarray(ids, np.int64)
+        size = self.sizes[ids]
+        ends = np.cumsum(size)
+        raw = self.body[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[ids] - ends + size, size)]
+        text = raw.tobytes().decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
@@ -224,7 +262,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", chec
                 for text in part.column(text_col).to_pylist():
                     got = codec.encode(text or "")
                     ends.append(ends[-1] + len(got))
-                    chunks.append(np.array(got, np.int32))
+                    chunks.append(got)
                     if check:
                         same.append(codec.decode(got) == (text or "").replace(BLANK, " "))
                 ids = np.concatenate(chunks) if chunks else np.zeros(0, np.int32)
