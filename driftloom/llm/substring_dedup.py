@@ -42,15 +42,21 @@ def _combine(h: np.ndarray) -> np.ndarray:
     return kind
 
 
-def _repeated(rows: DataFrame, schema: str, out: list[str]) -> DataFrame:
-    """Rows whose h (and g) occurs more than once, in one shuffle.
+def _pack(high: np.ndarray, kind: np.ndarray, place: np.ndarray) -> pa.Array:
+    """32 bits, the kind and a place below 2 ** 30 in one long: narrow rows shuffle best."""
+    return pa.array((high.astype(np.int64) << 32) | (kind.astype(np.int64) << 30) | place)
 
-    Repeats within a batch were marked before it: the first goes to its hash's task, the rest anywhere. So a hash that
-    fills the corpus sends one row a batch to that task. Sorted tasks find the other repeats from neighbour to neighbour."""
-    names = rows.columns
-    deal = F.when(F.col("kind") == 2, F.xxhash64("doc", "check", "place")).otherwise(F.col("h"))
-    dealt = rows.repartition(shuffle_parts(rows.sparkSession), deal).sortWithinPartitions("h", *(["g"] if "g" in names else []))
-    keys = ["h"] + (["g"] if "g" in names else [])
+
+def _repeated(rows: DataFrame, wide: bool) -> DataFrame:
+    """doc, check and place of the rows whose hash occurs more than once, in one shuffle.
+
+    rows: h, doc, packed (check, kind and place), or with wide h, doc, check, packed (more bits of the hash, kind, place).
+    Repeats within a batch were marked before: the first (kind 1) goes to its hash's task, the rest (2) anywhere. So a hash
+    that fills the corpus sends one row a batch to that task. Sorted tasks find the other repeats from neighbour to
+    neighbour."""
+    kind = F.shiftrightunsigned("packed", 30).bitwiseAND(F.lit(3))
+    deal = F.when(kind == 2, F.xxhash64("doc", "packed")).otherwise(F.col("h"))
+    dealt = rows.repartition(shuffle_parts(rows.sparkSession), deal).sortWithinPartitions("h", *(["packed"] if wide else []))
 
     def run(batches):
         held, tail = None, None  # a last row of unknown fate; the last row's hash if it is known to repeat
@@ -58,11 +64,12 @@ def _repeated(rows: DataFrame, schema: str, out: list[str]) -> DataFrame:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            cols = [table.column(k).to_numpy() for k in keys]
+            packed = table.column("packed").to_numpy()
+            cols = [table.column("h").to_numpy(), *([packed >> 32] if wide else [])]
             same = np.ones(table.num_rows - 1, bool)
             for c in cols:
                 same &= c[1:] == c[:-1]
-            twice = table.column("kind").to_numpy() > 0
+            twice = (packed >> 30 & 3) > 0
             twice[1:] |= same
             twice[:-1] |= same
             if tail is not None:
@@ -75,10 +82,10 @@ def _repeated(rows: DataFrame, schema: str, out: list[str]) -> DataFrame:
                 held, tail = None, tuple(c[last] for c in cols)
             else:
                 held, tail = table.slice(last).combine_chunks().to_batches()[0], None
-            found = table.filter(pa.array(twice)).select(out).combine_chunks().to_batches()
-            yield from found
+            check = table.column("check").to_numpy() if wide else (packed >> 32).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(table.column("doc").to_numpy()[twice]), pa.array(check[twice]), pa.array((packed[twice] & 0x3FFFFFFF).astype(np.int32))], ["doc", "check", "place"])
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, "doc long, check int, place int")
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,9 +127,9 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 take = cover[place % period] & (np.diff(first)[doc] >= window)
                 at, doc, place = at[take], doc[take], place[take]
                 h = segment_hashes(word_hashes(data, starts, ends), at, at + anchor, BASE_B)
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), *(part.column(c).take(pa.array(doc)) for c in key), pa.array(place, pa.int32()), pa.array(_combine(h))], ["h", *key, "place", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), part.column("doc").take(pa.array(doc)), _pack(part.column("check").to_numpy()[doc], _combine(h), place)], ["h", "doc", "packed"])
 
-    found = _repeated(shown.select("id", "text", *key).mapInArrow(anchors, "h long, doc long, check int, place int, kind byte"), "doc long, check int, place int", [*key, "place"])
+    found = _repeated(shown.select("id", "text", *key).mapInArrow(anchors, "h long, doc long, packed long"), wide=False)
     anchored = found.groupBy(*key).agg(F.collect_set("place").alias("places"))
 
     def extend(batches):
@@ -148,13 +155,11 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 words = word_hashes(data, starts, ends)
                 h, g = segment_hashes(words, at, at + window, BASE_A), segment_hashes(mix(words + np.uint64(1)), at, at + window, BASE_B)
                 own = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.astype(np.int64)), pa.array((g & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), *(part.column(c).take(own) for c in key), pa.array(place, pa.int32()), pa.array(_combine(h))],
-                    ["h", "g", *key, "place", "kind"],
-                )
+                g = (g & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), *(part.column(c).take(own) for c in key), _pack(g, _combine(h), place)], ["h", *key, "packed"])
 
-    windows = shown.join(anchored.hint("shuffle_hash"), key).select("id", "text", *key, "places").mapInArrow(extend, "h long, g int, doc long, check int, place int, kind byte")
-    again = _repeated(windows, "doc long, check int, place int", [*key, "place"])
+    windows = shown.join(anchored.hint("shuffle_hash"), key).select("id", "text", *key, "places").mapInArrow(extend, "h long, doc long, check int, packed long")
+    again = _repeated(windows, wide=True)
     marked = again.groupBy(*key).agg(F.collect_set("place").alias("places"))
     joined = parts.join(marked.hint("shuffle_hash"), key, "left").select("id", "text", *key, "places", F.col("rest").isNotNull().alias("copied"))
 
