@@ -99,8 +99,9 @@ def grid(df: DataFrame, keys: Sequence[str], step_us: int, us: str = "us") -> Da
 
 def _around(df: DataFrame, keys: Sequence[str], step_us: int, value: str, us: str) -> DataFrame:
     """The grid's times with the samples before (or at) and after (or at) each; one row for each time is taken."""
-    at = df.groupBy(*keys, us).agg(F.first(value).alias("_v"))
-    both = at.select(*keys, us, "_v", F.col(us).alias("_t"), F.lit(0).alias("_grid")).unionByName(grid(df, keys, step_us, us).select(*keys, us, F.lit(None).cast("double").alias("_v"), F.lit(None).cast("long").alias("_t"), F.lit(1).alias("_grid")))
+    at = df.select(*keys, us, F.col(value).alias("_v"))
+    kind = at.schema["_v"].dataType
+    both = at.select(*keys, us, "_v", F.col(us).alias("_t"), F.lit(0).alias("_grid")).unionByName(grid(df, keys, step_us, us).select(*keys, us, F.lit(None).cast(kind).alias("_v"), F.lit(None).cast("long").alias("_t"), F.lit(1).alias("_grid")))
     back = Window.partitionBy(*keys).orderBy(us, "_grid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = Window.partitionBy(*keys).orderBy(F.col(us).desc(), "_grid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sample = F.when(F.col("_t").isNotNull(), F.struct("_t", "_v"))
@@ -114,6 +115,9 @@ def resample_nearest(df: DataFrame, keys: Sequence[str], step_us: int, value: st
     return _around(df, keys, step_us, value, us).select(*keys, us, near.alias(value))
 
 
+resample_nearest_struct = resample_nearest  # the value may be a struct of several columns
+
+
 def resample_linear(df: DataFrame, keys: Sequence[str], step_us: int, value: str, us: str = "us") -> DataFrame:
     """The value at each time of the grid on the line between the samples around it. Times must be distinct."""
     a, b = F.col("before"), F.col("after")
