@@ -171,7 +171,7 @@ class Package:
     def save(self, path: str) -> None:
         """The model by its own writer and a side-car of JSON, over what the path held."""
         self.model.write().overwrite().save(f"{path}/model")
-        side = {k: v for k, v in asdict(self).items() if k != "model"}
+        side = {k: getattr(self, k) for k in ("features", "calibrator", "threshold", "name", "params")}
         from pyspark.sql import SparkSession
 
         SparkSession.active().createDataFrame([(json.dumps(side),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/side")
