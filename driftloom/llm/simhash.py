@@ -1,6 +1,7 @@
 """SimHash near-dedup: fingerprints, tiled exact comparison, components."""
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -113,12 +114,14 @@ class _Tile:
         self.pop = np.bitwise_count(self.fp[0]).astype(np.int64)
         self.sets, self.radius, self.total = _Sets(len(node)), radius, total
 
-    def hits(self, fp: np.ndarray, rows: int = 256, cols: int = 8192):
-        """Pairs (held, passing) within both radii, tile by tile; tiles whose population counts are too far apart are skipped."""
+    def hits(self, fp: np.ndarray, own: bool = False, rows: int = 64, cols: int = 4096):
+        """Pairs (held, passing) within both radii, tile by tile; tiles whose population counts are too far apart are skipped.
+
+        own: the passing ones are the held ones, so each pair is met once."""
         pop = np.bitwise_count(fp[0]).astype(np.int64)
         for i in range(0, len(self.node), rows):
             low, high = self.pop[i] - self.radius, self.pop[min(i + rows, len(self.pop)) - 1] + self.radius
-            a, b = np.searchsorted(pop, low), np.searchsorted(pop, high, side="right")
+            a, b = i if own else np.searchsorted(pop, low), np.searchsorted(pop, high, side="right")
             for j in range(a, b, cols):
                 k = min(j + cols, b)
                 near = np.bitwise_count(self.fp[0, i : i + rows, None] ^ fp[0, None, j:k]) <= self.radius
@@ -132,12 +135,13 @@ class _Tile:
                 if len(x):
                     yield x, y
 
-    def link(self, node: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def link(self, node: np.ndarray, fp: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Link the passing ones; an edge for each that has a link, further links join sets of the held ones."""
-        order = np.argsort(np.bitwise_count(fp[0]), kind="stable")
-        node, fp = node[order], np.ascontiguousarray(fp[:, order])
+        if not own:
+            order = np.argsort(np.bitwise_count(fp[0]), kind="stable")
+            node, fp = node[order], np.ascontiguousarray(fp[:, order])
         held = np.full(len(node), -1, np.int64)
-        for x, y in self.hits(fp):
+        for x, y in self.hits(fp, own):
             new = held[y] < 0
             held[y[new]] = x[new]  # of several, whichever is last; the others are joined with it below
             pairs = np.unique(np.stack([np.minimum(x, held[y]), np.maximum(x, held[y])]), axis=1) if len(x) < 4096 else self._thin(x, y, held)
@@ -188,7 +192,7 @@ def tile_edges(items: DataFrame, words: int, steps: list[int], radius: int, tota
             """The held part is whole: compare it with itself."""
             tile_ = _Tile(np.concatenate([x for x, _ in waiting]), np.concatenate([x for _, x in waiting], axis=1), radius, total)
             waiting.clear()
-            tile_.link(tile_.node, tile_.fp)
+            tile_.link(tile_.node, tile_.fp, own=True)
             return tile_
 
         for (key, part, passing), batch in runs(batches, ["to_key", "part", "passing"]):
@@ -227,23 +231,23 @@ def _population_steps(radius: int) -> list[int]:
     return sorted({s for v in reach if (s := sum(x * 32**k for k, x in enumerate(v))) >= 0})
 
 
-def near_components(prints: DataFrame, words: int = 1, radius: int = 2, total: int | None = None, by_length: float | None = None) -> DataFrame:
+def near_components(prints: DataFrame, words: int = 1, radius: int = 2, total: int | None = None, least_ratio: float | None = None) -> DataFrame:
     """Add component (smallest id reachable over links) to each row of prints.
 
     Two fingerprints link if their first words differ in at most radius bits and all words in at most total. Copies of a
     fingerprint are one node. Tiles are groups of equal population counts of the quarters, compared only with those
-    within the radius (radius 2 or less); with by_length, groups of like numbers of shingles n, each band a factor of
-    by_length wide, and texts more than a band apart don't link (at most 100 bands). Rows with a null id neither link
-    nor get a component; equal ids are one document."""
+    within the radius (radius 2 or less); with least_ratio, groups of like numbers of shingles n in bands 5 % wide (under
+    1,000 for any text), compared with those that some n of the ratio may be in. Rows with a null id neither link nor get
+    a component; equal ids are one document."""
     fs = [f"f{w}" for w in range(words)]
     nodes = materialise(prints.groupBy(*fs).agg(F.min("id").alias("node"), F.min("n").alias("n")), "fingerprints").filter(F.col("node").isNotNull())
-    if by_length is None:
+    if least_ratio is None:
         if radius > 2:
-            raise ValueError("wider radii need by_length")
+            raise ValueError("wider radii need least_ratio")
         items, steps = nodes.withColumn("key", _population_key()), _population_steps(radius)
     else:
-        band = F.when(F.col("n") < 1, F.lit(-2)).otherwise(F.floor(F.ln(F.col("n").cast("double")) / F.ln(F.lit(float(by_length))))).cast("long")
-        items, steps = nodes.withColumn("key", band), [0, 1]
+        band = F.when(F.col("n") < 1, F.lit(-1000)).otherwise(F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(1.05)))).cast("long")
+        items, steps = nodes.withColumn("key", band), list(range(math.ceil(-math.log(least_ratio) / math.log(1.05)) + 1))
     found = components(tile_edges(items.select("node", "key", *fs), words, steps, radius, 64 * words if total is None else total))
     named = nodes.join(found, "node", "left").select(*(F.col(f).alias(f"_{f}") for f in fs), F.coalesce("component", "node").alias("component"))
     match = [F.col(f) == F.col(f"_{f}") for f in fs]
@@ -266,5 +270,5 @@ def near_dedup(docs: DataFrame, shingle: int = 5, words: int = 4, radius: int =
     nearly all above; unrelated texts differ in about 128. Rows with a null id stay; repeated rows of the id that stays
     stay too."""
     prints = materialise(fingerprints(docs, shingle, words, id_col, text_col), "prints")
-    gone = near_components(prints, words, radius, total, 1.25).filter("component <> id").select(F.col("id").alias("_gone")).distinct()
+    gone = near_components(prints, words, radius, total, 0.8).filter("component <> id").select(F.col("id").alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
