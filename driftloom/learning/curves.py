@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import running
@@ -116,3 +116,21 @@ def bootstrap(df: DataFrame, rounds: int = 200, pred: str = "pred", y: str = "y"
     div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     m = c.select("round", div(tp + tn, tp + fp + fn + tn).alias("accuracy"), ((div(tp, tp + fn) + div(tn, tn + fp)) / 2).alias("balanced_accuracy"), div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"), div(2 * tp, 2 * tp + fp + fn).alias("f1"))
     return m.unpivot("round", list(METRICS), "metric", "value").groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
+
+
+def roc_on_grid(df: DataFrame, steps: int, score: str = "score", y: str = "y") -> DataFrame:
+    """The ROC curve at even false-positive rates, on lines between its points; it starts at (0, 0)."""
+    c = curve(df, score, y).groupBy("fpr").agg(F.max("tpr").alias("tpr"))
+    start = df.sparkSession.createDataFrame([(0.0, 0.0)], "fpr double, tpr double")
+    points = c.unionByName(start).groupBy("fpr").agg(F.max("tpr").alias("tpr")).filter(F.col("fpr").isNotNull())
+    # Each point serves the few grid lines up to it: the last point at or under and the first at or over are aggregates.
+    cell = points.select(F.struct("fpr", "tpr").alias("p"), F.floor(F.round(F.col("fpr") * steps, 9)).cast("int").alias("low"), F.ceil(F.round(F.col("fpr") * steps, 9)).cast("int").alias("high"))
+    under = cell.groupBy(F.col("high").alias("k")).agg(F.max("p").alias("a"))
+    over = cell.groupBy(F.col("low").alias("k")).agg(F.min("p").alias("b"))
+    lines = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("k"))  # the grid
+    joined = lines.join(under, "k", "left").join(over, "k", "left")
+    back, ahead = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("k").rowsBetween(0, Window.unboundedFollowing)
+    filled = joined.select("k", F.max("a").over(back).alias("a"), F.min("b").over(ahead).alias("b"))
+    x, a, b = F.col("k") / float(steps), F.col("a"), F.coalesce("b", "a")
+    share = F.coalesce(F.try_divide(x - a["fpr"], b["fpr"] - a["fpr"]), F.lit(0.0))
+    return filled.select(x.alias("fpr"), (a["tpr"] + share * (b["tpr"] - a["tpr"])).alias("tpr"))

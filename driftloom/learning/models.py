@@ -1,5 +1,6 @@
 """Models: factory, search, calibration, nested validation, packaging, prediction. Fits are pyspark.ml's."""
 
+import itertools
 import json
 import random
 from collections.abc import Callable, Sequence
@@ -10,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.storage import materialise
@@ -92,6 +93,19 @@ def random_search(df: DataFrame, name: str, features: Sequence[str], group: str,
     return sorted(tried, key=lambda t: -t["objective"])
 
 
+def grid_search(df: DataFrame, name: str, features: Sequence[str], group: str, grid: dict[str, Sequence], folds: int = 3, most: int | None = None, seed: int = 1) -> list[dict]:
+    """As random_search() over all points of a grid, or most of them drawn at random."""
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    if most is not None and most < len(points):
+        points = random.Random(seed).sample(points, most)
+    held = materialise(with_folds(df, group, folds), "folds")
+    tried = []
+    for params in points:
+        values = [objective(score(make(name, features, params, seed=seed).fit(held.filter(F.col("fold") != k)), held.filter(F.col("fold") == k))) for k in range(folds)]
+        tried.append({"params": params, "objective": sum(values) / len(values), "folds": values})
+    return sorted(tried, key=lambda t: -t["objective"])
+
+
 def combine_params(tried: Sequence[dict], how: str = "best", share: float = 0.1) -> dict:
     """One set from many: the best, or the plain or objective-weighted mean of the best share (whole numbers rounded,
     choices by the most frequent)."""
@@ -169,17 +183,19 @@ class Package:
     params: dict
 
     def save(self, path: str) -> None:
-        """The model by its own writer and a side-car of JSON, over what the path held."""
+        """The model by its own writer and a side-car of JSON; what the path held moves to <path>.back."""
+        spark = SparkSession.active()
+        to = spark._jvm.org.apache.hadoop.fs.Path
+        fs = to(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if fs.exists(to(path)):
+            fs.delete(to(f"{path}.back"), True)
+            fs.rename(to(path), to(f"{path}.back"))
         self.model.write().overwrite().save(f"{path}/model")
         side = {k: getattr(self, k) for k in ("features", "calibrator", "threshold", "name", "params")}
-        from pyspark.sql import SparkSession
-
-        SparkSession.active().createDataFrame([(json.dumps(side),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/side")
+        spark.createDataFrame([(json.dumps(side),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/side")
 
 
 def load_package(path: str) -> Package:
-    from pyspark.sql import SparkSession
-
     side = json.loads(SparkSession.active().read.text(f"{path}/side").first()["value"])
     return Package(model=PipelineModel.load(f"{path}/model"), **side)
 
@@ -214,15 +230,22 @@ def predict(package: Package, df: DataFrame, level: str = "night", subject: str
     return rollup.patient_votes(summed, package.threshold)
 
 
-def nested_validation(df: DataFrame, name: str, features: Sequence[str], group: str, outer: int = 3, inner: int = 2, calls: int = 3, repeats: int = 1, seed: int = 1, progress: Callable[[dict], None] | None = None) -> DataFrame:
-    """A row for each repeat, outer fold and model (default and searched): objective, AUC and metrics on the unseen fold."""
-    spark, rows = df.sparkSession, []
+def nested_validation(df: DataFrame, name: str, features: Sequence[str], group: str, outer: int = 3, inner: int = 2, calls: int = 3, repeats: int = 1, seed: int = 1, progress: Callable[[dict], None] | None = None, done: Sequence[dict] = ()) -> DataFrame:
+    """A row for each repeat, outer fold and model (default and searched): objective, AUC and metrics on the unseen fold.
+
+    progress gets each row as it is made; a run that was broken off goes on if it gets those rows as done."""
+    spark, rows = df.sparkSession, list(done)
+    have = {(x["repeat"], x["fold"], x["kind"]) for x in rows}
     for r, s in enumerate(seeds(seed, repeats)):
         held = materialise(with_folds(df.withColumn("_r", F.lit(s)), group, outer), "outer").drop("_r")
         for k in range(outer):
+            if {(r, k, "default"), (r, k, "searched")} <= have:
+                continue
             train, test = held.filter(F.col("fold") != k).drop("fold"), held.filter(F.col("fold") == k).drop("fold")
             best = random_search(train, name, features, group, calls, inner, s + k)[0]["params"]
             for kind, params in (("default", {}), ("searched", best)):
+                if (r, k, kind) in have:
+                    continue
                 got = score(make(name, features, params, seed=s).fit(train), test)
                 m = curves.metrics(got.withColumn("pred", (F.col("prob") >= 0.5).cast("int"))).first()
                 a = curves.auc(got.withColumnRenamed("prob", "score")).first()

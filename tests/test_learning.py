@@ -126,6 +126,8 @@ def test_package_round_trip(spark, table, tmp_path):
     got = models.predict(p, table, "patient").collect()
     assert len(got) == 40 and sum(r["pred_mean"] == r["ground_truth"] for r in got) >= 30
     p.save(str(tmp_path / "p"))
+    p.save(str(tmp_path / "p"))
+    assert (tmp_path / "p.back" / "model").exists()
     again = models.load_package(str(tmp_path / "p"))
     a, b = ([round(r["prob"], 9) for r in models.predict(x, table).orderBy("id", "a").collect()] for x in (p, again))
     assert a == b and again.threshold == p.threshold
@@ -150,6 +152,10 @@ def test_search_and_importance(spark, table):
 def test_nested_validation(spark, table):
     seen = []
     r = models.nested_validation(table, "lr", ["a", "b"], "id", outer=2, inner=2, calls=1, progress=seen.append)
+    again = models.nested_validation(table, "lr", ["a", "b"], "id", outer=2, inner=2, calls=1, done=seen)
+    assert again.count() == 4
+    grid = models.grid_search(table, "lr", ["a"], "id", {"regParam": [0.01, 0.1, 10.0], "elasticNetParam": [0.0]}, folds=2, most=2)
+    assert len(grid) == 2 and grid[0]["objective"] >= grid[1]["objective"]
     assert r.count() == 4 == len(seen) and models.summarise_validation(r).filter("roc_auc_mean > 0.7").count() == 2
 
 
