@@ -179,8 +179,8 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str =
 def drop_copies(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the row that stays of each group of equal texts only, by exact_dedup(); of repeated rows one stays."""
     kept = exact_dedup(docs, history, id_col, text_col).filter("kept")
-    keys = ["_none", "_key", "_sha", "_chars"]
-    name = lambda df, sha, chars: df.withColumns({"_none": F.col(id_col).isNull(), "_key": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_sha": sha, "_chars": chars})
+    keys = ["_driftloom_none", "_driftloom_key", "_driftloom_sha", "_driftloom_chars"]
+    name = lambda df, sha, chars: df.withColumns({"_driftloom_none": F.col(id_col).isNull(), "_driftloom_key": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_driftloom_sha": sha, "_driftloom_chars": chars})
     winners = name(kept, F.col("text_sha256"), F.col("_len")).select(*keys)
     named = name(docs, F.sha2(normalised(F.col(text_col)), 256), F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     # Ids spread the rows of a large group over the tasks; the last step has the join's partitioning.

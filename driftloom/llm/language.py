@@ -216,6 +216,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "te
                 names.append(labels[k])
                 scores.append(float(q[k]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*own, "lang_pred", "lang_score"])
+            pa.default_memory_pool().release_unused()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in own)).schema]
     return docs.select(*(F.col(f"`{c}`") for c in own)).mapInArrow(run, ", ".join([*fields, "lang_pred string", "lang_score double"]))
@@ -228,5 +229,10 @@ def train_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.3, params: LanguageParams = LanguageParams()) -> DataFrame:
-    """docs whose language is told: not undetermined, and with a score of min_score or more."""
-    return identify_language(docs, train_language(train_rows(docs), params)).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= min_score)).select(*docs.columns)
+    """docs whose language is told: not undetermined, and with a score of min_score or more. All columns stay as they are.
+
+    The model is trained on docs' own labelled rows; without any, or without letters, nothing is told and all rows go."""
+    aside = {c: f"_driftloom_{c}" for c in docs.columns if c in ("lang_pred", "lang_score")}
+    found = identify_language(docs.withColumnsRenamed(aside), train_language(train_rows(docs), params))
+    kept = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= min_score)).drop("lang_pred", "lang_score")
+    return kept.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)

@@ -19,34 +19,34 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     Lines are reduced to 16-byte hashes before any shuffle, counts are combined before it, and only ids, positions and
     one copy of each text travel."""
     own = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    base = docs.select(*own, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_body")).withColumn("_same", F.xxhash64("_body"))
+    base = docs.select(*own, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_driftloom_body")).withColumn("_driftloom_same", F.xxhash64("_driftloom_body"))
     key = F.btrim(F.col("_line"), F.lit(SPACES))
     lines = (
         base.filter(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), "_same", F.posexplode(F.split(ascii_lower(F.col("_body")), "\n", -1)).alias("_pos", "_line"))
+        .select(F.col(id_col).alias("_driftloom_id"), "_driftloom_same", F.posexplode(F.split(ascii_lower(F.col("_driftloom_body")), "\n", -1)).alias("_pos", "_line"))
         .withColumn("_key", key)
         .filter(F.char_length("_key") >= min_chars)
-        .select("_id", "_same", "_pos", F.unhex(F.md5("_key")).alias("_hash"))
+        .select("_driftloom_id", "_driftloom_same", "_pos", F.unhex(F.md5("_key")).alias("_hash"))
     )
     lines = materialise(lines, "lines")  # both the counts and the join below read it
     groups = lines.groupBy("_hash")
     if min_docs == 2:
-        counted = groups.agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter(F.col("_first") != F.col("_last"))
+        counted = groups.agg(F.min("_driftloom_id").alias("_first"), F.max("_driftloom_id").alias("_last")).filter(F.col("_first") != F.col("_last"))
     else:
-        counted = groups.agg(F.min("_id").alias("_first"), F.count_distinct("_id").alias("_n")).filter(F.col("_n") >= min_docs)
+        counted = groups.agg(F.min("_driftloom_id").alias("_first"), F.count_distinct("_driftloom_id").alias("_n")).filter(F.col("_n") >= min_docs)
     dropped = (
         lines.join(counted.select("_hash", "_first"), "_hash")
-        .filter(F.col("_id") != F.col("_first"))
-        .groupBy("_id", "_same")
-        .agg(F.collect_set("_pos").alias("_drop"))
+        .filter(F.col("_driftloom_id") != F.col("_first"))
+        .groupBy("_driftloom_id", "_driftloom_same")
+        .agg(F.collect_set("_pos").alias("_driftloom_drop"))
     )
-    split = F.split("_body", "\n", -1)
-    joined = base.join(dropped, (F.col(id_col) == F.col("_id")) & (base["_same"] == dropped["_same"]), "left").select(*(base[c] for c in own), base["_body"], "_drop")
-    lines_of = joined.withColumn("_lines", split)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop")), lambda i: F.element_at("_lines", i + 1))
+    split = F.split("_driftloom_body", "\n", -1)
+    joined = base.join(dropped, (F.col(id_col) == F.col("_driftloom_id")) & (base["_driftloom_same"] == dropped["_driftloom_same"]), "left").select(*(base[c] for c in own), base["_driftloom_body"], "_driftloom_drop")
+    lines_of = joined.withColumn("_driftloom_lines", split)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_driftloom_lines") - 1), F.col("_driftloom_drop")), lambda i: F.element_at("_driftloom_lines", i + 1))
     return lines_of.select(
         *own,
-        F.when(F.col("_drop").isNull(), F.col("_body")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("_driftloom_drop").isNull(), F.col("_driftloom_body")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        F.size("_driftloom_lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("_driftloom_drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )

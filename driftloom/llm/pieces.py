@@ -21,7 +21,7 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words and parts of words whose pieces a task remembers before it forgets them all.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 
 def read_model(path: str) -> dict:
@@ -269,6 +269,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", chec
                 listed = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(ids))
                 cols = [part.column(c) for c in own] + [listed, pa.array(np.diff(ends).astype(np.int32))] + ([pa.array(same, pa.bool_())] if check else [])
                 yield pa.RecordBatch.from_arrays(cols, [*own, *new])
+            pa.default_memory_pool().release_unused()
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema] + ["ids array<int>", "n_tokens int", *(["round_trip boolean"] if check else [])]
     return docs.select(*(F.col(f"`{c}`") for c in own)).mapInArrow(run, ", ".join(fields))

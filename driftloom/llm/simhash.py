@@ -79,6 +79,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str
             for part in slices(batch, "text"):
                 fp, n = fingerprint_words(part.column("text"), shingle, words)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), *(pa.array(fp[:, w].astype(np.int64)) for w in range(words))], ["id", "n", *names])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n long, " + ", ".join(f"{c} long" for c in names))
 
@@ -270,5 +271,5 @@ def near_dedup(docs: DataFrame, shingle: int = 5, words: int = 4, radius: int =
     nearly all above; unrelated texts differ in about 128. Rows with a null id stay; repeated rows of the id that stays
     stay too."""
     prints = materialise(fingerprints(docs, shingle, words, id_col, text_col), "prints")
-    gone = near_components(prints, words, radius, total, 0.8).filter("component <> id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = near_components(prints, words, radius, total, 0.8).filter("component <> id").select(F.col("id").alias("_driftloom_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("_driftloom_gone"), "left_anti")
