@@ -3,13 +3,21 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driftloom.learning import curves, prepare
+from driftloom.learning import curves, evaluate, loader, prepare
 from driftloom.operators import neighbours, validate
 from driftloom.operators import segments as seg
 from driftloom.operators import signal as sig
 from driftloom.queries_tables import CURVE, SCORED, predicted, read, rounded, scored
 from driftloom.queries_time import HOUR, ISLANDS, KEY, ORDER, REC, active, flagged, recordings
 
+NIGHTS_P = "n AS (SELECT o_custkey AS id, o_orderkey AS night, round(o_totalprice / 500000, 9) AS prob, CAST(o_custkey % 3 = 0 AS INTEGER) AS y FROM orders)"
+
+
+def _nights(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("night"), F.round(F.col("o_totalprice") / 500000, 9).alias("prob"), (F.col("o_custkey") % 3 == 0).cast("int").alias("y"))
+
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -108,3 +116,48 @@ def resolved_masks(spark, sf_dir):
 @query(f"WITH {ISLANDS}, l AS (SELECT *, CASE WHEN start_us - lag(end_us) OVER (PARTITION BY recording_id ORDER BY start_us) > {24 * HOUR} THEN 1 ELSE 0 END AS cut FROM s WHERE flag), k AS (SELECT *, sum(cut) OVER (PARTITION BY recording_id ORDER BY start_us) AS id FROM l) SELECT recording_id, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n_parts, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY recording_id, id")
 def merge_touching_segments(spark, sf_dir):
     return seg.merge_close(seg.segments(flagged(spark, sf_dir), KEY, ORDER, "flag"), KEY, 24 * HOUR, strict=False)
+
+
+# --- loading and evaluating
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 WHEN c_mktsegment = 'MACHINERY' THEN 0 END AS y FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def label_map(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").withColumn("y", loader.label_of(F.concat(F.lit(" "), F.initcap("c_mktsegment")), {"Building": 1, "machinery ": 0}))
+    return c.filter("y IS NOT NULL").select("c_custkey", "y")
+
+
+def _moves(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id"))
+    return read(spark, sf_dir, "lineitem").join(o, "l_orderkey").select("id", F.lit("").alias("record_id"), F.col("l_orderkey").alias("night"), F.col("l_quantity").alias("time_diff"), F.col("l_discount").alias("f"))
+
+
+@query("""WITH w AS (SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS y FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 5 <> 0),
+  n AS (SELECT o_custkey AS id, l_orderkey AS night, avg(l_discount) AS m, quantile_cont(l_discount, 0.9) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 0.5 AND l_quantity < 40 GROUP BY 1, 2)
+  SELECT n.id, max(y) AS y, round(avg(m) + 1.7e-9, 7) AS f_mean, round(avg(p) + 1.7e-9, 7) AS f_p90 FROM n JOIN w ON n.id = w.id GROUP BY 1""")
+def load_patients(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    meta = c.select(F.col("c_custkey").alias("ID"), F.col("c_mktsegment").alias("diagnosis"), F.when(F.col("c_custkey") % 5 == 0, "1").otherwise("0").alias("exclude"))
+    got = loader.load_set(_moves(spark, sf_dir), meta, ["f"], {"building": 1, "machinery": 0}, "patient", longest_s=40.0, functions=["mean", "p90"])
+    return got.select("id", "y", *(F.round(F.col(x) + 1.7e-9, 7).alias(x) for x in ("f_mean", "f_p90")))
+
+
+@query(f"""WITH {NIGHTS_P}, p AS (SELECT id, avg(prob) AS m, sum(CASE WHEN prob >= 0.4 THEN 1 ELSE 0 END) AS s, count(*) AS k, max(y) AS y FROM n GROUP BY 1), v AS (SELECT y, CAST(m > 0.4 AS INTEGER) AS pred_mean, CAST(s >= k / 2.0 AS INTEGER) AS pred_majority FROM p),
+  l AS (SELECT 'pred_mean' AS way, y, pred_mean AS pred FROM v UNION ALL SELECT 'pred_majority', y, pred_majority FROM v UNION ALL SELECT 'pred_any', y, greatest(pred_mean, pred_majority) FROM v UNION ALL SELECT 'pred_all', y, least(pred_mean, pred_majority) FROM v)
+  SELECT way, count(*) FILTER (pred = 1 AND y = 1) AS tp, count(*) FILTER (pred = 1 AND y = 0) AS fp, count(*) FILTER (pred = 0 AND y = 1) AS fn, count(*) FILTER (pred = 0 AND y = 0) AS tn FROM l GROUP BY 1""")
+def patient_scores(spark, sf_dir):
+    nights = _nights(spark, sf_dir)
+    return evaluate.patient_scores(evaluate.patient_table(nights, 0.4)).select("way", "tp", "fp", "fn", "tn")
+
+
+@query(f"""WITH {NIGHTS_P}, c AS (SELECT count(*) FILTER (prob >= 0.4 AND y = 1) AS tp, count(*) FILTER (prob >= 0.4 AND y = 0) AS fp, count(*) FILTER (prob < 0.4 AND y = 1) AS fn, count(*) FILTER (prob < 0.4 AND y = 0) AS tn, avg((prob - y) ** 2) AS b FROM n)
+  SELECT tp, fp, fn, tn, round(b, 6) AS brier, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c""")
+def night_scores(spark, sf_dir):
+    return rounded(evaluate.night_scores(_nights(spark, sf_dir), 0.4).select("tp", "fp", "fn", "tn", "brier", "accuracy"))
+
+
+@query()
+def rank_features(spark, sf_dir):
+    """All rankings of the embeddings' first numbers against a label."""
+    e = read(spark, sf_dir, "embeddings").select((F.col("label") % 2).cast("int").alias("y"), *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(5)))
+    return loader.rank_features(e, [f"x{k}" for k in range(5)])
