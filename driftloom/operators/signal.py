@@ -10,16 +10,14 @@ from pyspark.sql import functions as F
 from driftloom.functions.numeric import quantile, z_angle
 
 from .segments import HOUR_US, contained_in, islands, points_in_intervals, segments, sessions
-from .timeaxis import DAY_US, anchored_bins, bin_stats, ordered, rolling_median
+from .timeaxis import DAY_US, anchored_bins, bin_stats, ordered, rolling_median, rolling_medians
 
 
 def z_angle_change(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int) -> DataFrame:
     """Epochs of rows samples: mean z-angle of the trailing medians of x, y, z over rows samples, and its absolute change.
 
     The first rows - 1 samples have no median; the last epoch may be short; the first change is 0."""
-    w = ordered(keys, order)
-    medians = {f"_{c}": quantile(F.col(c), 0.5).over(w.rowsBetween(-(rows - 1), 0)) for c in "xyz"}
-    angles = df.withColumns({**medians, "_rn": F.row_number().over(w)}).filter(F.col("_rn") >= rows)
+    angles = rolling_medians(df, keys, order, ["x", "y", "z"], rows, "_rn").filter(F.col("_rn") >= rows).withColumnsRenamed({f"{c}_median": f"_{c}" for c in "xyz"})
     angles = angles.withColumn("epoch", F.floor((F.col("_rn") - rows) / rows).cast("long")).withColumn("_angle", z_angle(F.col("_x"), F.col("_y"), F.col("_z")))
     means = angles.groupBy(*keys, "epoch").agg(F.avg("_angle").alias("angle"))
     change = F.abs(F.col("angle") - F.lag("angle").over(ordered(keys, ["epoch"])))
@@ -239,6 +237,31 @@ def _steady(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.array([b[1] - a[1] * gain + s2, s2])
 
 
+def run_section(row: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 256) -> np.ndarray:
+    """One second-order section over x (n, columns) from a state (2, columns), a block of samples at a time.
+
+    Within a block the output is a triangular matrix times the input plus what the block's first state adds; only those
+    states go from block to block."""
+    b, a = row[:3], row[3:]
+    step, into = np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    response = np.array([b[0], *(p[0] @ into for p in powers[: block - 1])])
+    k = np.arange(block)
+    inside = np.where(k[:, None] >= k, response[np.abs(k[:, None] - k)], 0.0)
+    adds, ends = np.stack([p[0] for p in powers[:block]]), np.stack([powers[block - 1 - j] @ into for j in range(block)], axis=1)
+    n, blocks = len(x), -(-len(x) // block)
+    parts = np.zeros((blocks * block, x.shape[1]))
+    parts[:n] = x
+    parts = parts.reshape(blocks, block, -1)
+    gains, states = ends @ parts, np.empty((blocks, 2, x.shape[1]))
+    for i in range(blocks):
+        states[i] = state
+        state = powers[block] @ state + gains[i]
+    return (inside @ parts + adds @ states).reshape(blocks * block, -1)[:n]
+
+
 def filter_both_ways(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Zero-phase filtering of x (n, columns): forward, then backward, over ends continued point-symmetrically."""
     pad = 3 * (2 * len(sections) + 1)
@@ -247,16 +270,7 @@ def filter_both_ways(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     y = np.concatenate([2 * x[:1] - x[pad:0:-1], x, 2 * x[-1:] - x[-2 : -pad - 2 : -1]])
     for _ in range(2):
         for row in sections:
-            b, a = row[:3], row[3:]
-            s1, s2 = (s * y[0] for s in _steady(b, a))
-            out = np.empty_like(y)
-            for n in range(len(y)):
-                v = y[n]
-                w = b[0] * v + s1
-                s1 = b[1] * v - a[1] * w + s2
-                s2 = b[2] * v - a[2] * w
-                out[n] = w
-            y = out
+            y = run_section(row, y, _steady(row[:3], row[3:])[:, None] * y[0])
         y = y[::-1]
     return y[pad:-pad]
 

@@ -4,6 +4,7 @@ A recording is rows of one key with a time in microseconds (us), ordered by us a
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +84,37 @@ def rolling_median(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     return df.withColumn(name, F.when(full, quantile(F.col(value), 0.5).over(w.rowsBetween(-(rows - 1), 0))))
 
 
+#: Rows from which a rolling median is kept by pandas' sorted window instead of by sorting every frame, and the rows of a
+#: recording that one task then takes at a time.
+WIDE, PIECE = 50, 500_000
+
+
+def rolling_medians(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], rows: int, number: str = "row", piece: int = PIECE) -> DataFrame:
+    """keys, number (each row's place from 1) and <value>_median of the last rows values; null until there are that many.
+
+    A frame's median costs its width in an expression, so wide ones go to pandas, a piece of a recording at a time; the
+    rows that the next piece's first windows need are dealt to it as well."""
+    w = ordered(keys, order)
+    numbered = df.withColumn(number, F.row_number().over(w))
+    if rows <= WIDE:
+        medians = {f"{v}_median": F.when(F.col(number) >= rows, quantile(F.col(v), 0.5).over(w.rowsBetween(-(rows - 1), 0))) for v in values}
+        return numbered.withColumns(medians).select(*keys, number, *medians)
+    own = F.floor((F.col(number) - 1) / piece)
+    last = F.floor((F.col(number) - 1 + rows - 1) / piece)
+    dealt = numbered.select(*keys, number, *values, F.explode(F.sequence(own, last)).alias("_piece"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + f", {number} long, " + ", ".join(f"{v}_median double" for v in values)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(number)
+        out = pdf[[*keys, number]].copy()
+        for v in values:
+            m = pdf[v].astype(float).rolling(rows).median()
+            out[f"{v}_median"] = m.where(pdf[number] >= rows)
+        return out[((out[number] - 1) // piece) == pdf["_piece"].iloc[0]]
+
+    return dealt.groupBy(*keys, "_piece").applyInPandas(run, schema)
+
+
 def fill_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "filled") -> DataFrame:
     """The next known value, else the last one."""
     w = ordered(keys, order)

@@ -201,3 +201,26 @@ def test_recording_to_night_features(spark):
     assert len(found) == 2 and all(r["n_moves"] > 10 and r["sleep_eff"] > 0.5 and r["mean_mag_mean"] > 0 for r in found)
     assert {f"{f}_mean" for f in ft.local_feature_names()} <= set(found[0].asDict())
     assert plan.restrict_to_nights(done).filter("sptw").count() <= done.filter("sptw").count()
+
+
+def test_blocks_of_a_filter_equal_its_recursion():
+    rng = np.random.default_rng(6)
+    x, row = rng.normal(size=(700, 2)), sig.butterworth_sections(100, None, 20)[0]
+    s1 = s2 = np.zeros(2)
+    want = []
+    for v in x:
+        y = row[0] * v + s1
+        s1, s2 = row[1] * v - row[4] * y + s2, row[2] * v - row[5] * y
+        want.append(y)
+    assert np.allclose(sig.run_section(row, x, np.zeros((2, 2))), want)
+    t = np.arange(400_000)
+    assert len(sig.filter_both_ways(sig.butterworth_sections(100, None, 20), np.stack([t, t, t], axis=1) * 1e-5)) == len(t)
+
+
+def test_wide_medians_equal_narrow_ones(spark, monkeypatch):
+    df = rows_frame(spark, 400)
+    get = lambda **k: sorted(map(tuple, tx.rolling_medians(df, KEY, ["us", "id"], ["value"], 20, **k).collect()))
+    narrow = get()
+    monkeypatch.setattr(tx, "WIDE", 5)
+    for piece in (7, 50, 10_000):
+        assert [(a, b, None if c is None else round(c, 9)) for a, b, c in get(piece=piece)] == [(a, b, None if c is None else round(c, 9)) for a, b, c in narrow]
