@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.numeric import quantile, z_angle
 
-from .segments import HOUR_US, contained_in, islands, points_in_intervals, segments, sessions
+from .segments import HOUR_US, contained_in, points_in_intervals, segments, sessions
 from .timeaxis import DAY_US, anchored_bins, bin_stats, ordered, rolling_median, rolling_medians
 
 
