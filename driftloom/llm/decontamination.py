@@ -6,7 +6,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, mix, segment_hashes, string_bytes, word_hashes
+from .common import BASE_B, mix, segment_hashes, string_bytes, word_hashes
 from .simhash import slices
 
 #: Edits allowed as a share of an item's words; items with fewer words than MIN_WORDS are evidence of nothing.
