@@ -24,8 +24,11 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ASIDE = frozenset("aside button canvas datalist dialog footer form head input label menu nav object option search select svg".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 MARKS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion disqus dropdown footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar tracking warning widget".split()
+    "ad ads adsense advert adverts aside advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright crumb crumbs disclaimer discussion disqus dropdown foot footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popular popup promo promoted promotion rail recommended related replies reply respond responses share sharing side sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar tracking trending warning widget".split()
 )
+#: Whole names of the main text's elements, and words of names that only mention an aside ("has-sidebar").
+CONTENT = frozenset("article content entry main post story".split())
+DENIALS = frozenset("has is no with without".split())
 #: Elements that are what they are, whatever their names say.
 ROOTS = frozenset(("article", "main", "body", "html"))
 
@@ -68,8 +71,11 @@ def is_aside(name: str, tag: str, in_article: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in ROLES:
         return True
-    words = set(_PART.findall((attrs.get("class", "") + " " + attrs.get("id", "")).lower()))
-    return name in RAW or bool(words & MARKS) and not words & {"content", "article", "main", "body"}
+    names = (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split()
+    if name in RAW or not names or not CONTENT.isdisjoint(names):
+        return name in RAW
+    marks = MARKS - {"header"} if in_article else MARKS
+    return any(words & marks and not words & DENIALS for words in (set(_PART.findall(n)) for n in names))
 
 
 def parse(page: str) -> list[tuple]:

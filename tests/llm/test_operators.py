@@ -327,6 +327,11 @@ def test_pages():
     assert html_text.main_text(page, weights) == "T & U\n\nOne two three\n\nFour five\n\nSix"
     assert html_text.main_text("<article><p>a</article><section id='comments'><article><p>Reader said a very long thing here today</article></section>", weights) == "a"
     assert [html_text.main_text(x, weights) for x in (None, "", "<article></article>", "just words", "<p>cut <b", "<", "<script>var a = 1")] == ["", "", "", "just words", "cut", "<", ""]
+    body = "<p>The words of the article stand here in one plain line.</p>"
+    for page in (f'<div class="page has-sidebar"><div class="content">{body}</div><div class="sidebar-content"><p>Other things to read now</p></div></div>', f'<article><div class="article-header"><h1>Head</h1></div>{body}<div class="article-footer">Filed</div><div class="ad-slot">Buy this thing now</div></article>',
+                 f'<div id="main">{body}</div><div class="comment-content"><p>I say that it is so</p></div><div role="complementary">More</div><div style="display: none">unseen words here</div>', f'<main><div class="post">{body}</div><form>mail <input></form></main>'):
+        text = html_text.main_text(page, weights)
+        assert text.removeprefix("Head\n\n") == "The words of the article stand here in one plain line."
     long = "<article>" + "<p>word word word</p>" * 20000 + "</article>"
     assert len(html_text.main_text(long, weights)) == 20000 * 16 - 2
 
