@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats
-from .common import table
+from .common import spread, table
 from .decontamination import find_leaks
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
@@ -20,12 +20,12 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = simhash_components(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = train_language(train_rows(docs))
     found = identify_language(docs.select("doc_id", "text"), model)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
@@ -55,15 +55,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return extract_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL).select("doc_id", "n_tokens", "round_trip", "ids")
+    return encode_pieces(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), PIECE_MODEL).select("doc_id", "n_tokens", "round_trip", "ids")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = table(spark, sf_dir, "labels").filter(fold != 0).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
     model = train_quality(docs.filter(fold != 0).select(F.col("doc_id").alias("id"), "text"), known)
