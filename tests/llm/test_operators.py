@@ -104,6 +104,13 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert got == {0, 10, 20, 30, 40, 50, None, 200} | {100 + k for k in range(20)}
 
 
+def test_near_dedup_counts_a_repeated_shingle_once(spark):
+    rnd = random.Random(8)
+    text = lambda k, marks: " ".join([*(f"{rnd.choice(WORDS)}{rnd.randrange(10000)}" for _ in range(k)), *["-"] * marks])
+    rows = [(1, text(200, 220)), (2, text(200, 220)), (3, text(2000, 2200)), (4, text(30, 3000))]
+    assert {r["doc_id"] for r in simhash.near_dedup(frame(spark, rows)).collect()} == {1, 2, 3, 4}
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     order = list(range(n))
