@@ -248,22 +248,23 @@ def near_components(prints: DataFrame, words: int = 1, radius: int = 2, total: i
 
     Two fingerprints link if their first words differ in at most radius bits and all words in at most total. Copies of a
     fingerprint are one node. Tiles are groups of equal population counts of the quarters, compared only with those
-    within the radius (radius 2 or less); with least_ratio, groups of like numbers of shingles n in bands 5 % wide (under
-    1,000 for any text), compared with those that some n of the ratio may be in. Rows with a null id neither link nor get
-    a component; equal ids are one document."""
+    within the radius (radius 2 or less); with least_ratio, groups of like numbers of distinct shingles n in bands 5 %
+    wide (under 1,000 for any text), compared with those that some n of the ratio may be in; copies of a fingerprint are
+    then a node in each band. Rows with a null id neither link nor get a component; equal ids are one document."""
     fs = [f"f{w}" for w in range(words)]
-    nodes = materialise(prints.groupBy(*fs).agg(F.min("id").alias("node"), F.min("n").alias("n")), "fingerprints").filter(F.col("node").isNotNull())
     if least_ratio is None:
         if radius > 2:
             raise ValueError("wider radii need least_ratio")
-        items, steps = nodes.withColumn("key", _population_key()), _population_steps(radius)
+        key, steps = _population_key(), _population_steps(radius)
     else:
-        band = F.when(F.col("n") < 1, F.lit(-1000)).otherwise(F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(1.05)))).cast("long")
-        items, steps = nodes.withColumn("key", band), list(range(math.ceil(-math.log(least_ratio) / math.log(1.05)) + 1))
+        key = F.when(F.col("n") < 1, F.lit(-1000)).otherwise(F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(1.05)))).cast("long")
+        steps = list(range(math.ceil(-math.log(least_ratio) / math.log(1.05)) + 1))
+    own = [*fs, "key"]
+    items = materialise(prints.withColumn("key", key).groupBy(*own).agg(F.min("id").alias("node")), "fingerprints").filter(F.col("node").isNotNull())
     found = components(tile_edges(items.select("node", "key", *fs), words, steps, radius, 64 * words if total is None else total))
-    named = nodes.join(found, "node", "left").select(*(F.col(f).alias(f"_{f}") for f in fs), F.coalesce("component", "node").alias("component"))
-    match = [F.col(f) == F.col(f"_{f}") for f in fs]
-    return prints.join(named, match, "left").withColumn("component", F.when(F.col("id").isNotNull(), F.col("component"))).select(*prints.columns, "component")
+    named = items.join(found, "node", "left").select(*(F.col(f).alias(f"_{f}") for f in own), F.coalesce("component", "node").alias("component"))
+    match = [F.col(f) == F.col(f"_{f}") for f in own]
+    return prints.withColumn("key", key).join(named, match, "left").withColumn("component", F.when(F.col("id").isNotNull(), F.col("component"))).select(*prints.columns, "component")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,8 +281,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, words: int = 4, radius: int =
     A similarity of 0.8 of five-word shingles is a cosine of 0.89 or more, an angle of 0.15 pi or less: 39 of 256 bits
     differ on average, with a deviation of 6. 50 bits, and 18 of the first 64, catch 97 in 100 pairs at 0.8 exactly and
     nearly all above; unrelated texts differ in about 128. A text's shingles are a set: one that it repeats, such as a row
-    of marks, counts once. Rows with a null id stay; repeated rows of the id that stays
-    stay too."""
+    of marks, counts once. Rows with a null id stay; repeated rows of the id that stays stay too."""
     prints = materialise(fingerprints(docs, shingle, words, id_col, text_col, distinct=True), "prints")
     gone = near_components(prints, words, radius, total, 0.8).filter("component <> id").select(F.col("id").alias("_driftloom_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_driftloom_gone"), "left_anti")

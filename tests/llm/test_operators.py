@@ -111,6 +111,20 @@ def test_near_dedup_counts_a_repeated_shingle_once(spark):
     assert {r["doc_id"] for r in simhash.near_dedup(frame(spark, rows)).collect()} == {1, 2, 3, 4}
 
 
+def test_near_dedup_meets_texts_written_twice(spark):
+    rnd = random.Random(9)
+    text = lambda k: " ".join(f"{rnd.choice(WORDS)}{rnd.randrange(10000)}" for _ in range(k))
+    a, b = text(300), text(300)
+    rows = [(1, a), (2, f"{a} {a}"), (3, b), (4, b + f" {b[: len(b) // 2]}" * 3), (5, text(300))]
+    assert {r["doc_id"] for r in simhash.near_dedup(frame(spark, rows)).collect()} == {1, 3, 5}
+
+
+def test_near_components_seek_copies_in_every_band(spark):
+    rows = [(1, 100, 7), (2, 200, 7), (3, 190, 3), (4, 100, 1 << 40)]
+    got = {r["id"]: r["component"] for r in simhash.near_components(frame(spark, rows, "id long, n long, f0 long"), 1, 2, None, 0.8).collect()}
+    assert got[1] == 1 and got[2] == got[3] == 2
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     order = list(range(n))
