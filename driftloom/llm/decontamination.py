@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from .common import BASE_B, mix, segment_hashes, string_bytes, word_hashes
 from .simhash import slices
 
-#: Edits allowed as a share of an item's words; items with fewer words than MIN_WORDS are evidence of nothing.
-EDITS, MIN_WORDS = 0.2, 5
+#: Edits allowed as a share of an item's words; of fewer than five words, none.
+EDITS = 0.2
 #: Repetitions of the LSH, and symbols of the embedding that one repetition samples.
 REPEATS, SAMPLED = 40, 4
 #: Characters of items that one pass over the documents holds.
@@ -41,7 +41,7 @@ class Items:
     def __init__(self, ids: list, texts: list[str], share: float = EDITS, repeats: int = REPEATS, sampled: int = SAMPLED, seed: int = 7):
         hashes, first = words_of(pa.array([t or "" for t in texts], pa.string()))
         own = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
-        keep = [k for k, w in enumerate(own) if len(w) >= MIN_WORDS]
+        keep = [k for k, w in enumerate(own) if len(w)]
         self.ids, self.words = [ids[k] for k in keep], [own[k] for k in keep]
         self.share, self.repeats, self.sampled, self.seed = share, repeats, sampled, seed
         # k edits cut an item of n words into k + 1 runs at most, so one of at least (n - k) / (k + 1) words is whole.
@@ -69,7 +69,8 @@ class Items:
         """(windows, repeats) LSH keys of equally long windows.
 
         Each repetition walks the window at random (CGK): step j writes the word it stands on and moves on if a bit drawn
-        for the step and the word says so. The key is made of the words at sampled steps of the 3 n."""
+        for the step and the word says so. The key is made of the words at sampled steps of the 3 n
+        (of one word, all three)."""
         count, n = windows.shape
         padded = np.concatenate([windows, np.zeros((count, 1), np.uint64)], axis=1)
         rng = np.random.default_rng(self.seed + n)
@@ -77,7 +78,7 @@ class Items:
         rows = np.arange(count)
         for r in range(self.repeats):
             salts = rng.integers(0, 1 << 63, 3 * n, dtype=np.uint64)
-            steps = np.sort(rng.choice(3 * n, self.sampled, replace=False))
+            steps = np.sort(rng.choice(3 * n, min(self.sampled, 3 * n), replace=False))
             at, key = np.zeros(count, np.int64), np.full(count, np.uint64(r + 1))
             take = set(steps.tolist())
             for j in range(int(steps[-1]) + 1):
@@ -173,8 +174,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = EDITS, id_col:
     first_word, n_words, distance (of the closest window, the first of equals).
 
     Words are lower-cased runs of letters and digits. An item of n words is held if a window of n words is at most
-    share * n word edits from it; places over a text's end count as edits. Null or empty texts, and items of fewer than
-    five words, match nothing. Null ids stay null; repeated rows are reported each. Without items or documents the
+    share * n word edits from it; places over a text's end count as edits. An item of fewer
+    than five words is held only as it stands. Null or empty texts match nothing. Null ids stay null; repeated rows are reported each. Without items or documents the
     result is empty; other columns are ignored."""
     kinds = (dict(docs.dtypes)[id_col], dict(items.dtypes)[item_id])
     schema = f"{id_col} {kinds[0]}, {item_id} {kinds[1]}, first_word long, n_words long, distance long"

@@ -167,6 +167,14 @@ def test_leaks_against_brute_force(spark):
     assert clean == {d for d, _ in docs} - {d for d, _, _ in got}
 
 
+def test_short_items_match_as_they_stand(spark):
+    items = frame(spark, [(1, "Yes!"), (2, "two words"), (3, "it is three"), (4, "one of four words")], "item_id long, text string")
+    docs = [(1, "He said: yes."), (2, "Two, words"), (3, "two more words"), (4, "say it is three or so"), (5, "it was three"), (6, "one of four words"), (7, "yesterday"), (8, "words two"), (9, None)]
+    got = {tuple(r) for r in decontamination.find_leaks(frame(spark, docs), items).collect()}
+    assert got == {(1, 1, 2, 1, 0), (2, 2, 0, 2, 0), (4, 3, 1, 3, 0), (6, 4, 0, 4, 0)}
+    assert {r["doc_id"] for r in decontamination.decontaminate(frame(spark, docs), items).collect()} == {3, 5, 7, 8, 9}
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
