@@ -79,10 +79,11 @@ def is_aside(name: str, tag: str, in_article: bool) -> bool:
 
 
 def parse(page: str) -> list[tuple]:
-    """(class, words, text or None, root, main) of each token, in order.
+    """(class, words, text or None, root, main, aside) of each token, in order.
 
     class: "text", "link" or "aside" of words (where they stand), the element's name of tags. root numbers the article or
-    main element around it, 0 outside. main is what data-main marks in labelled pages, else None."""
+    main element around it, 0 outside. main is what data-main marks in labelled pages, else None. aside: whether it belongs to
+    an aside, whose own tags do."""
     out, stack, root, roots = [], [], 0, 0  # of the stack: name, aside, link, root, main
     for kind, name, t in tokens(page):
         aside, link, root, main = stack[-1][1:] if stack else (False, False, 0, None)
@@ -90,7 +91,7 @@ def parse(page: str) -> list[tuple]:
             text = html.unescape(t)
             n = len(text.split())
             if n or text:
-                out.append(("aside" if aside else "link" if link else "text", n, text, root, main))
+                out.append(("aside" if aside else "link" if link else "text", n, text, root, main, aside))
         elif kind == "open":
             if name in BLOCK and any(s[0] == "p" for s in stack[-4:]):  # a block ends an open paragraph
                 while stack[-1][0] != "p":
@@ -103,14 +104,16 @@ def parse(page: str) -> list[tuple]:
                 roots += 1
                 root = root or roots
             mark = re.search(r'data-main="([01])"', t)
-            out.append((name, 0, None, root, main))
+            aside = aside or is_aside(name, t, root > 0)
+            out.append((name, 0, None, root, main, aside))
             if name not in VOID and not t.endswith("/>"):
-                stack.append((name, aside or is_aside(name, t, root > 0), link or name == "a", root, mark.group(1) == "1" if mark else main))
+                stack.append((name, aside, link or name == "a", root, mark.group(1) == "1" if mark else main))
         else:
             if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
+                while (top := stack.pop())[0] != name:
                     pass
-            out.append((name, 0, None, root, main))
+                aside = top[1]
+            out.append((name, 0, None, root, main, aside))
     return out
 
 
@@ -121,7 +124,7 @@ def learn_weights(pages: list[str] = PAGES) -> dict[str, float]:
     -0.05: words score positive unless they stand in asides, tags negative. "" is a tag that no page has."""
     inside, outside = Counter(), Counter()
     for page in pages:
-        for kind, n, text, _, main in parse(page):
+        for kind, n, text, _, main, _ in parse(page):
             (inside if main else outside)[kind] += n if text is not None else 1
     total_in, total_out = sum(inside.values()), sum(outside.values())
     odds = {k: math.log((inside[k] + 0.5) / (total_in + 1)) - math.log((outside[k] + 0.5) / (total_out + 1)) for k in inside | outside}
@@ -146,13 +149,13 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The main text of a page: its blocks, white space made single, joined by two line ends; empty if there is none.
 
     The best run of tokens is widened to the article or main element that holds most of its words, else to the blocks it
-    begins and ends in; what stands in asides within it is left out."""
+    begins and ends in; what stands in asides within it is left out, so asides score nothing: none cuts the text around it."""
     items = parse(page or "")
     other = weights[""]
-    low, high = best_run([weights.get(k, other) * (n if text is not None else 1) for k, n, text, _, _ in items])
+    low, high = best_run([0.0 if aside else weights.get(k, other) * (n if text is not None else 1) for k, n, text, _, _, aside in items])
     if low == high:  # no run pays; a root with any words is still an article
         held = Counter()
-        for k, n, text, root, _ in items:
+        for k, n, text, root, _, _ in items:
             if root and k in ("text", "link"):
                 held[root] += n
         if not held or not max(held.values()):
@@ -161,7 +164,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         low, high = _span(items, keep)
     else:
         held = Counter()
-        for k, n, text, root, _ in items[low:high]:
+        for k, n, text, root, _, _ in items[low:high]:
             if text is not None and k != "aside":
                 held[root] += n
         root = held.most_common(1)[0][0] if held else 0
@@ -173,7 +176,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             while high < len(items) and not (items[high][2] is None and items[high][0] in BLOCK):
                 high += 1
     blocks, now = [], []
-    for k, _, text, _, _ in items[low:high]:
+    for k, _, text, _, _, _ in items[low:high]:
         if text is None:
             if k in BLOCK:
                 blocks.append("".join(now))

@@ -365,6 +365,14 @@ def test_pages():
     assert len(html_text.main_text(long, weights)) == 20000 * 16 - 2
 
 
+def test_pages_keep_text_on_both_sides_of_an_aside():
+    weights = html_text.learn_weights()
+    first, rest = " ".join(f"first{k}" for k in range(30)), " ".join(f"rest{k}" for k in range(60))
+    links = "".join(f"<li><a href='#'>offer {k}</a></li>" for k in range(40))
+    for aside in (f"<div class='advert'>{'buy this now ' * 20}</div>", f"<div class='related'><ul>{links}</ul></div>", f"<aside><p>{'note ' * 50}</p></aside>"):
+        assert html_text.main_text(f"<body><div><h1>Head</h1><p>{first}</p>{aside}<p>{rest}</p></div></body>", weights) == f"Head\n\n{first}\n\n{rest}"
+
+
 def test_pages_table(spark):
     df = frame(spark, [(1, "u", "<p>Some words stand here</p>", "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     assert rows_of(html_text.extract_text(df)) == [(1, "u", "Some words stand here", 21), (2, None, "", 0), (2, None, "", 0)]
