@@ -1,7 +1,6 @@
 """SentencePiece encoding and decoding with an Aho-Corasick automaton and a single-pass Viterbi."""
 
 import hashlib
-import re
 import sys
 import types
 from array import array
@@ -9,19 +8,24 @@ from array import array
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from .common import string_bytes
 from .simhash import slices
 
 BLANK = "▁"
 #: Pieces' types in a model file. Fixed values of the format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words and parts of words whose pieces a task remembers before it forgets them all.
-REMEMBERED = 150_000
+#: Pairs of pieces that a task remembers; bytes of words and of their ids that it remembers, as new and as many as old;
+#: characters of the longest word that it remembers.
+PAIRS, REMEMBERED, LONGEST = 400_000, 48 << 20, 48
+#: Bytes of text that are encoded at once.
+SLICE = 2 << 20
 
 
 def read_model(path: str) -> dict:
@@ -45,8 +49,8 @@ class Codec:
     the best score. In a BPE model a piece may follow another only if merging their characters by score gives just those
     two, which makes the best path the model's own segmentation; in a unigram model any may follow.
 
-    A text falls apart exactly where no piece holds the two characters side by side, so words and their parts are
-    solved apart and remembered."""
+    A text falls apart exactly where no piece holds the two characters side by side. Its stretches between such places
+    are solved apart: each different one once a slice of texts, the short ones remembered from slice to slice."""
 
     def __init__(self, model: dict):
         self.pieces, self.scores, self.bpe, self.prefix = model["pieces"], model["scores"], model["bpe"], model["prefix"]
@@ -61,15 +65,16 @@ class Codec:
         self.automaton.make_automaton()
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.worst = min((self.scores[i] for i in usable), default=0.0) - 10.0
-        whole = any(BLANK in p.lstrip(BLANK) for p in self.ids)
-        self.words = re.compile(".*" if whole else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", re.S)
+        # Where a character's last byte and the next one's first byte meet in no piece, a text is cut.
+        self.cuts = np.ones((256, 256), bool)
+        for pair in self.pairs:
+            x, y = (c.encode() for c in pair.replace(BLANK, " "))
+            self.cuts[x[-1], y[0]] = False
+        self.cuts[:, 0x80:0xC0] = False  # within a character
         self.singles = {p for p in self.ids if len(p) == 1}
-        # Letters before others: a cut wherever no piece has a letter followed by anything else.
-        letters = {c for p in self.ids for c in p if re.match(r"[^\W\d_]", c)}
-        apart = not any(p[0] in letters and p[1] not in letters for p in self.pairs)
-        self.chunks = re.compile(r"[\W\d_]*[^\W\d_]+|[\W\d_]+").findall if apart else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
         self.fits: dict[int, bool] = {}
         self.splits: dict[int, tuple | None] = {}
         self.edges: dict[tuple, list] = {}
@@ -120,7 +125,7 @@ class Codec:
     def may_follow(self, a: int, b: int) -> bool:
         """Whether merging the characters of a and b never merges across: no pair at their border comes up before one of
         its sides is merged away (of equal scores, the left comes first)."""
-        if len(self.fits) > REMEMBERED:
+        if len(self.fits) > PAIRS:
             self.fits.clear()
         ids, scores, found = self.ids, self.scores, True
         for left, left_end in self.edge(a, True):
@@ -143,29 +148,17 @@ class Codec:
                 if len(edges) > 2:
                     return tuple(i for x, y in zip(edges, edges[1:]) for i in self.solve(part[x:y]))
             return self.solve_with_gaps(part)
-        last, start = [-1] * (n + 1), [0] * (n + 1)
-        if self.bpe:
-            # Just one piece may end at each position (the merged prefix's last), so the first found is the best.
-            fits, done = self.fits, -1
-            for end, (size, i, _) in self.automaton.iter(part):
-                if end == done:
-                    continue
-                at = end + 1 - size
-                if at:
+        last, start, score = [-1] * (n + 1), [0] * (n + 1), [0.0] + [float("-inf")] * n
+        bpe, fits = self.bpe, self.fits
+        for end, (size, i, s) in self.automaton.iter(part):
+            at = end + 1 - size
+            total = score[at] + s
+            if total > score[end + 1]:
+                if bpe and at:
                     fit = fits.get(last[at] << 24 | i)
-                    if fit is None:
-                        fit = self.may_follow(last[at], i)
-                    if not fit:
+                    if not (self.may_follow(last[at], i) if fit is None else fit):
                         continue
-                done = end
-                last[end + 1], start[end + 1] = i, at
-        else:
-            score = [0.0] + [float("-inf")] * n
-            for end, (size, i, s) in self.automaton.iter(part):
-                at = end + 1 - size
-                total = score[at] + s
-                if total > score[end + 1]:
-                    score[end + 1], last[end + 1], start[end + 1] = total, i, at
+                score[end + 1], last[end + 1], start[end + 1] = total, i, at
         out, at = [], n
         while at:
             out.append(last[at])
@@ -197,17 +190,15 @@ class Codec:
         return tuple(self.bytes_at[b] for b in text.encode())
 
     def word(self, word: str) -> bytes:
-        """The packed ids of a word: its parts are remembered like words."""
+        """The packed ids of a stretch of text, which holds U+2581 for spaces."""
         found = self.older.get(word)
         if found is None:
-            parts = self.chunks(word) if self.chunks else (word,)
-            if len(parts) > 1:
-                found = b"".join([self.known.get(x) or self.word(x) for x in parts])
-            else:
-                found = array("i", self.solve(word) if word.lstrip(BLANK).isascii() else self.cut(word)).tobytes()
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        self.known[word] = found
+            found = array("i", self.solve(word) if word.lstrip(BLANK).isascii() else self.cut(word)).tobytes()
+        if len(word) <= LONGEST:
+            self.held += 4 * len(word) + len(found) + 200  # with what Python adds
+            if self.held > REMEMBERED:
+                self.known, self.older, self.held = {}, self.known, 0
+            self.known[word] = found
         return found
 
     def cut(self, text: str) -> list[int]:
@@ -219,20 +210,62 @@ class Codec:
                 at = k
         return out
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin (n + 1 numbers)."""
+        data, first = self.prepared(texts)
+        edge = np.zeros(len(data), bool)
+        if len(data):
+            edge[1:] = self.cuts[data[:-1], data[1:]]
+            edge[first[:-1][first[:-1] < first[1:]]] = True
+        starts = np.flatnonzero(edge)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        known = self.known.get
+        solved = [known(w) or self.word(w) for w in pc.replace_substring(parts.dictionary, " ", BLANK).to_pylist()]
+        flat, counts = np.frombuffer(b"".join(solved), np.int32), np.fromiter(map(len, solved), np.int64, len(solved)) // 4
+        which = parts.indices.to_numpy()
+        size = counts[which]
+        ends = np.cumsum(size)
+        begin = (np.cumsum(counts) - counts)[which]
+        ids = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + size, size)]
+        return ids, np.append(0, ends)[np.searchsorted(starts, first)]
+
+    def prepared(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes to encode, with spaces where the model has U+2581, and where each text's begin; nulls are empty."""
+        texts = pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), BLANK, " ")
+        if self.prefix:
+            texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
+        return string_bytes(texts)
+
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        text = (" " + text if self.prefix else text).replace(" ", BLANK)
-        return np.frombuffer(b"".join([self.known.get(w) or self.word(w) for w in self.words.findall(text)]), np.int32)
+        return self.encode_all(pa.array([text], pa.large_string()))[0]
 
-    def decode(self, ids: np.ndarray) -> str:
-        ids = np.asarray(ids, np.int64)
+    def raw(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that ids stand for."""
         size = self.sizes[ids]
         ends = np.cumsum(size)
-        raw = self.body[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[ids] - ends + size, size)]
-        text = raw.tobytes().decode("utf-8", "replace")
+        return self.body[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[ids] - ends + size, size)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        text = self.raw(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
+    def round_trips(self, texts: pa.Array, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether each text's ids decode to the text itself, character by character: all are decoded at once, and those
+        that don't give the bytes that were encoded once more by decode()."""
+        data, at = self.prepared(texts)
+        body, size = self.raw(ids), np.append(0, np.cumsum(self.sizes[ids]))[first]
+        same = np.diff(size) == np.diff(at)
+        if same.all():
+            wrong = np.flatnonzero(body != data)
+            same[np.unique(np.searchsorted(at, wrong, side="right") - 1)] = False
+        else:
+            same[:] = False
+        same &= ~np.asarray(pc.match_substring(texts.fill_null(""), BLANK).to_numpy(zero_copy_only=False), bool)
+        for k in np.flatnonzero(~same):
+            same[k] = self.decode(ids[first[k] : first[k + 1]]) == (texts[k].as_py() or "")
+        return same
+
 
 def codec_for(model: dict) -> Codec:
     """This worker's codec: kept beside the tasks, so that what one task has solved serves the next."""
@@ -245,10 +278,10 @@ def codec_for(model: dict) -> Codec:
 def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", check: bool = True) -> DataFrame:
     """docs with ids (array of piece ids of the whole text), n_tokens and, with check, round_trip.
 
-    round_trip tells whether the ids decode to the text (where U+2581 stands for a space, as the format has it). Null and
-    empty texts have no ids and round-trip as empty. Repeated rows are encoded alike, an empty table gives an empty
-    result; columns of docs with the new names are replaced. The model's tables travel with the tasks; its file need
-    not be on the executors."""
+    round_trip tells whether the ids decode to the text itself; it is false for a text that holds U+2581, which the format
+    takes for a space. Null and empty texts have no ids and round-trip as empty. Repeated rows are encoded alike, an empty
+    table gives an empty result; columns of docs with the new names are replaced. The model's tables travel with the tasks;
+    its file need not be on the executors."""
     model = read_model(model_path)
     new = ["ids", "n_tokens", *(["round_trip"] if check else [])]
     own = [c for c in docs.columns if c not in new]
@@ -256,18 +289,11 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", chec
     def run(batches):
         codec = codec_for(model)
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
-                ids, ends, same = [], [0], []
-                chunks = []
-                for text in part.column(text_col).to_pylist():
-                    got = codec.encode(text or "")
-                    ends.append(ends[-1] + len(got))
-                    chunks.append(got)
-                    if check:
-                        same.append(codec.decode(got) == (text or "").replace(BLANK, " "))
-                ids = np.concatenate(chunks) if chunks else np.zeros(0, np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(ids))
-                cols = [part.column(c) for c in own] + [listed, pa.array(np.diff(ends).astype(np.int32))] + ([pa.array(same, pa.bool_())] if check else [])
+            for part in slices(batch, text_col, SLICE):
+                texts = part.column(text_col)
+                ids, first = codec.encode_all(texts)
+                listed = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))
+                cols = [part.column(c) for c in own] + [listed, pa.array(np.diff(first).astype(np.int32))] + ([pa.array(codec.round_trips(texts, ids, first))] if check else [])
                 yield pa.RecordBatch.from_arrays(cols, [*own, *new])
             pa.default_memory_pool().release_unused()
 

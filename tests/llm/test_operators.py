@@ -403,6 +403,24 @@ def test_pieces_equal_the_library(docs):
         assert codec.decode(ids) == text.replace("▁", " ")
 
 
+def test_pieces_of_long_words_and_long_texts():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+    codec = pieces.Codec(pieces.read_model(PIECE_MODEL))
+    rnd = random.Random(2)
+    word, text = "".join(rnd.choice("abcdeé漢") for _ in range(1 << 20)), " ".join(rnd.choice(WORDS) for _ in range(600_000))
+    ids, first = codec.encode_all(pa.array(["a b", word, None, "", text, "a b"]))
+    assert first[1] == first[-1] - first[-2] and first[2] == first[3] == first[4]
+    assert codec.round_trips(pa.array(["a b", word, None, "", text, "a b"]), ids, first).all()
+    assert ids[first[4] : first[5]].tolist() == library.encode(text)
+    assert codec.held <= pieces.REMEMBERED and max(map(len, codec.known)) <= pieces.LONGEST
+    lost = pa.array(["a", "x▁y", "b"])
+    assert codec.round_trips(lost, *codec.encode_all(lost)).tolist() == [True, False, True]
+    wrong, first = codec.encode_all(pa.array(["one two", "three"]))
+    assert codec.round_trips(pa.array(["one tow", "three"]), wrong, first).tolist() == [False, True]
+
+
 def test_pieces_of_a_unigram_model_are_the_best_path():
     rnd = random.Random(9)
     names = ["<unk>", "<s>", "▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "ca", "cab", "▁c", "bca", "dd"]
@@ -429,7 +447,8 @@ def test_pieces_table(spark, docs):
     df = frame(spark, [(*d, "x") for d in docs] + [(1, t, "y") for t in ODD], SCHEMA + ", ids string")
     coded = pieces.encode_pieces(df, PIECE_MODEL)
     got = pieces.decode_pieces(coded, PIECE_MODEL).collect()
-    assert len(got) == df.count() and all(r["round_trip"] and len(r["ids"]) == r["n_tokens"] for r in got)
+    assert len(got) == df.count() and all(len(r["ids"]) == r["n_tokens"] for r in got)
+    assert all(r["round_trip"] == ("▁" not in (r["text"] or "")) for r in got)
     assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") for r in got)
     assert pieces.encode_pieces(df.limit(0), PIECE_MODEL).count() == 0
 
