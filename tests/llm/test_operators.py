@@ -1,13 +1,14 @@
 """Each operator against its plain version, on small tables with nulls, empties, ties, repeats and clashing columns."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm import chat, decontamination, exact_dedup, html_text, language, line_dedup, pieces, quality, simhash, substring_dedup
+from driftloom.llm import chat, decontamination, exact_dedup, html_text, labelled_pages, language, line_dedup, pieces, quality, simhash, substring_dedup
 from driftloom.llm.components import components
 from driftloom.llm.queries import PIECE_MODEL
 
@@ -348,8 +349,8 @@ def test_lines_edges(spark):
 
 def test_pages():
     weights = html_text.learn_weights()
-    assert weights["text"] > 0 > weights["p"]
-    for page in html_text.PAGES:
+    assert max(weights.tags.values()) < 0
+    for page in labelled_pages.PAGES:
         text = html_text.main_text(page, weights)
         assert text and not any(x in text for x in ("cookies", "Subscribe", "Most read", "Imprint", "Buy now", "squeaks", "Maps"))
     page = "<nav><a>Menu</a></nav><article><h1>T &amp; U</h1><p>One\n two&nbsp;three<p>Four<br>five<aside>No no no no</aside><p>Six</article><footer>End</footer>"
@@ -373,6 +374,48 @@ def test_pages_keep_text_on_both_sides_of_an_aside():
         assert html_text.main_text(f"<body><div><h1>Head</h1><p>{first}</p>{aside}<p>{rest}</p></div></body>", weights) == f"Head\n\n{first}\n\n{rest}"
 
 
+def test_pages_keep_all_articles_and_blocks_with_telling_names():
+    weights = html_text.learn_weights()
+    one, two = "The first article stands here, word for word.", "The second one is no longer than the first."
+    assert html_text.main_text(f"<body><nav><a>Menu</a></nav><article><p>{one}</p></article><div class='ad'>Buy this now</div><article><p>{two}</p></article><footer>End</footer></body>", weights) == f"{one}\n\n{two}"
+    for block in ("<div class='popular-science'>Inner words stay</div>", "<p class='recommended-dose'>Inner words stay</p>", "<div class='warning'>Inner words stay</div>", "<div class='unheard-of-name'>Inner words stay</div>"):
+        assert html_text.main_text(f"<article><p>{one}</p>{block}<p>{two}</p></article>", weights) == f"{one}\n\nInner words stay\n\n{two}"
+
+
+def test_labelled_pages_held_out():
+    weights = html_text.learn_weights()
+    held = labelled_pages.labelled_pages(200, seed=99)[len(labelled_pages.PAGES) :]
+    scores = [html_text.token_f1(html_text.main_text(p, weights), html_text.true_text(p)) for p in held]
+    assert sum(scores) / len(scores) > 0.98 and html_text.learn_weights() is weights
+
+
+def test_pages_equal_the_best_of_all_runs():
+    """Against every run of tokens, its words of positive score joined block by block in a plain way."""
+    weights = html_text.learn_weights()
+    rnd = random.Random(4)
+    pieces_ = ["<div class='ad'>", "</div>", "<p>", "</p>", "<article>", "</article>", "<nav>", "</nav>", "<b>", "</b>", "<br>", "<aside>", "</aside>", "one two three ", "four", "<a href='#'>five six</a>", " seven &amp; eight nine ten ", "<h1>", "</h1>", "<section>", "</form>"]
+    for _ in range(300):
+        page = "".join(rnd.choice(pieces_) for _ in range(rnd.randrange(1, 25)))
+        items, scores, kept = html_text.scored(page, weights)
+        assert len(items) == len(scores) == len(kept)
+        best = max([0.0, *(sum(scores[a:b]) for a in range(len(items)) for b in range(a + 1, len(items) + 1))])
+        low, high = html_text.best_run(scores)
+        assert sum(scores[low:high]) == pytest.approx(best)
+        text = "".join("\x00" if x[0] in html_text.BLOCK else " " if x[0] == "br" else x[2] if x[2] is not None and k else "" for x, k in zip(items[low:high], kept[low:high]))
+        assert html_text.main_text(page, weights) == "\n\n".join(" ".join(b.split()) for b in text.split("\x00") if b.strip())
+
+
+def test_pages_of_many_and_deep_tags():
+    weights = html_text.learn_weights()
+    body = "<p>The words of the article stand here in one plain line.</p>"
+    start = time.time()
+    assert "plain line" in html_text.main_text(f"<article>{body}{'</b>' * 200_000}</article>", weights)
+    assert "plain line" in html_text.main_text("<div>" * 50_000 + f"<article>{body}</article>" + "</span></div>" * 50_000, weights)
+    assert html_text.main_text("<!" * 100_000, weights) == ""
+    assert len(html_text.main_text(f"<article><p>{'word ' * 1_000_000}</p><p>{'w' * (1 << 20)}</p></article>", weights)) == 5_000_000 - 1 + 2 + (1 << 20)
+    assert time.time() - start < 30
+
+
 def test_pages_table(spark):
     df = frame(spark, [(1, "u", "<p>Some words stand here</p>", "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     assert rows_of(html_text.extract_text(df)) == [(1, "u", "Some words stand here", 21), (2, None, "", 0), (2, None, "", 0)]
