@@ -15,9 +15,12 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all machines share. Only where the session names none (tests) is one made."""
+    """The folder all machines share, as spark.checkpoint.dir names it. Where it is unset, a local session (tests) makes
+    one, and a cluster raises: its machines would each write a folder of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="driftloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
