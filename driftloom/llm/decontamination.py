@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import BASE_B, mix, segment_hashes, string_bytes, word_hashes
 from .simhash import slices
@@ -63,7 +64,8 @@ class Items:
         for n in sorted({len(w) for w in self.words}):
             members = [k for k, w in enumerate(self.words) if len(w) == n]
             keys = self.keys(np.stack([self.words[k] for k in members]))
-            self.tables[n] = (np.array(members), keys)
+            order = np.argsort(keys, axis=None, kind="stable")  # a key tells its repetition
+            self.tables[n] = (np.array(members), keys.ravel()[order], order // self.repeats)
 
     def keys(self, windows: np.ndarray) -> np.ndarray:
         """(windows, repeats) LSH keys of equally long windows.
@@ -130,23 +132,20 @@ def leaks_in(texts, items: Items) -> tuple[np.ndarray, ...]:
         spread = np.arange(-edits, edits + 1)
         windows = np.unique(np.stack([np.repeat(text, len(spread)), (shift[:, None] + spread).ravel()]), axis=1)
         windows = windows[:, (windows[1] > -n) & (windows[1] < counts[windows[0]])]
-        members, known = items.tables[n]
-        lookup: dict[tuple, list] = {}
-        for k, row in enumerate(known.tolist()):
-            for r, key in enumerate(row):
-                lookup.setdefault((r, key), []).append(k)
-        every = np.array([x for row in known.tolist() for x in row], np.uint64)
+        members, known, owner = items.tables[n]
         for k in range(0, windows.shape[1], 20000):
             w = windows[:, k : k + 20000]
             place = w[1][:, None] + np.arange(n)
             inside = (place >= 0) & (place < counts[w[0]][:, None])
             body = np.where(inside, words[np.where(inside, first[w[0]][:, None] + place, 0)], np.uint64(0))
             keys = items.keys(body)
-            row, rep = np.nonzero(np.isin(keys, every))
-            pairs = {(i, m) for i, r in zip(row.tolist(), rep.tolist()) for m in lookup.get((r, int(keys[i, r])), ())}
-            if not pairs:
+            low, high = np.searchsorted(known, keys), np.searchsorted(known, keys, side="right")
+            row, rep = np.nonzero(high > low)
+            if not len(row):
                 continue
-            i, m = np.array(sorted(pairs)).T
+            hits = (high - low)[row, rep]
+            entry = np.arange(int(hits.sum())) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low[row, rep], hits)
+            i, m = np.unique(np.stack([np.repeat(row, hits), owner[entry]]), axis=1)
             distance = np.concatenate([edit_distances(np.stack([items.words[x] for x in members[m[c : c + 5000]]]), body[i[c : c + 5000]]) for c in range(0, len(i), 5000)])
             ok = distance <= edits
             found.append(np.stack([w[0][i[ok]], members[m[ok]], w[1][i[ok]], distance[ok]]))
@@ -175,10 +174,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = EDITS, id_col:
 
     Words are lower-cased runs of letters and digits. An item of n words is held if a window of n words is at most
     share * n word edits from it; places over a text's end count as edits. An item of fewer
-    than five words is held only as it stands. Null or empty texts match nothing. Null ids stay null; repeated rows are reported each. Without items or documents the
-    result is empty; other columns are ignored."""
+    than five words is held only as it stands. Null or empty texts match nothing. Ids may be of any type; null ids stay null;
+    repeated rows are reported each. Without items or documents the result is empty; other columns are ignored. A
+    ValueError tells of ids named alike or like a column of the result."""
+    if id_col == item_id or {id_col, item_id} & {"first_word", "n_words", "distance"}:
+        raise ValueError("the ids' columns need names of their own")
     kinds = (dict(docs.dtypes)[id_col], dict(items.dtypes)[item_id])
-    schema = f"{id_col} {kinds[0]}, {item_id} {kinds[1]}, first_word long, n_words long, distance long"
+    schema = f"`{id_col}` {kinds[0]}, `{item_id}` {kinds[1]}, first_word long, n_words long, distance long"
+    item_kind = to_arrow_type(items.schema[item_id].dataType)
     base, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), None
     for block in item_blocks(items, item_id, item_text, share):
 
@@ -186,7 +189,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = EDITS, id_col:
             for batch in batches:
                 for part in slices(batch, "text"):
                     text, item, at, distance = leaks_in(part.column("text"), block)
-                    found = pa.array([block.ids[k] for k in item.tolist()], pa.string() if kinds[1] == "string" else pa.int64())
+                    found = pa.array([block.ids[k] for k in item.tolist()], item_kind)
                     size = np.array([len(block.words[k]) for k in item.tolist()], np.int64)
                     yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(text)), found, pa.array(at), pa.array(size), pa.array(distance)], [id_col, item_id, "first_word", "n_words", "distance"])
 
