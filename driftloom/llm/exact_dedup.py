@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import SPACES, materialise, mix, runs, shuffle_parts
 
@@ -124,7 +125,7 @@ def look_up(rows: DataFrame, history: DataFrame, shards: int, spread: dict[int,
     right = history.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     right = right.select("shard", "salt", F.lit(0).alias("kind"), none("long").alias("_row"), none(id_type).alias("_id"), none("int").alias("_len"), none("binary").alias("_digest"), "keys", "seeds", "slots", "ids", "lens", "rows", "sizes")
     dealt = left.unionByName(right).repartition(shuffle_parts(rows.sparkSession), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    id_pa = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    id_pa = to_arrow_type(rows.schema["_id"].dataType)
 
     def probe(batches):
         held, at = None, None
@@ -148,31 +149,47 @@ def look_up(rows: DataFrame, history: DataFrame, shards: int, spread: dict[int,
     return dealt.mapInArrow(probe, f"_row long, _id {id_type}, _len int, _digest binary, member boolean, keep {id_type}, keep_row long, keep_len long, size long")
 
 
+def probe_history(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+    """rows with member, keep, keep_row and size, through the perfect hash over distinct; shards that hold many rows are
+    dealt over many tasks."""
+    shards = max(1, -(-distinct.count() // SHARD_KEYS))
+    limit = max(65536, -(-rows.count() // 512))
+    # At most rows / limit <= 512 shards exceed the limit, however large the table.
+    spread = {r["shard"]: -(-r["count"] // limit) for r in rows.groupBy(shard_of(shards).alias("shard")).count().filter(F.col("count") > limit).collect()}
+    return look_up(rows, build_history(distinct, shards), shards, spread)
+
+
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Decide for each row which row of the same normalised text stays. Keeps no text: id_col, _row and the decision.
 
     Returns _row (the row's number in this reading of docs), _len (code points of its text), id_col, keep_id, group_size, kept, text_sha256.
 
     history: distinct digests of an earlier corpus (as distinct_digests() gives them), whose rows are then the winners
-    of their groups: kept is false for every member. Without it, the history is docs' own distinct digests. Rows that
-    the history doesn't hold group separately.
+    of their groups: kept is false for every member. Rows that the history doesn't hold group separately.
 
-    Null text is empty; a null id loses against any other of the same length, and of rows alike in length and id
-    exactly one stays. Empty tables give empty results; other columns are ignored."""
-    spark = docs.sparkSession
+    Without it, a half of the rows (by a hash of their number) is the history of the other: the other half's rows are
+    looked up in the perfect hash over the first half's distinct digests, the members' best rows are merged into the
+    locators, nonmembers group separately. A group of many rows has some in the history, so nonmembers' groups are small.
+
+    Ids may be of any type that has an order. Null text is empty; a null id loses against any other of the same length,
+    and of rows alike in length and id exactly one stays. Empty tables give empty results; other columns are ignored."""
     rows = materialise(digest_rows(docs, id_col, text_col), "digests")
-    own = history is None
-    distinct = materialise(distinct_digests(rows) if own else history, "distinct")
-    shards = max(1, -(-distinct.count() // SHARD_KEYS))
-    total = rows.count()
-    limit = max(65536, -(-total // 512))
-    # At most total / limit <= 512 shards exceed the limit, however large the table.
-    spread = {r["shard"]: -(-r["count"] // limit) for r in rows.groupBy(shard_of(shards).alias("shard")).count().filter(F.col("count") > limit).collect()}
-    found = materialise(look_up(rows, build_history(distinct, shards), shards, spread), "looked-up")
-    members = found.filter("member").select("_row", "_id", "_len", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), ((F.col("keep_row") == F.col("_row")) if own else F.lit(False)).alias("kept"), "_digest")
-    strangers = found.filter(~F.col("member")).select("_row", "_id", "_len", "_digest")
-    groups = distinct_digests(strangers)
-    fresh = strangers.join(groups, "_digest").select("_row", "_id", "_len", F.col("_win.id").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_win.row") == F.col("_row")).alias("kept"), "_digest")
+    if history is None:
+        first = F.pmod(F.xxhash64("_row", F.lit(4)), F.lit(2)) == 0
+        known = materialise(distinct_digests(rows.filter(first)), "distinct")
+        fresh = materialise(probe_history(rows.filter(~first), known), "probed")
+        strangers = fresh.filter(~F.col("member"))
+        more = distinct_digests(fresh.filter("member")).select("_digest", F.col("_win").alias("_win2"), F.col("_size").alias("_size2"))
+        best = F.when(F.col("_win2").isNull(), F.col("_win")).otherwise(F.least("_win", "_win2"))
+        known = materialise(known.join(more, "_digest", "left").select("_digest", best.alias("_win"), (F.col("_size") + F.coalesce("_size2", F.lit(0))).alias("_size")), "merged")
+        members = probe_history(rows.filter(first).unionByName(fresh.filter("member").select(*rows.columns)), known).filter("member")
+        kept = F.col("keep_row") == F.col("_row")
+    else:
+        found = materialise(probe_history(rows, materialise(history, "distinct")), "probed")
+        members, strangers, kept = found.filter("member"), found.filter(~F.col("member")), F.lit(False)
+    members = members.select("_row", "_id", "_len", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), "_digest")
+    strangers = strangers.select("_row", "_id", "_len", "_digest")
+    fresh = strangers.join(distinct_digests(strangers), "_digest").select("_row", "_id", "_len", F.col("_win.id").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_win.row") == F.col("_row")).alias("kept"), "_digest")
     return members.unionByName(fresh).select("_row", "_len", F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
