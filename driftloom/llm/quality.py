@@ -14,7 +14,9 @@ from .language import sample_share
 
 @dataclass(frozen=True)
 class QualityParams:
-    """positives and unlabelled bound the samples the fit uses: about that many documents of each, by a hash of the id."""
+    """positives and unlabelled bound the samples the fit uses: about that many documents of each, by a hash of the id.
+
+    The rest counts and scores all documents. slack: how far below zero the risk of the unlabelled may fall."""
 
     positives: int = 3000
     unlabelled: int = 9000
@@ -23,8 +25,7 @@ class QualityParams:
     batch: int = 512
     rate: float = 0.02
     decay: float = 1e-4
-    slack: float = 0.0
-
+    slack: float = 0.05
 
 
 def _class_table() -> np.ndarray:
@@ -100,6 +101,39 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, p: QualityParams) ->
     return w[:-1], float(w[-1])
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives among the unlabelled, by best bin estimation (Garg and others, 2021).
+
+    Both are scores, of texts that the scorer wasn't fitted on, by a scorer of positives against unlabelled. Above any
+    threshold, the unlabelled's share over the positives' share bounds the prior from above; of all thresholds that one is
+    taken whose bound, with a term for the samples' sizes, is the least."""
+    cuts = np.unique(positive)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts) / len(x)
+    p, u = above(positive), above(unlabelled)
+    noise = np.sqrt(np.log(4 / delta) / (2 * len(unlabelled))) + np.sqrt(np.log(4 / delta) / (2 * len(positive)))
+    best = int(np.argmin((u + (1 + gamma) * noise) / p))
+    return float(u[best] / p[best])
+
+
+def fit_with_prior(xp: np.ndarray, xu: np.ndarray, p: QualityParams) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and the class prior, which is estimated first.
+
+    Halves take turns in fitting a scorer of positives against unlabelled (the same risk, at first with a prior of a half,
+    then with the first estimate) and being scored by it. The prior is the estimates' mean less the standard error of a
+    share of so many unlabelled, within 0.05 and 0.98: one too high harms the fit more than one as much too low."""
+    if min(len(xp), len(xu)) < 2:
+        return *fit_nnpu(xp, xu, 0.5, p), 0.5
+    prior = 0.5
+    for _ in range(2):
+        found = []
+        for k in (0, 1):
+            w, bias = fit_nnpu(xp[k::2], xu[k::2], prior, p)
+            found.append(estimate_prior(xp[1 - k :: 2] @ w + bias, xu[1 - k :: 2] @ w + bias))
+        prior = float(np.clip(np.mean(found), 0.05, 0.98))
+    prior = max(0.05, prior - float(np.sqrt(prior * (1 - prior) / len(xu))))
+    return *fit_nnpu(xp, xu, prior, p), prior
+
+
 @dataclass
 class QualityModel:
     mean: np.ndarray
@@ -113,15 +147,14 @@ class QualityModel:
 def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> QualityModel:
     """Fit on (id, text) and (id, label 0 or 1).
 
-    Positives are documents whose labels are all 1, the unlabelled are drawn from all of docs. The class prior is the
-    share of ones among the labels, a mean over all of them, kept within 0.05 and 0.98. Without positives or documents the
-    model scores everything at its prior, which is 0.5 without labels."""
+    Positives are documents whose labels are all 1, the unlabelled are drawn from all of docs; labels of 0 are not used.
+    The class prior is estimated from the two, see fit_with_prior(). Without positives or documents the model scores
+    everything at 0.5."""
     p = params
     known = labels.filter(F.col("label").isNotNull() & F.col("id").isNotNull()).groupBy("id").agg(F.min("label").alias("label"))
-    ones, every = known.agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)), F.count("*")).first()
-    prior = float(np.clip((ones or 0) / every, 0.05, 0.98)) if every else 0.5
+    ones = known.filter("label = 1").count()
     width = Style.MEASURES + p.shapes
-    zero = QualityModel(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(prior / (1 - prior))), prior, p)
+    zero = QualityModel(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.5, p)
     total = docs.count()
     if not ones or not total:
         return zero
@@ -147,9 +180,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qu
             return
         mean, scale = x[flag == 0].mean(axis=0), x[flag == 0].std(axis=0) + 1e-3
         x = np.clip((x - mean) / scale, -8, 8)
-        w, bias = fit_nnpu(x[flag == 1], x[flag == 0], prior, p)
+        w, bias, prior = fit_with_prior(x[flag == 1], x[flag == 0], p)
         out = io.BytesIO()
-        np.savez_compressed(out, mean=mean, scale=scale, w=w, bias=bias)
+        np.savez_compressed(out, mean=mean, scale=scale, w=w, bias=bias, prior=prior)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
     kind = docs.schema["id"].dataType.simpleString()
@@ -158,7 +191,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qu
     if got is None:
         return zero
     m = np.load(io.BytesIO(bytes(got["model"])))
-    return QualityModel(m["mean"], m["scale"], m["w"], float(m["bias"]), prior, p)
+    return QualityModel(m["mean"], m["scale"], m["w"], float(m["bias"]), float(m["prior"]), p)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
