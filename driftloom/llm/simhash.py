@@ -8,12 +8,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import materialise, mix, runs, shuffle_parts, string_bytes, word_spans
 from .components import components
 
-#: Fingerprints that a task holds at once, at about; shingles whose bits are counted at once; bytes of text taken at once.
-TILE, CHUNK, SLICE = 16384, 131072, 4 << 20
+#: Fingerprints of a tile, at about: a task compares two tiles; shingles whose bits are counted at once; bytes of text taken at once.
+TILE, CHUNK, SLICE = 8192, 131072, 4 << 20
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE):
@@ -82,7 +83,11 @@ def fingerprint_words(texts: pa.Array, shingle: int, words: int, distinct: bool
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
-    """id, n (shingles; distinct: each once) and the fingerprint's words f0, f1, ... of whole texts."""
+    """id, n (shingles; distinct: each once) and the fingerprint's words f0, f1, ... of whole texts.
+
+    Ids are whole numbers: the smallest names a group. A TypeError tells of others."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of a type of whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
     names = [f"f{w}" for w in range(words)]
 
     def run(batches):
@@ -120,14 +125,15 @@ class _Sets:
 class _Tile:
     """The fingerprints a task holds; other fingerprints pass by and are linked to them."""
 
-    def __init__(self, node: np.ndarray, fp: np.ndarray, radius: int, total: int):
+    def __init__(self, node: np.ndarray, fp: np.ndarray, n: np.ndarray, radius: int, total: int, ratio: float):
         order = np.argsort(np.bitwise_count(fp[0]), kind="stable")
-        self.node, self.fp = node[order], np.ascontiguousarray(fp[:, order])
+        self.node, self.fp, self.n = node[order], np.ascontiguousarray(fp[:, order]), n[order]
         self.pop = np.bitwise_count(self.fp[0]).astype(np.int64)
-        self.sets, self.radius, self.total = _Sets(len(node)), radius, total
+        self.sets, self.radius, self.total, self.ratio = _Sets(len(node)), radius, total, ratio
 
-    def hits(self, fp: np.ndarray, own: bool = False, rows: int = 64, cols: int = 4096):
-        """Pairs (held, passing) within both radii, tile by tile; tiles whose population counts are too far apart are skipped.
+    def hits(self, fp: np.ndarray, n: np.ndarray, own: bool = False, rows: int = 64, cols: int = 4096):
+        """Pairs (held, passing) within both radii and of the ratio, tile by tile; tiles whose population counts are too far
+        apart are skipped.
 
         own: the passing ones are the held ones, so each pair is met once."""
         pop = np.bitwise_count(fp[0]).astype(np.int64)
@@ -144,16 +150,19 @@ class _Tile:
                 if len(fp) > 1:
                     far = sum(np.bitwise_count(self.fp[w, x] ^ fp[w, y]).astype(np.int64) for w in range(len(fp)))
                     x, y = x[far <= self.total], y[far <= self.total]
+                if self.ratio:
+                    like = np.minimum(self.n[x], n[y]) + 1e-9 >= self.ratio * np.maximum(self.n[x], n[y])
+                    x, y = x[like], y[like]
                 if len(x):
                     yield x, y
 
-    def link(self, node: np.ndarray, fp: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def link(self, node: np.ndarray, fp: np.ndarray, n: np.ndarray, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Link the passing ones; an edge for each that has a link, further links join sets of the held ones."""
         if not own:
             order = np.argsort(np.bitwise_count(fp[0]), kind="stable")
-            node, fp = node[order], np.ascontiguousarray(fp[:, order])
+            node, fp, n = node[order], np.ascontiguousarray(fp[:, order]), n[order]
         held = np.full(len(node), -1, np.int64)
-        for x, y in self.hits(fp, own):
+        for x, y in self.hits(fp, n, own):
             new = held[y] < 0
             held[y[new]] = x[new]  # of several, whichever is last; the others are joined with it below
             pairs = np.unique(np.stack([np.minimum(x, held[y]), np.maximum(x, held[y])]), axis=1) if len(x) < 4096 else self._thin(x, y, held)
@@ -180,49 +189,57 @@ class _Tile:
         return self.node[own], self.node[root[own]]
 
 
-def tile_edges(items: DataFrame, words: int, steps: list[int], radius: int, total: int, tile: int = TILE) -> DataFrame:
+def tile_edges(items: DataFrame, words: int, steps: list[int], radius: int, total: int, tile: int = TILE, ratio: float = 0.0) -> DataFrame:
     """Edges a, b that connect all nodes within the radii: a spanning forest of each task's links, not the pairs.
 
-    items: node, key (the tile group; a bounded number of values), f0, ... Fingerprints with keys x and x + step, for a
-    step of steps (0 among them), are compared. A group of more than tile items is split; each part meets every other
-    part and every passing item, which stream by in batches, so that a task holds about tile fingerprints."""
+    items: node, key (the tile group; a bounded number of values), n, f0, ... Fingerprints with keys x and x + step, for a
+    step of steps (0 among them), are compared; with ratio, those link whose n have it or more. A group of more than
+    tile items is split into parts, and what passes a part (of its own group the parts after it, of the groups a step
+    below all) into lots of about tile items: a task compares a part with a lot, however large the groups are."""
     spark = items.sparkSession
     fs = [f"f{w}" for w in range(words)]
     # The keys' number is bounded by their definition (see near_components), whatever the table's size.
-    parts = F.broadcast(items.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")).withColumnRenamed("key", "to_key"))
-    reach = items.withColumn("step", F.explode(F.array(*(F.lit(s).cast("long") for s in steps)))).withColumn("to_key", F.col("key") + F.col("step")).join(parts, "to_key")
-    reach = reach.withColumn("own", F.when(F.col("step") == 0, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(-1))
-    last = F.when(F.col("step") == 0, F.col("own")).otherwise(F.col("parts") - 1)
-    dealt = reach.withColumn("part", F.explode(F.sequence(F.lit(0), last))).withColumn("passing", (F.col("part") != F.col("own")).cast("int"))
-    dealt = dealt.select("to_key", "part", "passing", "node", *fs).repartition(shuffle_parts(spark), "to_key", "part").sortWithinPartitions("to_key", "part", "passing")
+    counts = items.groupBy("key").agg(F.count("*").alias("c"))
+    passing = counts.withColumn("to_key", F.explode(F.array(*((F.col("key") + F.lit(s).cast("long")) for s in steps)))).groupBy("to_key").agg(F.sum("c").alias("p"))
+    pieces = lambda c: F.ceil(F.col(c) / tile).cast("int")
+    deal = F.broadcast(counts.join(passing, F.col("key") == F.col("to_key")).select("to_key", pieces("c").alias("parts"), pieces("p").alias("lots")))
+    reach = items.withColumn("step", F.explode(F.array(*(F.lit(s).cast("long") for s in steps)))).withColumn("to_key", F.col("key") + F.col("step")).join(deal, "to_key")
+    reach = reach.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("lot", F.pmod(F.xxhash64("node", F.lit(1)), F.col("lots")).cast("int"))
+    place = lambda part, lot, passing: F.struct(part.alias("part"), lot.alias("lot"), F.lit(passing).alias("passing"))
+    passes = lambda last: F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda p: place(p, F.col("lot"), 1))).otherwise(F.array().cast("array<struct<part:int,lot:int,passing:int>>"))
+    holds = F.transform(F.sequence(F.lit(0), F.col("lots") - 1), lambda x: place(F.col("own"), x, 0))
+    dealt = reach.withColumn("at", F.explode(F.when(F.col("step") == 0, F.concat(holds, passes(F.col("own") - 1))).otherwise(passes(F.col("parts") - 1))))
+    keys = ["to_key", "part", "lot"]
+    dealt = dealt.select("to_key", "at.part", "at.lot", "at.passing", "node", "n", *fs).repartition(shuffle_parts(spark), *keys).sortWithinPartitions(*keys, "passing")
 
     def run(batches):
         at, waiting, held = None, [], None
         table = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         def close():
-            """The held part is whole: compare it with itself."""
-            tile_ = _Tile(np.concatenate([x for x, _ in waiting]), np.concatenate([x for _, x in waiting], axis=1), radius, total)
+            """The held part is whole: compare it with itself, in one of its tasks."""
+            tile_ = _Tile(np.concatenate([x for x, _, _ in waiting]), np.concatenate([x for _, x, _ in waiting], axis=1), np.concatenate([x for _, _, x in waiting]), radius, total, ratio)
             waiting.clear()
-            tile_.link(tile_.node, tile_.fp, own=True)
+            if at[2] == 0:
+                tile_.link(tile_.node, tile_.fp, tile_.n, own=True)
             return tile_
 
-        for (key, part, passing), batch in runs(batches, ["to_key", "part", "passing"]):
-            node = batch.column("node").to_numpy()
+        for (*key, passing), batch in runs(batches, [*keys, "passing"]):
+            node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
             fp = np.stack([batch.column(c).to_numpy() for c in fs]).view(np.uint64)
-            if (key, part) != at:
+            if key != at:
                 if waiting:
                     held = close()
                 if held is not None:
                     yield table(*held.edges())
-                at, held = (key, part), None
+                at, held = key, None
             if not passing:
-                waiting.append((node, fp))
+                waiting.append((node, fp, n))
                 continue
             if waiting:
                 held = close()
             if held is not None:
-                yield table(*held.link(node, fp))
+                yield table(*held.link(node, fp, n))
         if waiting:
             held = close()
         if held is not None:
@@ -246,25 +263,27 @@ def _population_steps(radius: int) -> list[int]:
 def near_components(prints: DataFrame, words: int = 1, radius: int = 2, total: int | None = None, least_ratio: float | None = None) -> DataFrame:
     """Add component (smallest id reachable over links) to each row of prints.
 
-    Two fingerprints link if their first words differ in at most radius bits and all words in at most total. Copies of a
-    fingerprint are one node. Tiles are groups of equal population counts of the quarters, compared only with those
-    within the radius (radius 2 or less); with least_ratio, groups of like numbers of distinct shingles n in bands 5 %
-    wide (under 1,000 for any text), compared with those that some n of the ratio may be in; copies of a fingerprint are
-    then a node in each band. Rows with a null id neither link nor get a component; equal ids are one document."""
+    Two fingerprints link if their first words differ in at most radius bits and all words in at most total, and with
+    least_ratio, if the smaller of their n is that share of the larger or more. Copies of a fingerprint (with least_ratio,
+    of a fingerprint and an n) are one node. Tiles are groups of equal population counts of the quarters, compared only
+    with those within the radius (radius 2 or less); with least_ratio, groups of like n in bands 5 % wide (under 1,000 for
+    any text), compared with all those that an n of the ratio may be in: neither loses a link. Rows with a null id neither
+    link nor get a component; equal ids are one document."""
     fs = [f"f{w}" for w in range(words)]
     if least_ratio is None:
         if radius > 2:
             raise ValueError("wider radii need least_ratio")
-        key, steps = _population_key(), _population_steps(radius)
+        key, steps, own = _population_key(), _population_steps(radius), fs
     else:
         key = F.when(F.col("n") < 1, F.lit(-1000)).otherwise(F.floor(F.ln(F.col("n").cast("double")) / F.lit(math.log(1.05)))).cast("long")
         steps = list(range(math.ceil(-math.log(least_ratio) / math.log(1.05)) + 1))
-    own = [*fs, "key"]
-    items = materialise(prints.withColumn("key", key).groupBy(*own).agg(F.min("id").alias("node")), "fingerprints").filter(F.col("node").isNotNull())
-    found = components(tile_edges(items.select("node", "key", *fs), words, steps, radius, 64 * words if total is None else total))
+        own = [*fs, "n"]
+    size = [] if least_ratio is not None else [F.max("n").alias("n")]
+    items = materialise(prints.groupBy(*own).agg(F.min("id").alias("node"), *size), "fingerprints").filter(F.col("node").isNotNull())
+    found = components(tile_edges(items.withColumn("key", key), words, steps, radius, 64 * words if total is None else total, ratio=least_ratio or 0.0))
     named = items.join(found, "node", "left").select(*(F.col(f).alias(f"_{f}") for f in own), F.coalesce("component", "node").alias("component"))
     match = [F.col(f) == F.col(f"_{f}") for f in own]
-    return prints.withColumn("key", key).join(named, match, "left").withColumn("component", F.when(F.col("id").isNotNull(), F.col("component"))).select(*prints.columns, "component")
+    return prints.join(named, match, "left").withColumn("component", F.when(F.col("id").isNotNull(), F.col("component"))).select(*prints.columns, "component")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +300,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, words: int = 4, radius: int =
     A similarity of 0.8 of five-word shingles is a cosine of 0.89 or more, an angle of 0.15 pi or less: 39 of 256 bits
     differ on average, with a deviation of 6. 50 bits, and 18 of the first 64, catch 97 in 100 pairs at 0.8 exactly and
     nearly all above; unrelated texts differ in about 128. A text's shingles are a set: one that it repeats, such as a row
-    of marks, counts once. Rows with a null id stay; repeated rows of the id that stays stay too."""
+    of marks, counts once. Numbers of shingles below 0.8 of each other don't link, since no such texts have that similarity. Rows with a null id stay; repeated rows of the id that stays stay too."""
     prints = materialise(fingerprints(docs, shingle, words, id_col, text_col, distinct=True), "prints")
     gone = near_components(prints, words, radius, total, 0.8).filter("component <> id").select(F.col("id").alias("_driftloom_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_driftloom_gone"), "left_anti")

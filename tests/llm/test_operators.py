@@ -75,7 +75,7 @@ def test_small_tiles_give_the_same_links(spark, monkeypatch):
     rnd = np.random.default_rng(5)
     base = [int(x) for x in rnd.integers(0, 1 << 62, 3)]
     prints = sorted({p ^ (1 << int(i)) ^ (1 << int(j)) for p in base for i, j in rnd.integers(0, 62, (60, 2))})
-    items = frame(spark, [(i, 0, p) for i, p in enumerate(prints)], "node long, key long, f0 long")
+    items = frame(spark, [(i, 0, 1, p) for i, p in enumerate(prints)], "node long, key long, n long, f0 long")
     for tile in (7, 1000):
         found = {(r["node"], r["component"]) for r in components(simhash.tile_edges(items, 1, [0], 2, 64, tile)).collect()}
         links = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
@@ -83,6 +83,31 @@ def test_small_tiles_give_the_same_links(spark, monkeypatch):
         assert found == want
 
 
+def test_parts_and_lots_meet_all_their_neighbours(spark):
+    """Several keys, each in many parts and passed by many lots, against all pairs whose keys a step allows."""
+    rnd = np.random.default_rng(6)
+    base = int(rnd.integers(0, 1 << 62))
+    rows = [(i, int(rnd.integers(0, 5)), int(rnd.integers(80, 121)), base ^ (1 << int(rnd.integers(0, 60))) ^ (1 << int(rnd.integers(0, 60)))) for i in range(260)]
+    df = frame(spark, rows, "node long, key long, n long, f0 long")
+    for tile in (9, 40, 5000):
+        got = {(r["node"], r["component"]) for r in components(simhash.tile_edges(df, 1, [0, 1, 3], 1, 64, tile, 0.9)).collect()}
+        links = [(i, j) for i in range(len(rows)) for j in range(i) if abs(rows[i][1] - rows[j][1]) in (0, 1, 3) and (rows[i][3] ^ rows[j][3]).bit_count() <= 1 and 10 * min(rows[i][2], rows[j][2]) >= 9 * max(rows[i][2], rows[j][2])]
+        assert got == {(i, r) for i, r in enumerate(brute.roots(len(rows), links)) if i != r}
+
+
+def test_simhash_takes_whole_numbers_for_ids_only(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        simhash.simhash_components(frame(spark, [("a", "x")], "doc_id string, text string"))
+    assert simhash.simhash_components(frame(spark, [(3, "x y z")], "doc_id smallint, text string")).first()["component"] == 3
+
+
+def test_simhash_of_very_long_texts(spark):
+    rnd = random.Random(3)
+    long, word = " ".join(rnd.choice(WORDS) for _ in range(400_000)), "x" * (1 << 20)
+    rows = [(1, long), (2, long + " end"), (3, word), (4, word), (5, "short one here")]
+    assert simhash_rows(simhash.simhash_components(frame(spark, rows))) == brute.simhash(rows)
+
+
 def test_simhash_empty_and_other_columns(spark, docs):
     assert simhash.simhash_components(frame(spark, [])).count() == 0
     clash = frame(spark, [(d, t, 1, 2, "x") for d, t in docs], SCHEMA + ", id long, n long, component string")
@@ -240,6 +265,16 @@ def test_exact_with_history(spark):
     assert {r["doc_id"] for r in exact_dedup.drop_copies(now, past).collect()} == {12, 13}
 
 
+def test_exact_takes_ids_of_other_types(spark):
+    docs = [(1, "a b"), (2, "ab"), (3, "c"), (None, "a  b"), (None, None), (5, "")]
+    want = sorted(brute.exact([(d, t) for d, t in docs if d is not None] + [(9, "a  b"), (9, None)]), key=repr)
+    for kind in ("smallint", "string", "date"):
+        df = frame(spark, docs, "doc_id long, text string").withColumn("doc_id", F.expr("date_add(date'2020-01-01', cast(doc_id as int))") if kind == "date" else F.col("doc_id").cast(kind))
+        got = exact_dedup.exact_dedup(df)
+        assert dict(got.dtypes)["keep_id"] == kind and got.count() == 6
+        assert sorted(r["group_size"] for r in got.collect()) == sorted(r[2] for r in want) and got.filter("kept").count() == 3
+
+
 def test_exact_repeats_nulls_and_clashes(spark):
     rows = [(1, "a b"), (1, "a b"), (None, "ab "), (2, "ab"), (None, None), (None, "")]
     df = frame(spark, [(*r, 1, "k") for r in rows], SCHEMA + ", kept int, _digest string")
@@ -510,7 +545,7 @@ def test_quality_held_out(spark):
         labels.append((i, y))
     docs, known = frame(spark, rows, "id long, text string"), frame(spark, labels[:300] + labels[:5] + [(None, 1), (7, None), (9999, 1)], "id long, label int")
     model = quality.train_quality(docs, known)
-    assert model.prior == pytest.approx(sum(y for _, y in labels[:300] + [(0, 1)]) / 301, abs=0.01)
+    assert model.prior == pytest.approx(sum(y for _, y in labels) / 600, abs=0.1)
     odd = frame(spark, [(*r, "q") for r in rows] + [(1000, None, "q"), (1001, "", "q"), (1002, good() * 300, "q")], "id long, text string, quality_score string")
     got = {r["id"]: r["quality_score"] for r in quality.score_quality(odd, model).collect()}
     assert len(got) == 603 and all(0 <= s <= 1 for s in got.values())
@@ -525,6 +560,34 @@ def test_quality_without_labels(spark):
     assert [r["quality_score"] for r in quality.score_quality(docs, model).collect()] == [0.5]
 
 
+def test_prior_is_near_the_true_share():
+    rnd = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.85):
+        y = rnd.random(6000) < share
+        xu, xp = rnd.normal(np.where(y, 2, -2)[:, None], 1, (6000, 4)), rnd.normal(2, 1, (2000, 4))
+        assert quality.fit_with_prior(xp, xu, quality.QualityParams(epochs=20))[2] == pytest.approx(share, abs=0.04)
+    assert 0 < quality.fit_with_prior(xp[:1], xu[:1], quality.QualityParams(epochs=1))[2] < 1
+
+
+def test_nnpu_gradient_and_the_sign_of_its_step():
+    """A first step of the fit against the risk's numeric gradient: with the first batch Adam goes against its sign."""
+    rnd = np.random.default_rng(2)
+    xp, xu, prior = rnd.normal(1, 1, (50, 3)), rnd.normal(0, 1, (70, 3)), 0.4
+    p = quality.QualityParams(epochs=1, batch=70, decay=0.0)  # one step
+
+    def risk(w, a, b):
+        negative = np.logaddexp(0, b @ w).mean() - prior * np.logaddexp(0, a @ w).mean()
+        return prior * np.logaddexp(0, -(a @ w)).mean() + max(0.0, negative)
+
+    draw = np.random.default_rng(3)
+    one = lambda x, k: np.hstack([x, np.ones((len(x), 1))])[k]
+    a, b = one(xp, draw.integers(0, 50, 70)), one(xu, draw.integers(0, 70, 70))
+    slope = np.array([(risk(np.eye(4)[k] * 1e-6, a, b) - risk(np.eye(4)[k] * -1e-6, a, b)) / 2e-6 for k in range(4)])
+    w, bias = quality.fit_nnpu(xp, xu, prior, p)
+    assert (np.sign([*w, bias]) == -np.sign(slope)).all()
+    assert np.abs([*w, bias]) == pytest.approx(p.rate + 1e-4, rel=1e-3)
+
+
 def test_nnpu_beats_the_prior():
     rnd = np.random.default_rng(0)
     xp, xn = rnd.normal(1, 1, (800, 3)), rnd.normal(-1, 1, (200, 3))

@@ -85,9 +85,8 @@ def test_near_stage(steps):
     import pyarrow as pa
 
     fp, n = fingerprint_words(pa.array([t for _, t in rows]), 5, 4)
-    band = np.floor(np.log(n) / np.log(1.05))
     far = lambda i, j: (int(np.bitwise_count(fp[i, 0] ^ fp[j, 0])), int(np.bitwise_count(fp[i] ^ fp[j]).sum()))
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if abs(band[i] - band[j]) <= 5 and far(i, j)[0] <= 18 and far(i, j)[1] <= 50]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and far(i, j)[0] <= 18 and far(i, j)[1] <= 50]
     groups = defaultdict(list)
     for i, r in enumerate(brute.roots(len(rows), links)):
         groups[r].append(rows[i])
