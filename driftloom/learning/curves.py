@@ -96,6 +96,41 @@ def calibration_error(df: DataFrame, bins: int = 10, score: str = "score", y: st
     return df.agg(F.avg(F.pow(F.col(score) - F.col(y), 2)).alias("brier")).crossJoin(F.broadcast(b))  # two rows
 
 
+def bootstrap(df: DataFrame, rounds: int = 200, pred: str = "pred", y: str = "y", key: str = "id", seed: int = 1) -> DataFrame:
+    """Mean, deviation and 95 % interval of metrics over Poisson resamples within classes.
+
+    Only the four counts differ between rounds, and the weights of n rows, each Poisson of mean 1, sum up to a Poisson
+    number of mean n: the rows are counted once, and a round draws four numbers. key is not used any more."""
+    import numpy as np
+    import pandas as pd
+
+    def draw(batches):
+        for pdf in batches:
+            for n in pdf[["tp", "fp", "fn", "tn"]].fillna(0).to_numpy():
+                total = np.random.default_rng(seed).poisson(n, (rounds, 4)).astype(float)
+                yield pd.DataFrame({"round": np.arange(rounds), **{c: total[:, k] for k, c in enumerate(("tp", "fp", "fn", "tn"))}})
+
+    c = df.agg(*counts(F.col(pred), F.col(y))).select("tp", "fp", "fn", "tn").mapInPandas(draw, "round long, tp double, fp double, fn double, tn double")
+    tp, fp, fn, tn = (F.col(n) for n in ("tp", "fp", "fn", "tn"))
+    div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return c.withColumns({
+        "accuracy": div(tp + tn, tp + fp + fn + tn), "balanced_accuracy": (div(tp, tp + fn) + div(tn, tn + fp)) / 2, "precision": div(tp, tp + fp), "recall": div(tp, tp + fn),
+        "specificity": div(tn, tn + fp), "f1": div(2 * tp, 2 * tp + fp + fn),
+    })
+
+
+def calibration_bins(df: DataFrame, bins: int = 10, score: str = "score", y: str = "y") -> DataFrame:
+    """Mean score and rate of ones in even bins of the score."""
+    cell = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int").alias("bin")
+    return df.groupBy(cell).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(y).cast("double")).alias("rate"))
+
+
+def calibration_error(df: DataFrame, bins: int = 10, score: str = "score", y: str = "y") -> DataFrame:
+    """Brier score, and the bins' mean distance of score and rate by their rows."""
+    b = calibration_bins(df, bins, score, y).agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("rate"))) / F.sum("n")).alias("ece"))
+    return df.agg(F.avg(F.pow(F.col(score) - F.col(y), 2)).alias("brier")).crossJoin(F.broadcast(b))  # two rows
+
+
 def bootstrap(df: DataFrame, rounds: int = 200, pred: str = "pred", y: str = "y", key: str = "id", seed: int = 1) -> DataFrame:
     """Mean, deviation and 95 % interval of metrics over Poisson resamples within classes.
 

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.functions.storage import materialise
+from driftloom.operators.neighbours import nearest_vectors
+
 from .ranks import with_rank
 
 
@@ -96,7 +99,8 @@ def group_folds(df: DataFrame, group: str, stratum_col: str, folds: int) -> Data
     """group, fold: whole groups in one fold each, with strata spread evenly.
 
     Groups are put, the most uneven first, into the fold that keeps the strata's shares most even, then into the smaller.
-    The counts of groups and strata (not the rows) are one task's work, by nature one after the other."""
+    The counts of groups and strata (not the rows) are one task's work, by nature one after the other: a dense table of
+    groups times strata must fit there, 16 MB for a million groups and two strata."""
     kind = df.schema[group].dataType.simpleString()
     counts = df.groupBy(F.col(group).alias("g"), F.col(stratum_col).cast("string").alias("s")).agg(F.count("*").alias("n"))
 
@@ -126,33 +130,29 @@ def leave_one_out(df: DataFrame, group: str) -> DataFrame:
 def smote(df: DataFrame, features: Sequence[str], y: str, group: str, k: int = 5, seed: int = 1, keys: Sequence[str] = ()) -> DataFrame:
     """df and synthetic rows of the smaller class until both are even, within each fold or dataset of keys.
 
-    A synthetic row lies between a row and one of its k nearest of the class, and has the group of the nearer. A training
-    fold is one task's work; synthetic marks the new rows."""
-    cols = [*keys, group, y, *features]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema) + ", synthetic boolean"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[cols].assign(synthetic=False)
-        sizes = pdf[y].value_counts()
-        if len(sizes) < 2 or sizes.min() < 2 or sizes.max() == sizes.min():
-            return out
-        small = pdf[pdf[y] == sizes.idxmin()].sort_values([group, *features], kind="stable")
-        x, rng, need = small[list(features)].to_numpy(float), np.random.default_rng(seed), int(sizes.max() - sizes.min())
-        pick = rng.integers(0, len(x), need)
-        d = ((x[:, None] - x[None]) ** 2).sum(axis=2) if len(x) <= 3000 else None
-        if d is None:
-            d = np.stack([((x - v) ** 2).sum(axis=1) for v in x])
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-        other = near[pick, rng.integers(0, near.shape[1], need)]
-        t = rng.random((need, 1))
-        new = pd.DataFrame(x[pick] + t * (x[other] - x[pick]), columns=list(features))
-        owner = np.where(t[:, 0] <= 0.5, pick, other)
-        for c in [*keys, group, y]:
-            new[c] = small[c].to_numpy()[owner]
-        return pd.concat([out, new[cols].assign(synthetic=True)], ignore_index=True)
-
-    return df.groupBy(*keys).applyInPandas(run, schema) if keys else df.select(*cols).withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, schema)
+    A synthetic row lies between a row and one of its k nearest of the class, and has the group of the nearer; synthetic
+    marks the new rows. The rows of the smaller class (of as many, the one with the smaller label) take turns, as their
+    hashes order them; neighbours are sought by blocks, so no class need fit in a task. A class of one row has no
+    neighbours and stays as it is."""
+    keys, names = list(keys), list(features)
+    held = materialise(df.select(*keys, group, y, *(F.col(f).cast("double").alias(f) for f in names)).withColumn("_id", F.monotonically_increasing_id()), "smote")
+    sizes = held.groupBy(*keys, y).agg(F.count("*").alias("_n"))
+    over = sizes.groupBy(*keys).agg(F.min(F.struct("_n", F.col(y).alias("_y"))).alias("_small"), F.max("_n").alias("_most"), F.count("*").alias("_classes"))
+    over = over.filter("_classes > 1 AND _small._n > 1").select(*keys, F.col("_small._y").alias("_y"), F.col("_small._n").alias("_m"), (F.col("_most") - F.col("_small._n")).alias("_need"))
+    small = held.join(over, keys) if keys else held.crossJoin(F.broadcast(over))  # without keys, one row
+    small = materialise(small.filter(F.col(y) == F.col("_y")).withColumn("_turn", F.xxhash64(F.lit(seed), "_id").cast("double")), "smaller")
+    # Everyone gets a share of what is needed, the first by their hashes one more.
+    turns = with_rank(small, "_turn", "min", keys)
+    copies = F.floor(F.col("_need") / F.col("_m")) + (F.col("rank") <= F.col("_need") % F.col("_m")).cast("int")
+    made = turns.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    vectors = small.select(*keys, "_id", *names)
+    near = nearest_vectors(vectors, vectors.withColumnRenamed("_id", "_other"), names, "_id", "_other", k, keys, others=True)
+    near = near.groupBy(*keys, "_id").agg(F.sort_array(F.collect_list(F.struct("place", "_other"))).alias("_near"))
+    uniform = lambda n: F.pmod(F.xxhash64(F.lit(seed), F.lit(n), "_id", "_copy"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = made.join(near, [*keys, "_id"]).withColumn("_other", F.element_at("_near", (F.floor(uniform(1) * F.size("_near")) + 1).cast("int"))["_other"]).withColumn("_t", uniform(2))
+    ends = small.select(F.col("_id").alias("_other"), F.col(group).alias("_group"), *(F.col(f).alias(f"_to_{f}") for f in names))
+    new = drawn.join(ends, "_other").select(*keys, F.when(F.col("_t") <= 0.5, F.col(group)).otherwise(F.col("_group")).alias(group), y, *((F.col(f) + F.col("_t") * (F.col(f"_to_{f}") - F.col(f))).alias(f) for f in names))
+    return held.drop("_id").withColumn("synthetic", F.lit(False)).unionByName(new.withColumn("synthetic", F.lit(True)))
 
 
 # --- rankings of features

@@ -275,20 +275,41 @@ def filter_both_ways(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y[pad:-pad]
 
 
-def butterworth(df: DataFrame, keys: Sequence[str], columns: Sequence[str], fs: float, low: float | None = None, high: float | None = None, order: int = 5, us: str = "us") -> DataFrame:
+#: Samples of a recording that a task filters at a time, and the share of a state that may be left when it counts as gone.
+PIECE, FADED = 500_000, 1e-14
+
+
+def settling(sections: np.ndarray) -> int:
+    """Samples after which a state of the sections has faded to nothing: by the slowest pole, times the sections."""
+    slowest = max(float(np.abs(np.roots(row[3:])).max()) for row in sections)
+    return int(np.ceil(len(sections) * np.log(FADED) / np.log(slowest))) if 0 < slowest < 1 else 1
+
+
+def butterworth(df: DataFrame, keys: Sequence[str], columns: Sequence[str], fs: float, low: float | None = None, high: float | None = None, order: int = 5, us: str = "us", even: bool = False, piece: int = PIECE) -> DataFrame:
     """df with the columns filtered along time in each recording, and filtered, whether it was done.
 
-    A recursive filter needs its whole series in order: a recording is one task's work, in Arrow. A recording too short
-    for the filter stays as it is."""
+    A recording is filtered in pieces, each with as many samples of its neighbours on both sides as a state of the filter
+    needs to fade, so the result is that of the whole series to rounding, whatever the recording's length. even: samples
+    are 1 / fs apart, so that times number them; otherwise they are numbered in order, one recording in one sort. A
+    recording too short for the filter stays as it is."""
     sections = butterworth_sections(fs, low, high, order)
+    warm = settling(sections) + 3 * (2 * len(sections) + 1)
+    piece = max(piece, 4 * warm)
+    span = df.groupBy(*keys).agg(F.min(us).alias("_t0"), F.count("*").alias("_n"))
+    at = F.round((F.col(us) - F.col("_t0")) * (fs / 1e6)).cast("long") if even else F.row_number().over(ordered(keys, [us])).cast("long") - 1
+    numbered = df.join(span, list(keys)).withColumn("_k", at)
+    first, last = F.greatest(F.floor((F.col("_k") - warm) / piece), F.lit(0)), F.least(F.floor((F.col("_k") + warm) / piece), F.floor((F.col("_n") - 1) / piece))
+    dealt = numbered.withColumn("_piece", F.explode(F.sequence(first, last))).drop("_t0")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", filtered boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(us, kind="stable")
+        pdf = pdf.sort_values("_k", kind="stable")
+        own = (pdf["_k"] // piece == pdf["_piece"].iloc[0]).to_numpy()
+        done = True
         try:
             pdf[list(columns)] = filter_both_ways(sections, pdf[list(columns)].to_numpy(np.float64))
-            return pdf.assign(filtered=True)
         except ValueError:
-            return pdf.assign(filtered=False)
+            done = False
+        return pdf[own].drop(columns=["_k", "_n", "_piece"]).assign(filtered=done)
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return dealt.groupBy(*keys, "_piece").applyInPandas(run, schema)

@@ -108,7 +108,7 @@ def rolling_medians(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
         pdf = pdf.sort_values(number)
         out = pdf[[*keys, number]].copy()
         for v in values:
-            m = pdf[v].astype(float).rolling(rows).median()
+            m = pdf[v].astype(float).rolling(rows, min_periods=1).median()  # of the known values, as the expression's
             out[f"{v}_median"] = m.where(pdf[number] >= rows)
         return out[((out[number] - 1) // piece) == pdf["_piece"].iloc[0]]
 
@@ -123,21 +123,50 @@ def fill_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     return df.withColumn(name, F.coalesce(ahead, back))
 
 
-def grid(df: DataFrame, keys: Sequence[str], step_us: int, us: str = "us") -> DataFrame:
-    """Evenly spaced times from each recording's first row to its last."""
+#: Steps of the grid in one cell: what a window sorts at once, and an array holds.
+CELL_STEPS = 65_536
+
+
+def _cells(df: DataFrame, keys: Sequence[str], step_us: int, us: str) -> DataFrame:
+    """keys, _cell, _from, _to: the grid's first and last time in each stretch of CELL_STEPS steps of the time axis."""
+    width = step_us * CELL_STEPS
     span = df.groupBy(*keys).agg(F.min(us).alias("_a"), F.max(us).alias("_b"))
-    return span.select(*keys, F.explode(F.sequence("_a", "_b", F.lit(step_us))).alias(us))
+    each = span.select(*keys, "_a", "_b", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor(F.col("_b") / width))).alias("_cell"))
+    first = F.greatest(F.col("_a"), F.col("_a") + F.ceil((F.col("_cell") * width - F.col("_a")) / step_us) * step_us)
+    return each.select(*keys, "_cell", first.alias("_from"), F.least(F.col("_b"), (F.col("_cell") + 1) * width - 1).alias("_to"))
+
+
+def _points(step_us: int):
+    return F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to", F.lit(step_us))).otherwise(F.array().cast("array<bigint>"))
+
+
+def grid(df: DataFrame, keys: Sequence[str], step_us: int, us: str = "us") -> DataFrame:
+    """Evenly spaced times from each recording's first row to its last, made a cell at a time."""
+    return _cells(df, keys, step_us, us).select(*keys, F.explode(_points(step_us)).alias(us))
 
 
 def _around(df: DataFrame, keys: Sequence[str], step_us: int, value: str, us: str) -> DataFrame:
-    """The grid's times with the samples before (or at) and after (or at) each; one row for each time is taken."""
-    at = df.select(*keys, us, F.col(value).alias("_v"))
-    kind = at.schema["_v"].dataType
-    both = at.select(*keys, us, "_v", F.col(us).alias("_t"), F.lit(0).alias("_grid")).unionByName(grid(df, keys, step_us, us).select(*keys, us, F.lit(None).cast(kind).alias("_v"), F.lit(None).cast("long").alias("_t"), F.lit(1).alias("_grid")))
-    back = Window.partitionBy(*keys).orderBy(us, "_grid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(*keys).orderBy(F.col(us).desc(), "_grid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sample = F.when(F.col("_t").isNotNull(), F.struct("_t", "_v"))
-    return both.withColumn("_s", sample).withColumns({"before": F.last("_s", True).over(back), "after": F.last("_s", True).over(ahead)}).filter("_grid = 1")
+    """The grid's times with the samples before (or at) and after (or at) each; one row for each time is taken.
+
+    A cell of the time axis is sorted at a time: what lies before its first and after its last sample comes from the
+    other cells' ends, of which a recording has few."""
+    sample = F.struct(F.col(us).alias("_t"), F.col(value).alias("_v"))
+    at = df.select(*keys, us, F.floor(F.col(us) / (step_us * CELL_STEPS)).alias("_cell"), sample.alias("_s"))
+    ends = at.groupBy(*keys, "_cell").agg(F.min_by("_s", us).alias("_first"), F.max_by("_s", us).alias("_last"))
+    w = Window.partitionBy(*keys).orderBy("_cell")
+    cells = _cells(df, keys, step_us, us).join(ends, [*keys, "_cell"], "left").select(
+        *keys, "_cell", "_from", "_to",
+        F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+    points = cells.select(*keys, F.explode(_points(step_us)).alias(us), "_cell", "_earlier", "_later")
+    kind = at.schema["_s"].dataType
+    none = F.lit(None).cast(kind)
+    both = at.select(*keys, us, "_cell", "_s", none.alias("_earlier"), none.alias("_later"), F.lit(0).alias("_grid")).unionByName(points.select(*keys, us, "_cell", none.alias("_s"), "_earlier", "_later", F.lit(1).alias("_grid")))
+    back = Window.partitionBy(*keys, "_cell").orderBy(us, "_grid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy(*keys, "_cell").orderBy(F.col(us).desc(), "_grid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumns({"before": F.coalesce(F.last("_s", True).over(back), "_earlier"), "after": F.coalesce(F.last("_s", True).over(ahead), "_later")})
+    return found.filter("_grid = 1")
 
 
 def resample_nearest(df: DataFrame, keys: Sequence[str], step_us: int, value: str, us: str = "us") -> DataFrame:

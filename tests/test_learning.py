@@ -179,3 +179,44 @@ def test_stream_islands_equal_batch(spark):
     q.awaitTermination()
     got = {(r["recording_id"], r["flag"], round(r["start_time"].timestamp() * 1e6), round(r["end_time"].timestamp() * 1e6), r["n"]) for r in spark.table("runs").collect() if r["recording_id"] != 99}
     assert got <= want and len(got) >= len(want) - 3
+
+
+def test_smote_by_keys_and_blocks(spark, monkeypatch):
+    from driftloom.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    rng = np.random.default_rng(1)
+    rows = [(f, i, int(i < 6 + f), *(float(v) for v in rng.normal(size=2))) for f in range(2) for i in range(30)] + [(2, 0, 1, 0.0, 0.0), (2, 1, 0, 1.0, 1.0), (2, 2, 0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "fold long, id long, y int, a double, b double")
+    got = prepare.smote(df, ["a", "b"], "y", "id", k=3, keys=["fold"]).collect()
+    for f in range(2):
+        own = [r for r in got if r["fold"] == f]
+        assert sum(r["y"] == 1 for r in own) == sum(r["y"] == 0 for r in own) == 30 - 6 - f
+        real = {r["id"]: (r["a"], r["b"]) for r in own if r["y"] == 1 and not r["synthetic"]}
+        for r in (r for r in own if r["synthetic"]):
+            # On the line from some row to one of its three nearest, nearer to the row whose group it has.
+            fits = []
+            for p in real:
+                near = sorted((q for q in real if q != p), key=lambda q: np.hypot(real[p][0] - real[q][0], real[p][1] - real[q][1]))[:3]
+                for q in near:
+                    a, b, c = np.array(real[p]), np.array(real[q]), np.array([r["a"], r["b"]])
+                    t = float((c - a) @ (b - a) / ((b - a) @ (b - a)))
+                    fits.append(np.allclose(a + t * (b - a), c) and -1e-9 <= t <= 1 + 1e-9 and r["id"] == (p if t <= 0.5 else q))
+            assert any(fits)
+    assert not any(r["synthetic"] for r in got if r["fold"] == 2)
+
+
+def test_nearest_vectors_against_all_pairs(spark, monkeypatch):
+    from driftloom.operators import neighbours
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(60, 3)), 1)
+    df = spark.createDataFrame([(i % 2, i, *map(float, v)) for i, v in enumerate(x)], "g long, id long, a double, b double, c double")
+    for block in (9, 20_000):
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        got = neighbours.nearest_vectors(df.withColumnRenamed("id", "q"), df, list("abc"), "q", "id", 4, ["g"], others=True).collect()
+        found = {(r["q"], r["place"]): (r["id"], round(r["distance"], 9)) for r in got}
+        for i in range(60):
+            near = sorted((round(float(np.sqrt(((x[i] - x[j]) ** 2).sum())), 9), j) for j in range(60) if j != i and j % 2 == i % 2)[:4]
+            assert [found[i, k + 1] for k in range(4)] == [(j, d) for d, j in near]
+        assert len(got) == 240

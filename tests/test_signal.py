@@ -224,3 +224,45 @@ def test_wide_medians_equal_narrow_ones(spark, monkeypatch):
     monkeypatch.setattr(tx, "WIDE", 5)
     for piece in (7, 50, 10_000):
         assert [(a, b, None if c is None else round(c, 9)) for a, b, c in get(piece=piece)] == [(a, b, None if c is None else round(c, 9)) for a, b, c in narrow]
+
+
+def test_butterworth_by_pieces_equals_the_whole(spark):
+    rng = np.random.default_rng(3)
+    n = 9000
+    x = np.cumsum(rng.normal(size=n)) / 10 + np.sin(np.arange(n) / 5)
+    df = spark.createDataFrame([("a", i * 10_000, float(v)) for i, v in enumerate(x)] + [("b", i * 10_000, float(i)) for i in range(5)], "recording_id string, us long, x double")
+    for low, high in ((None, 20), (0.8, None), (5, 20)):
+        sections = sig.butterworth_sections(100, low, high)
+        whole = sig.filter_both_ways(sections, x[:, None])[:, 0]
+        for even in (True, False):
+            got = sig.butterworth(df, ["recording_id"], ["x"], 100, low, high, even=even, piece=1).orderBy("recording_id", "us").toPandas()
+            assert got["x"][:n].to_numpy() == pytest.approx(whole, abs=1e-9) and got["filtered"][:n].all()
+            assert got["x"][n:].tolist() == [0, 1, 2, 3, 4] and not got["filtered"][n:].any()
+
+
+def test_wide_and_narrow_medians_treat_nulls_alike(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 2, i, None if rng.random() < 0.1 else float(rng.normal())) for i in range(400)]
+    df = spark.createDataFrame(rows, "recording_id long, us long, v double")
+    for width in (3, 60):
+        got = {(r["recording_id"], r["row"]): r["v_median"] for r in tx.rolling_medians(df, ["recording_id"], ["us"], ["v"], width, piece=70).collect()}
+        for rec in (0, 1):
+            own = [v for k, _, v in rows if k == rec]
+            for i in range(len(own)):
+                known = [v for v in own[max(0, i - width + 1) : i + 1] if v is not None]
+                want = None if i + 1 < width or not known else float(np.median(known))
+                assert got[rec, i + 1] == (None if want is None else pytest.approx(want)), (width, rec, i)
+
+
+def test_grid_cells_meet_their_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    times = np.unique(rng.integers(0, 5_000, 60)) * 7
+    df = spark.createDataFrame([(1, int(t), float(t)) for t in times] + [(2, 5, 1.0)], "recording_id long, us long, v double")
+    want = tx.resample_nearest(df, ["recording_id"], 50, "v").toPandas().sort_values(["recording_id", "us"])
+    line = tx.resample_linear(df, ["recording_id"], 50, "v").toPandas().sort_values(["recording_id", "us"])
+    monkeypatch.setattr(tx, "CELL_STEPS", 7)
+    got = tx.resample_nearest(df, ["recording_id"], 50, "v").toPandas().sort_values(["recording_id", "us"])
+    assert got.to_numpy().tolist() == want.to_numpy().tolist() and len(got) == (times[-1] - times[0]) // 50 + 2
+    assert tx.resample_linear(df, ["recording_id"], 50, "v").toPandas().sort_values(["recording_id", "us"]).to_numpy() == pytest.approx(line.to_numpy())
+    plain = [min(times, key=lambda t: (abs(t - g), t)) for g in range(int(times[0]), int(times[-1]) + 1, 50)]
+    assert got[got["recording_id"] == 1]["v"].tolist() == [float(t) for t in plain]
