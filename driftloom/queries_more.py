@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from driftloom.learning import curves, evaluate, loader, prepare
 from driftloom.operators import neighbours, validate
 from driftloom.operators import segments as seg
-from driftloom.operators import signal as sig
 from driftloom.queries_tables import CURVE, SCORED, predicted, read, rounded, scored
 from driftloom.queries_time import HOUR, ISLANDS, KEY, ORDER, REC, active, flagged, recordings
 
@@ -106,13 +105,6 @@ def fold_scores(spark, sf_dir):
     return rounded(per.agg(F.avg("accuracy").alias("accuracy_mean"), F.stddev_pop("accuracy").alias("accuracy_sd")))
 
 
-@query(f"""WITH {REC}, m AS (SELECT recording_id, us, event_id, z <> 3 AS wear, y > 20 AS sptw FROM r) SELECT recording_id, count(*) AS n FROM m GROUP BY 1""")
-def resolved_masks(spark, sf_dir):
-    """Rows stay rows while ambiguities are resolved."""
-    r = recordings(spark, sf_dir).select("recording_id", "us", "event_id", (F.col("z") != 3).alias("wear"), (F.col("y") > 20).alias("sptw"))
-    return sig.resolve_ambiguities(r, KEY, ORDER).groupBy("recording_id").agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {ISLANDS}, l AS (SELECT *, CASE WHEN start_us - lag(end_us) OVER (PARTITION BY recording_id ORDER BY start_us) > {24 * HOUR} THEN 1 ELSE 0 END AS cut FROM s WHERE flag), k AS (SELECT *, sum(cut) OVER (PARTITION BY recording_id ORDER BY start_us) AS id FROM l) SELECT recording_id, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n_parts, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY recording_id, id")
 def merge_touching_segments(spark, sf_dir):
     return seg.merge_close(seg.segments(flagged(spark, sf_dir), KEY, ORDER, "flag"), KEY, 24 * HOUR, strict=False)
