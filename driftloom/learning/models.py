@@ -2,20 +2,22 @@
 
 import itertools
 import json
+import math
 import random
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftloom.functions.storage import materialise
-from driftloom.operators import rollup
+from driftloom.functions.storage import materialise, scratch_path
+from driftloom.operators import neighbours, rollup
 
 from . import curves, prepare
 from .ranks import with_rank
@@ -26,22 +28,66 @@ SPACES: dict[str, dict] = {
     "rf": {"numTrees": (20, 100), "maxDepth": (3, 10), "featureSubsetStrategy": ["auto", "sqrt", "log2"]},
     "lr": {"regParam": (0.0001, 1.0), "elasticNetParam": (0.0, 1.0)},
     "svm": {"regParam": (0.0001, 1.0)},
+    "rbf_svm": {"regParam": (0.0001, 1.0), "gamma": (0.001, 1.0)},
+    "knn": {"k": (1, 15)},
 }
+#: Random features that stand for the kernel of an rbf_svm.
+WAVES = 128
 _CLASSES = {"gbt": GBTClassifier, "rf": RandomForestClassifier, "lr": LogisticRegression, "svm": LinearSVC}
 
 
-def make(name: str, features: Sequence[str], params: dict | None = None, weight: str | None = None, seed: int = 1) -> Pipeline:
-    if name not in _CLASSES:
-        raise ValueError(f"unknown model {name}: one of {sorted(_CLASSES)}")
+def make(name: str, features: Sequence[str], params: dict | None = None, weight: str | None = None, seed: int = 1) -> "Pipeline | Knn":
+    """An unfitted model. rbf_svm is a linear SVM on random Fourier features (Rahimi and Recht), whose inner products
+    come near exp(-gamma |x - y|^2); like knn, it wants scaled features."""
+    params = dict(params or {})
+    if name == "knn":
+        return Knn(list(features), **params)
     extra = {"weightCol": weight} if weight else {}
     if name in ("gbt", "rf"):
         extra["seed"] = seed
-    clf = _CLASSES[name](featuresCol="_x", labelCol="y", **extra, **(params or {}))
+    if name == "rbf_svm":
+        first = _waves(features, params.pop("gamma", 1.0 / len(features)), seed)
+        return Pipeline(stages=[*first, LinearSVC(featuresCol="_x", labelCol="y", **extra, **params)])
+    if name not in _CLASSES:
+        raise ValueError(f"unknown model {name}: one of {sorted([*_CLASSES, 'rbf_svm', 'knn'])}")
+    clf = _CLASSES[name](featuresCol="_x", labelCol="y", **extra, **params)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep"), clf])
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def _waves(features: Sequence[str], gamma: float, seed: int) -> list:
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(0, math.sqrt(2 * gamma), (WAVES, len(features))), rng.uniform(0, 2 * math.pi, WAVES)
+    rows = ", ".join("array(" + ", ".join(f"{v!r}D" for v in map(float, [*row, shift])) + ")" for row, shift in zip(w, b))
+    x = ", ".join(f"cast(`{f}` as double)" for f in features)
+    wave = f"transform(array({rows}), w -> {math.sqrt(2 / WAVES)!r}D * cos(aggregate(zip_with(array({x}, 1.0D), w, (p, q) -> p * q), 0.0D, (s, v) -> s + v)))"
+    names = [f"_wave{k}" for k in range(WAVES)]
+    each = ", ".join(f"_waves[{k}] AS {n}" for k, n in enumerate(names))
+    return [SQLTransformer(statement=f"SELECT *, {wave} AS _waves FROM __THIS__"), SQLTransformer(statement=f"SELECT *, {each} FROM __THIS__"), VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="keep")]
+
+
+@dataclass
+class Knn:
+    """k nearest neighbours with a model's surface: its fit keeps the training rows in shared storage."""
+
+    features: list[str]
+    k: int = 5
+    path: str | None = None
+
+    def fit(self, df: DataFrame) -> "Knn":
+        path = scratch_path(df.sparkSession, "knn")
+        df.select("y", *self.features).withColumn("_training", F.monotonically_increasing_id()).write.parquet(path)
+        return Knn(self.features, self.k, path)
+
+    def score(self, df: DataFrame) -> DataFrame:
+        held = materialise(df.withColumn("_query", F.monotonically_increasing_id()), "queries")
+        prob = neighbours.knn_scores(held, df.sparkSession.read.parquet(self.path), self.features, "_query", "_training", "y", self.k)
+        return held.join(prob, "_query").drop("_query").select(*df.columns, "prob")
+
+
+def score(model: "PipelineModel | Knn", df: DataFrame) -> DataFrame:
     """df with prob: the model's probability of 1, or a logistic of its margin where it has none."""
+    if isinstance(model, Knn):
+        return model.score(df)
     out = model.transform(df)
     if "probability" in out.columns:
         p = vector_to_array("probability")[1]
@@ -82,15 +128,20 @@ def with_folds(df: DataFrame, group: str, folds: int, dataset: str | None = None
     return df.join(prepare.group_folds(s, group, "_s", folds), group)
 
 
+def cross_validate(held: DataFrame, name: str, features: Sequence[str], params: dict, folds: int, seed: int = 1) -> list[float]:
+    """The objective on each fold of held (its column fold), of models fitted on the others."""
+    return [objective(score(make(name, features, params, seed=seed).fit(held.filter(F.col("fold") != k)), held.filter(F.col("fold") == k))) for k in range(folds)]
+
+
+def _tried(params: dict, values: list[float]) -> dict:
+    return {"params": params, "objective": sum(values) / len(values), "folds": values}
+
+
 def random_search(df: DataFrame, name: str, features: Sequence[str], group: str, calls: int = 10, folds: int = 3, seed: int = 1, override: dict | None = None) -> list[dict]:
     """Parameters and their mean objective over grouped folds, the best first."""
     held = materialise(with_folds(df, group, folds), "folds")
-    tried = []
-    for s in seeds(seed, calls):
-        params = sample_params(name, s, override)
-        values = [objective(score(make(name, features, params, seed=s).fit(held.filter(F.col("fold") != k)), held.filter(F.col("fold") == k))) for k in range(folds)]
-        tried.append({"params": params, "objective": sum(values) / len(values), "folds": values})
-    return sorted(tried, key=lambda t: -t["objective"])
+    points = ((s, sample_params(name, s, override)) for s in seeds(seed, calls))
+    return sorted((_tried(p, cross_validate(held, name, features, p, folds, s)) for s, p in points), key=lambda t: -t["objective"])
 
 
 def grid_search(df: DataFrame, name: str, features: Sequence[str], group: str, grid: dict[str, Sequence], folds: int = 3, most: int | None = None, seed: int = 1) -> list[dict]:
@@ -99,13 +150,55 @@ def grid_search(df: DataFrame, name: str, features: Sequence[str], group: str, g
     if most is not None and most < len(points):
         points = random.Random(seed).sample(points, most)
     held = materialise(with_folds(df, group, folds), "folds")
-    tried = []
-    for params in points:
-        values = [objective(score(make(name, features, params, seed=seed).fit(held.filter(F.col("fold") != k)), held.filter(F.col("fold") == k))) for k in range(folds)]
-        tried.append({"params": params, "objective": sum(values) / len(values), "folds": values})
+    return sorted((_tried(p, cross_validate(held, name, features, p, folds, seed)) for p in points), key=lambda t: -t["objective"])
+
+
+def place_params(name: str, params: dict, override: dict | None = None) -> list[float]:
+    """A point of the model's space in the unit cube: numbers by their (logarithmic) place in their range, choices by
+    their place in the list; fixed ones are left out."""
+    out = []
+    for k, space in {**SPACES[name], **(override or {})}.items():
+        if isinstance(space, list):
+            out.append(space.index(params[k]) / max(len(space) - 1, 1))
+        elif isinstance(space, tuple):
+            low, high = map(float, space)
+            v = float(params[k])
+            out.append((math.log(v / low) / math.log(high / low) if low > 0 else (v - low) / (high - low)) if high > low else 0.0)
+    return out
+
+
+def expected_improvement(known: np.ndarray, values: np.ndarray, points: np.ndarray, width: float = 0.3, noise: float = 1e-3) -> np.ndarray:
+    """How much a Gaussian process through the known values expects each point to exceed the best of them."""
+    kernel = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(axis=2) / (2 * width**2))
+    scale = values.std() or 1.0
+    y = (values - values.mean()) / scale
+    inverse = np.linalg.inv(kernel(known, known) + noise * np.eye(len(known)))
+    across = kernel(points, known)
+    mean, sd = across @ inverse @ y, np.sqrt(np.maximum(1 + noise - ((across @ inverse) * across).sum(axis=1), 1e-12))
+    z = (mean - y.max()) / sd
+    below = np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in z])
+    return scale * ((mean - y.max()) * below + sd * np.exp(-z * z / 2) / math.sqrt(2 * math.pi))
+
+
+def gaussian_search(df: DataFrame, name: str, features: Sequence[str], group: str, calls: int = 10, folds: int = 3, seed: int = 1, override: dict | None = None, start: int = 5, candidates: int = 500) -> list[dict]:
+    """As random_search(): the first start points are random, then each is, of random candidates, the one of the greatest
+    expected improvement under a Gaussian process."""
+    held = materialise(with_folds(df, group, folds), "folds")
+    tried: list[dict] = []
+    for n, s in enumerate(seeds(seed, calls)):
+        params = sample_params(name, s, override)
+        if n >= start and place_params(name, params, override):
+            options = [sample_params(name, c, override) for c in seeds(s, candidates)]
+            place = lambda all_: np.array([place_params(name, p, override) for p in all_])
+            gain = expected_improvement(place([t["params"] for t in tried]), np.array([t["objective"] for t in tried]), place(options))
+            params = options[int(np.argmax(gain))]
+        tried.append(_tried(params, cross_validate(held, name, features, params, folds, s)))
     return sorted(tried, key=lambda t: -t["objective"])
 
 
+SEARCHES = {"random": random_search, "gaussian": gaussian_search}
+
+
 def combine_params(tried: Sequence[dict], how: str = "best", share: float = 0.1) -> dict:
     """One set from many: the best, or the plain or objective-weighted mean of the best share (whole numbers rounded,
     choices by the most frequent)."""
@@ -200,21 +293,64 @@ def load_package(path: str) -> Package:
     return Package(model=PipelineModel.load(f"{path}/model"), **side)
 
 
-def train_package(df: DataFrame, name: str, features: Sequence[str], group: str, params: dict | None = None, calibrate: str | None = "sigmoid", threshold: str = "f1", folds: int = 3) -> Package:
-    """Fit on all rows; the calibrator and the threshold come from scores of grouped folds that the models didn't see."""
+def out_of_fold(df: DataFrame, name: str, features: Sequence[str], group: str, params: dict | None = None, folds: int = 3, seed: int = 1, synthetic: str | None = None) -> tuple[DataFrame, list]:
+    """Scores (group, y, fold, prob) of grouped folds by models that didn't see them, and those models. synthetic names a
+    column of made rows, which train but aren't scored."""
     held = materialise(with_folds(df, group, folds), "folds")
-    parts = None
+    fitted, parts = [], None
     for k in range(folds):
-        one = score(make(name, features, params).fit(held.filter(F.col("fold") != k)), held.filter(F.col("fold") == k))
+        seen = held.filter(F.col("fold") != k)
+        unseen = held.filter((F.col("fold") == k) & ~F.col(synthetic)) if synthetic else held.filter(F.col("fold") == k)
+        fitted.append(make(name, features, params, seed=seed).fit(seen))
+        one = score(fitted[-1], unseen).select(group, "y", "fold", "prob")
         parts = one if parts is None else parts.unionByName(one)
-    out_of_fold = materialise(parts.select(group, "y", "prob"), "scores")
-    cal = fit_calibrator(out_of_fold, calibrate) if calibrate else None
-    if cal:
-        out_of_fold = cal.apply(out_of_fold)
+    return materialise(parts, "scores"), fitted
+
+
+def choose_threshold(scored: DataFrame, threshold: str) -> float:
+    """A fixed number, one half ('default'), or the best of the curves of prob and y ('f1', 'roc', 'pr')."""
     fixed = curves.parse_threshold(threshold)
     if fixed is None:
-        fixed = 0.5 if threshold == "default" else curves.operating_point(out_of_fold.withColumnRenamed("prob", "score"), threshold).first()["threshold"]
-    return Package(make(name, features, params).fit(df), list(features), asdict(cal) if cal else None, float(fixed), name, params or {})
+        fixed = 0.5 if threshold == "default" else curves.operating_point(scored.withColumnRenamed("prob", "score"), threshold).first()["threshold"]
+    return float(fixed)
+
+
+def train_package(df: DataFrame, name: str, features: Sequence[str], group: str, params: dict | None = None, calibrate: str | None = "sigmoid", threshold: str = "f1", folds: int = 3) -> Package:
+    """Fit on all rows; the calibrator and the threshold come from scores of grouped folds that the models didn't see."""
+    scores, _ = out_of_fold(df, name, features, group, params, folds)
+    cal = fit_calibrator(scores, calibrate) if calibrate else None
+    if cal:
+        scores = cal.apply(scores)
+    return Package(make(name, features, params).fit(df), list(features), asdict(cal) if cal else None, choose_threshold(scores, threshold), name, params or {})
+
+
+@dataclass
+class Ensemble:
+    """Models of grouped folds, each calibrated on the fold that it didn't see; their mean is the probability."""
+
+    models: list
+    calibrators: list[Calibrator]
+
+    def score(self, df: DataFrame) -> DataFrame:
+        held = df.withColumn("_row", F.monotonically_increasing_id())
+        held, parts = materialise(held, "rows"), None
+        for model, cal in zip(self.models, self.calibrators):
+            one = cal.apply(score(model, held)).select("_row", "prob")
+            parts = one if parts is None else parts.unionByName(one)
+        return held.join(parts.groupBy("_row").agg(F.avg("prob").alias("prob")), "_row").drop("_row")
+
+
+def train_ensemble(df: DataFrame, name: str, features: Sequence[str], group: str, params: dict | None = None, calibrate: str = "sigmoid", folds: int = 3, seed: int = 1, synthetic: str | None = None, weight: str | None = None) -> Ensemble:
+    """An ensemble over grouped folds. Rows marked synthetic train but never calibrate; weight names a column of weights
+    that the models are fitted with."""
+    held = materialise(with_folds(df, group, folds), "folds")
+    fitted, cals = [], []
+    for k in range(folds):
+        unseen = held.filter(F.col("fold") == k)
+        unseen = unseen.filter(~F.col(synthetic)) if synthetic else unseen
+        fitted.append(make(name, features, params, weight, seed).fit(held.filter(F.col("fold") != k)))
+        cals.append(fit_calibrator(materialise(score(fitted[-1], unseen).select("y", "prob"), "scores"), calibrate))
+    return Ensemble(fitted, cals)
 
 
 def predict(package: Package, df: DataFrame, level: str = "night", subject: str = "id") -> DataFrame:
@@ -230,11 +366,19 @@ def predict(package: Package, df: DataFrame, level: str = "night", subject: str
     return rollup.patient_votes(summed, package.threshold)
 
 
-def nested_validation(df: DataFrame, name: str, features: Sequence[str], group: str, outer: int = 3, inner: int = 2, calls: int = 3, repeats: int = 1, seed: int = 1, progress: Callable[[dict], None] | None = None, done: Sequence[dict] = ()) -> DataFrame:
-    """A row for each repeat, outer fold and model (default and searched): objective, AUC and metrics on the unseen fold.
+ROW = "repeat int, fold int, kind string, threshold double, roc_auc double, average_precision double, " + ", ".join(f"{c} double" for c in curves.METRICS) + ", params string"
+
 
-    progress gets each row as it is made; a run that was broken off goes on if it gets those rows as done."""
+def nested_validation(df: DataFrame, name: str, features: Sequence[str], group: str, outer: int = 3, inner: int = 2, calls: int = 3, repeats: int = 1, seed: int = 1, search: str = "random", calibrate: str | None = "sigmoid", threshold: str = "f1", manifest: str | None = None, progress: Callable[[dict], None] | None = None, done: Sequence[dict] = ()) -> DataFrame:
+    """A row for each repeat, outer fold and model on the unseen fold: threshold, AUC and metrics.
+
+    'default' has the default parameters and a threshold of one half; 'searched' has the parameters that the search
+    found on inner folds, and a calibrator and threshold from its inner out-of-fold scores. Each row is added to the
+    manifest as it is made, if there is a path for one, and given to progress; a run that was broken off goes on from its
+    manifest, or from rows given as done."""
     spark, rows = df.sparkSession, list(done)
+    if manifest and _exists(spark, manifest):
+        rows += [r.asDict() for r in spark.read.schema(ROW).json(manifest).collect()]  # a row for each fold and model
     have = {(x["repeat"], x["fold"], x["kind"]) for x in rows}
     for r, s in enumerate(seeds(seed, repeats)):
         held = materialise(with_folds(df.withColumn("_r", F.lit(s)), group, outer), "outer").drop("_r")
@@ -242,18 +386,44 @@ def nested_validation(df: DataFrame, name: str, features: Sequence[str], group:
             if {(r, k, "default"), (r, k, "searched")} <= have:
                 continue
             train, test = held.filter(F.col("fold") != k).drop("fold"), held.filter(F.col("fold") == k).drop("fold")
-            best = random_search(train, name, features, group, calls, inner, s + k)[0]["params"]
-            for kind, params in (("default", {}), ("searched", best)):
+            for kind in ("default", "searched"):
                 if (r, k, kind) in have:
                     continue
+                params, cal, cut = {}, None, 0.5
+                if kind == "searched":
+                    params = SEARCHES[search](train, name, features, group, calls, inner, s + k)[0]["params"]
+                    inside, _ = out_of_fold(train, name, features, group, params, inner, s)
+                    cal = fit_calibrator(inside, calibrate) if calibrate else None
+                    cut = choose_threshold(cal.apply(inside) if cal else inside, threshold)
                 got = score(make(name, features, params, seed=s).fit(train), test)
-                m = curves.metrics(got.withColumn("pred", (F.col("prob") >= 0.5).cast("int"))).first()
+                got = materialise((cal.apply(got) if cal else got).select("y", "prob"), "scores")
+                m = curves.metrics(got.withColumn("pred", (F.col("prob") >= cut).cast("int"))).first()
                 a = curves.auc(got.withColumnRenamed("prob", "score")).first()
-                row = {"repeat": r, "fold": k, "kind": kind, "roc_auc": a["roc_auc"], "average_precision": a["average_precision"], **{c: m[c] for c in curves.METRICS}, "params": json.dumps(params)}
+                row = {"repeat": r, "fold": k, "kind": kind, "threshold": cut, "roc_auc": a["roc_auc"], "average_precision": a["average_precision"], **{c: m[c] for c in curves.METRICS}, "params": json.dumps(params)}
                 rows.append(row)
+                if manifest:
+                    spark.createDataFrame([tuple(row.values())], ROW).coalesce(1).write.mode("append").json(manifest)
                 if progress:
                     progress(row)
-    return spark.createDataFrame([tuple(x.values()) for x in rows], "repeat int, fold int, kind string, roc_auc double, average_precision double, " + ", ".join(f"{c} double" for c in curves.METRICS) + ", params string")
+    names = [f.split()[0] for f in ROW.split(", ")]
+    return spark.createDataFrame([tuple(x[n] for n in names) for x in rows], ROW)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(to))
+
+
+def searched_params(results: DataFrame) -> DataFrame:
+    """repeat, fold, name, value: the parameters that each outer fold's search chose, as numbers or texts."""
+    values = F.explode(F.from_json("params", "map<string,string>")).alias("name", "value")
+    return results.filter("kind = 'searched'").select("repeat", "fold", values)
+
+
+def final_params(df: DataFrame, name: str, features: Sequence[str], group: str, calls: int = 10, folds: int = 3, repeats: int = 1, seed: int = 1, search: str = "random", how: str = "best") -> dict:
+    """Parameters for a model of all rows: the searches of several repeats over the whole table, made one by how."""
+    tried = [t for s in seeds(seed, repeats) for t in SEARCHES[search](df, name, features, group, calls, folds, s)]
+    return combine_params(tried, how)
 
 
 def summarise_validation(results: DataFrame) -> DataFrame:
@@ -262,8 +432,15 @@ def summarise_validation(results: DataFrame) -> DataFrame:
     return results.groupBy("kind").agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{n}") for c in names for n, f in (("mean", F.avg), ("sd", F.stddev_pop))))
 
 
-def importance_rank(df: DataFrame, features: Sequence[str], rounds: int = 3, seed: int = 1) -> DataFrame:
-    """feature, hits, rank: how often a forest finds a feature more important than every shuffled copy of all (Boruta).
+def binomial_tail(hits: int, rounds: int) -> float:
+    """The chance of so many hits or more, if each round were a toss."""
+    return sum(math.comb(rounds, k) for k in range(hits, rounds + 1)) / 2**rounds
+
+
+def importance_rank(df: DataFrame, features: Sequence[str], rounds: int = 10, seed: int = 1, level: float = 0.05) -> DataFrame:
+    """feature, hits, state, rank: how often a forest finds a feature more important than every shuffled copy of all, and
+    whether that is more ('confirmed') or less ('rejected') than tosses would give, at the level over all features
+    (Boruta); 'tentative' otherwise.
 
     A copy holds the features of another row, the next in an order by a hash, within groups of rows; the label stays."""
     spark = df.sparkSession
@@ -278,5 +455,7 @@ def importance_rank(df: DataFrame, features: Sequence[str], rounds: int = 3, see
         top = max(m[len(features) :])
         for f, v in zip(features, m):
             hits[f] += int(v > top)
-    table = spark.createDataFrame(list(hits.items()), "feature string, hits int")
+    sure = level / len(features)
+    state = {f: "confirmed" if binomial_tail(h, rounds) <= sure else "rejected" if binomial_tail(rounds - h, rounds) <= sure else "tentative" for f, h in hits.items()}
+    table = spark.createDataFrame([(f, h, state[f]) for f, h in hits.items()], "feature string, hits int, state string")
     return with_rank(table, "hits", "max", descending=True)

@@ -180,12 +180,26 @@ def variance_rank(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return with_rank(long, "variance", "max", descending=True)
 
 
-def mrmr(correlation: np.ndarray, relevance: np.ndarray) -> list[int]:
-    """Features in order of relevance over mean absolute correlation with those picked before; the first by relevance."""
-    left, picked, total = list(range(len(relevance))), [], np.zeros(len(relevance))
-    while left:
-        score = [relevance[i] / max(total[i] / len(picked), 1e-9) if picked else relevance[i] for i in left]
-        best = left.pop(int(np.argmax(score)))
+#: Features from which on mrmr() picks a part only, and how many.
+MANY, PICKED = 1000, 200
+
+
+def f_statistic(r: np.ndarray, n: int) -> np.ndarray:
+    """The F of a feature's means over two classes, from its correlation with their labels 0 and 1."""
+    return r**2 / np.maximum(1 - r**2, 1e-12) * (n - 2)
+
+
+def mrmr(correlation: np.ndarray, relevance: np.ndarray, most: int | None = None) -> list[int]:
+    """Features in order of relevance over mean absolute correlation with those picked before; the first by relevance.
+
+    Of MANY features or more, PICKED are picked (or most, if given); the others aren't in the order."""
+    k = len(relevance)
+    most = most or (PICKED if k >= MANY else k)
+    picked, total, free = [], np.zeros(k), np.ones(k, bool)
+    for _ in range(min(most, k)):
+        score = relevance / np.maximum(total / len(picked), 1e-9) if picked else np.asarray(relevance, float)
+        best = int(np.argmax(np.where(free, score, -np.inf)))
         picked.append(best)
+        free[best] = False
         total += np.abs(correlation[best])
     return picked

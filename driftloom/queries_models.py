@@ -30,28 +30,6 @@ def vectors(spark, sf_dir):
     return e.select((F.col("vec_id") % 40).alias("id"), (F.col("label") % 2).cast("int").alias("y"), *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(6)))
 
 
-@query()
-def train_logistic(spark, sf_dir):
-    """Subject-level predictions of a calibrated model."""
-    df = materialise(vectors(spark, sf_dir).withColumn("y", (F.col("id") % 2).cast("int")), "vectors")
-    package = models.train_package(df, "lr", FEATURES, "id", {"regParam": 0.01}, folds=2)
-    return models.predict(package, df, "patient").withColumn("mean_prob_per_night", F.round("mean_prob_per_night", 6))
-
-
-@query()
-def train_gbt(spark, sf_dir):
-    df = materialise(vectors(spark, sf_dir), "vectors")
-    model = models.make("gbt", FEATURES, {"maxIter": 5, "maxDepth": 3}).fit(df)
-    return models.score(model, df).select("id", "y", F.round("prob", 6).alias("prob"))
-
-
-@query()
-def random_search(spark, sf_dir):
-    df = materialise(vectors(spark, sf_dir), "vectors")
-    tried = models.random_search(df, "lr", FEATURES, "id", calls=2, folds=2)
-    return spark.createDataFrame([(k, str(t["params"]), round(t["objective"], 6)) for k, t in enumerate(tried)], "place int, params string, objective double")
-
-
 def bounded_stream(spark, sf_dir):
     """The samples as a stream that ends: files of Parquet read once."""
     held = materialise(flagged(spark, sf_dir).select("recording_id", F.col("time").cast("timestamp").alias("time"), "value", "flag"), "stream")
@@ -75,25 +53,3 @@ def stream_bins(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     got = drain(streams.sessions(bounded_stream(spark, sf_dir), "6 hours", "40 days"), "stream_sessions", "complete")
     return got.select("recording_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start_time", "end_time")), "n")
-
-
-@query(f"""WITH {REC}, q AS (SELECT *, lag(us) OVER (PARTITION BY recording_id ORDER BY us, event_id) AS p FROM r)
-  SELECT count(*) AS n_rows, count(DISTINCT recording_id) AS n_recordings FROM q""")
-def recording_counts(spark, sf_dir):
-    return recordings(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.count_distinct("recording_id").alias("n_recordings"))
-
-
-@query()
-def process_recordings(spark, sf_dir):
-    """The processing plan over recordings of one sample an hour: masks of each recording."""
-    r = recordings(spark, sf_dir).select("recording_id", "time", (F.col("value") / 100).alias("x"), (F.col("y") / 100).alias("y"), (F.col("z") / 10).alias("z"))
-    cfg = plan.ProcessConfig(fs=1 / 3600, lowpass_hz=None, highpass_hz=None, calibrate=False, bin_s=6 * 3600, nonwear_min=12 * 60, epoch_s=2 * 3600, smooth_s=6 * 3600, window_min=4 * 60, gap_min=6 * 60, bout_min=2 * 60, longest_window_h=48)
-    done = plan.process(r, cfg)
-    return done.groupBy("recording_id").agg(F.count("*").alias("n"), F.count_if("wear").alias("n_wear"), F.count_if("sptw").alias("n_sptw"), F.count_if("sleep_bout").alias("n_bout"))
-
-
-@query()
-def nested_weights(spark, sf_dir):
-    """Folds of subjects with class weights: what a nested run trains on."""
-    df = models.with_folds(vectors(spark, sf_dir), "id", 4)
-    return df.join(prepare.class_weights(df, "y").select("y", F.round("weight", 6).alias("weight")), "y").groupBy("fold", "y").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))

@@ -146,10 +146,3 @@ def patient_scores(spark, sf_dir):
   SELECT tp, fp, fn, tn, round(b, 6) AS brier, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM c""")
 def night_scores(spark, sf_dir):
     return rounded(evaluate.night_scores(_nights(spark, sf_dir), 0.4).select("tp", "fp", "fn", "tn", "brier", "accuracy"))
-
-
-@query()
-def rank_features(spark, sf_dir):
-    """All rankings of the embeddings' first numbers against a label."""
-    e = read(spark, sf_dir, "embeddings").select((F.col("label") % 2).cast("int").alias("y"), *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(5)))
-    return loader.rank_features(e, [f"x{k}" for k in range(5)])

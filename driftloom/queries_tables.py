@@ -98,30 +98,6 @@ def feat_sleep_share(spark, sf_dir):
     return rounded(ft.sleep_share(asleep, KEY, ORDER, "asleep"))
 
 
-@query()
-def feat_kernels(spark, sf_dir):
-    """Spectra, autocorrelation, peaks, non-linear measures of each recording."""
-    setup = ft.Setup(fs=16.0, bands=(1, 2, 4, 8))
-    return rounded(ft.kernel_features(recordings(spark, sf_dir), KEY, ["us", "event_id"], ["value"], ["spectral", "autocorr", "peaks", "nonlinear"], setup))
-
-
-@query()
-def feat_clusters(spark, sf_dir):
-    bouts = active(spark, sf_dir).withColumn("mid", (F.col("start_us") + F.col("end_us")) / 2e6)
-    return rounded(ft.kernel_features(bouts, KEY, ["mid"], ["mid"], ["clusters"], least=3))
-
-
-@query(f"""WITH {REC}, c AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY us, event_id) AS k, value - avg(value) OVER (PARTITION BY recording_id) AS d FROM r)
-  SELECT a.recording_id, round(sum(a.d * b.d) / (SELECT sum(x.d * x.d) FROM c x WHERE x.recording_id = a.recording_id), 6) AS ac_1 FROM c a JOIN c b ON a.recording_id = b.recording_id AND b.k = a.k + 1 GROUP BY a.recording_id""")
-def feat_autocorr(spark, sf_dir):
-    from driftloom.operators.timeaxis import ordered
-
-    r = recordings(spark, sf_dir)
-    mean = r.groupBy(*KEY).agg(F.avg("value").alias("_m"))
-    c = r.join(mean, KEY).withColumn("d", F.col("value") - F.col("_m")).withColumn("nx", F.lead("d").over(ordered(KEY, ORDER)))
-    return rounded(c.groupBy(*KEY).agg((F.sum(F.col("d") * F.col("nx")) / F.sum(F.col("d") * F.col("d"))).alias("ac_1")))
-
-
 # --- roll-ups and joins
 
 FEATURES = ("l_quantity", "l_extendedprice")
@@ -388,16 +364,6 @@ def correlation_interval(spark, sf_dir):
     return rounded(c.select("r", low.alias("low"), high.alias("high")))
 
 
-@query()
-def mean_interval(spark, sf_dir):
-    return rounded(stats.mean_interval(scored(spark, sf_dir), "score"))
-
-
-@query()
-def normality_tests(spark, sf_dir):
-    return rounded(stats.normality(scored(spark, sf_dir), "score"))
-
-
 # --- curves and metrics
 
 CURVE = f"{SCORED}, c AS (SELECT score, sum(y) AS ones, count(*) AS n FROM s GROUP BY 1), k AS (SELECT score, ones, n, sum(ones) OVER w AS tp, sum(n - ones) OVER w AS fp, sum(ones) OVER () AS p, sum(n - ones) OVER () AS q FROM c WINDOW w AS (ORDER BY score DESC))"
@@ -462,11 +428,6 @@ def brier(spark, sf_dir):
     return rounded(curves.calibration_error(scored(spark, sf_dir)))
 
 
-@query()
-def bootstrap_ci(spark, sf_dir):
-    return rounded(curves.bootstrap(predicted(spark, sf_dir), 100))
-
-
 @query(f"WITH {PRED} SELECT dataset, count(*) AS n_wrong FROM p WHERE pred <> y GROUP BY 1")
 def misclassified(spark, sf_dir):
     return predicted(spark, sf_dir).filter("pred <> y").groupBy("dataset").agg(F.count("*").alias("n_wrong"))
@@ -527,19 +488,7 @@ def rebalance_rows(spark, sf_dir):
     return prepare.rebalance(scored(spark, sf_dir), "dataset", "y", "id", "min").groupBy("dataset", "y").agg(F.count("*").alias("kept"))
 
 
-@query()
-def group_folds(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")
-    return prepare.group_folds(o, "o_custkey", "o_orderstatus", 5)
-
-
 @query("SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS fold FROM orders")
 def leave_one_dataset_out(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return prepare.leave_one_out(o, "o_orderpriority").select("o_orderkey", F.col("fold").cast("long").alias("fold"))
-
-
-@query()
-def smote_rows(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("subject"), (F.col("label") % 4 == 0).cast("int").alias("y"), *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(8)))
-    return rounded(prepare.smote(e, [f"x{k}" for k in range(8)], "y", "subject"))
