@@ -5,13 +5,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, mix, segment_hashes, shuffle_parts, string_bytes, word_hashes, word_spans
+from .common import BASE_A, BASE_B, materialise, mix, segment_hashes, shuffle_parts, string_bytes, word_hashes, word_spans
 from .simhash import joined_words, slices
 
 #: Perfect difference sets by period: every difference modulo the period is one of two members. Fixed values.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 
 
+#: A group of copies is large if it has more than this share (1 / HOT) of all rows, and more than HOT_ROWS.
+HOT, HOT_ROWS = 512, 4096
+
+
 def period_for(window: int) -> int:
     """The longest period that leaves anchors of at least a third of the window."""
     return max(p for p in COVERS if p == 1 or window - p + 1 >= max(4, window // 3))
@@ -110,9 +114,14 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     base = base.withColumn("doc", F.xxhash64("id", "text")).withColumn("check", F.hash("text", "id"))
     key = ["doc", "check"]  # 96 bits that tell the rows' ids and texts apart
 
-    same = base.select(*key, F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(1), "text").alias("c2"))
-    groups = same.groupBy("c1", "c2").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = same.join(groups, ["c1", "c2"]).groupBy(*key).agg(F.min(F.struct(*key) != F.col("first")).alias("rest"))
+    same = materialise(base.select(*key, F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(1), "text").alias("c2")), "texts")
+    groups = materialise(same.groupBy("c1", "c2").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).filter("n > 1"), "copies")
+    # Groups of so many rows that at most HOT can exist are broadcast, so that no task gets all rows of one.
+    limit = max(HOT_ROWS, -(-same.count() // HOT))
+    marked = same.join(F.broadcast(groups.filter(F.col("n") > limit).select("c1", "c2", F.col("first").alias("hot"))), ["c1", "c2"], "left")
+    rest = marked.filter("hot IS NULL").join(groups.filter(F.col("n") <= limit).select("c1", "c2", "first"), ["c1", "c2"])
+    pairs = rest.select(*key, "first").unionByName(marked.filter("hot IS NOT NULL").select(*key, F.col("hot").alias("first")))
+    copies = pairs.groupBy(*key).agg(F.min(F.struct(*key) != F.col("first")).alias("rest"))
     # Every step reads the same columns of the same shuffle, which Spark then runs once. The other sides are small next
     # to the texts, so each task hashes them and need not sort texts.
     parts = base.repartition(shuffle_parts(spark), *key).join(copies.hint("shuffle_hash"), key, "left")
