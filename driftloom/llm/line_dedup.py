@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, ascii_lower, materialise
 
+#: A line is common if more rows than this share (1 / HOT) of all hold it, and more than HOT_ROWS.
+HOT, HOT_ROWS = 512, 4096
+
 
 def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drop lines whose key occurs in at least min_docs documents, save those of the smallest id that holds it.
@@ -31,11 +34,20 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     lines = materialise(lines, "lines")  # both the counts and the join below read it
     groups = lines.groupBy("_hash")
     if min_docs == 2:
-        counted = groups.agg(F.min("_driftloom_id").alias("_first"), F.max("_driftloom_id").alias("_last")).filter(F.col("_first") != F.col("_last"))
+        counted = groups.agg(F.min("_driftloom_id").alias("_first"), F.max("_driftloom_id").alias("_last"), F.count("*").alias("_rows")).filter(F.col("_first") != F.col("_last"))
     else:
-        counted = groups.agg(F.min("_driftloom_id").alias("_first"), F.count_distinct("_driftloom_id").alias("_n")).filter(F.col("_n") >= min_docs)
+        counted = groups.agg(F.min("_driftloom_id").alias("_first"), F.count_distinct("_driftloom_id").alias("_n"), F.count("*").alias("_rows")).filter(F.col("_n") >= min_docs)
+    counted = materialise(counted.select("_hash", "_first", "_rows"), "repeated-lines")
+    # Lines so common that one task would get many: at most HOT of them can each have that share of all lines, so they are
+    # broadcast, and the lines that hold them are never brought together.
+    limit = max(HOT_ROWS, -(-lines.count() // HOT))
+    hot = counted.filter(F.col("_rows") > limit).select("_hash", F.col("_first").alias("_hot"))
+    marked = lines.join(F.broadcast(hot), "_hash", "left")
+    rest = marked.filter(F.col("_hot").isNull()).join(counted.filter(F.col("_rows") <= limit).select("_hash", "_first"), "_hash")
+    common = marked.filter(F.col("_hot").isNotNull()).withColumn("_first", F.col("_hot"))
+    spots = ["_driftloom_id", "_driftloom_same", "_pos", "_first"]
     dropped = (
-        lines.join(counted.select("_hash", "_first"), "_hash")
+        rest.select(*spots).unionByName(common.select(*spots))
         .filter(F.col("_driftloom_id") != F.col("_first"))
         .groupBy("_driftloom_id", "_driftloom_same")
         .agg(F.collect_set("_pos").alias("_driftloom_drop"))
