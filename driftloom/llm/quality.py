@@ -174,7 +174,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qu
             ids += batch.column("id").to_pylist()
             flags += batch.column("trusted").to_pylist()
             xs += [x.values.to_numpy() for x in batch.column("x")]
-        order = sorted(range(len(ids)), key=lambda k: (flags[k], ids[k]))
+        order = sorted(range(len(ids)), key=lambda k: (flags[k], ids[k] is None, ids[k] or 0))
         x, flag = np.array([xs[k] for k in order], np.float64).reshape(len(order), width), np.array([flags[k] for k in order])
         if not (flag == 1).any() or not (flag == 0).any():
             return

@@ -345,6 +345,46 @@ def test_language_held_out(spark):
     assert kept >= {d for d, _, _ in rows[:400]} - {d for (d, _, _), ok in zip(rows, right) if not ok} and not kept & {500, 501, 502}
 
 
+def test_ftrl_against_a_plain_loop():
+    """The fit against the update written a coordinate at a time."""
+    rnd = random.Random(11)
+    p = language.LanguageParams(dims=12, epochs=2, l1=0.05)
+    rows = [(np.array(sorted(rnd.sample(range(12), 4))), np.array([rnd.random() for _ in range(4)], np.float32)) for _ in range(30)]
+    labels = np.array([rnd.randrange(3) for _ in rows])
+    z, n = [[0.0] * 13 for _ in range(3)], [[0.0] * 13 for _ in range(3)]
+
+    def weight(c, i):
+        if abs(z[c][i]) <= p.l1:
+            return 0.0
+        return -(z[c][i] - (p.l1 if z[c][i] > 0 else -p.l1)) / ((p.beta + n[c][i] ** 0.5) / p.alpha + p.l2)
+
+    draw = np.random.default_rng(1)
+    for _ in range(p.epochs):
+        for k in draw.permutation(len(rows)):
+            x = [*zip(rows[k][0].tolist(), map(float, rows[k][1])), (12, 1.0)]
+            w = {(c, i): weight(c, i) for c in range(3) for i, _ in x}
+            logits = [sum(w[c, i] * v for i, v in x) for c in range(3)]
+            top = max(logits)
+            odds = [np.exp(a - top) for a in logits]
+            for c in range(3):
+                for i, v in x:
+                    g = (odds[c] / sum(odds) - (c == labels[k])) * v
+                    sigma = ((n[c][i] + g * g) ** 0.5 - n[c][i] ** 0.5) / p.alpha
+                    z[c][i] += g - sigma * w[c, i]
+                    n[c][i] += g * g
+    got, bias = language.fit_ftrl(rows, labels, 3, p)
+    assert got == pytest.approx(np.array([[weight(c, i) for i in range(12)] for c in range(3)]), abs=1e-4)
+    assert bias == pytest.approx([weight(c, 12) for c in range(3)], abs=1e-4) and (got == 0).any()
+
+
+def test_weights_of_n_grams_by_hand():
+    grams = language.Grams(1 << 16, 2)
+    slots, value = grams.weights("Ab, ab!", np.ones(1 << 16))
+    # " ab ab " : one character: space 3, a 2, b 2; two: " a" 2, "ab" 2, "b " 2.
+    raw = sorted([1 + np.log(3)] + [1 + np.log(2)] * 5)
+    assert sorted(value) == pytest.approx(np.array(raw) / np.sqrt(sum(v * v for v in raw)), abs=1e-6) and len(slots) == 6
+
+
 def test_language_without_rows(spark):
     empty = frame(spark, [], SCHEMA + ", lang string")
     model = language.train_language(language.train_rows(empty))
@@ -368,6 +408,18 @@ def test_lines_equal_brute_force(spark, docs):
     assert rows_of(found) == sorted(brute.lines(docs), key=repr)
 
 
+def test_common_lines_and_copies_take_their_own_way(spark, docs, monkeypatch):
+    many = docs + [(1000 + k, f"A line that very many documents hold\nown line number {k}\n{' '.join(WORDS * 3)}") for k in range(60)]
+    for module in (line_dedup, substring_dedup):
+        monkeypatch.setattr(module, "HOT_ROWS", 3)
+        monkeypatch.setattr(module, "HOT", 40)
+    found = line_dedup.line_dedup(frame(spark, many)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256))
+    assert rows_of(found) == sorted(brute.lines(many), key=repr)
+    many += [(2000 + k, many[-1][1]) for k in range(40)]
+    got = substring_dedup.substring_dedup(frame(spark, many)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert rows_of(got) == sorted(brute.substring(many), key=repr)
+
+
 def test_lines_edges(spark):
     same = "A line that repeats"
     docs = [(3, f"{same}\nb\n{same}"), (1, f"  {same.upper()}\t\nshort"), (2, "short"), (None, same), (4, None), (5, f"{same}\r\n\n"), (6, "x"), (6, "x")]
