@@ -147,7 +147,7 @@ def find_peaks(x: np.ndarray, height: float | None = None, distance: float = 1,
 def welch(x: np.ndarray, fs: float, average: str = "median") -> tuple[np.ndarray, np.ndarray]:
     """Frequencies and one-sided power density: periodic Hann windows of one second, half overlapping, means removed;
     averaged by the mean, or by the median over its bias."""
-    size = int(min(fs, len(x)))
+    size = max(1, int(min(fs, len(x))))
     step = size - size // 2
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size) if size > 1 else np.ones(1)
     parts = np.array([x[k : k + size] for k in range(0, len(x) - size + 1, step)])
@@ -286,7 +286,13 @@ def clusters(x: np.ndarray, s: Setup) -> dict[str, float]:
     return {"hopkins_score": hopkins(x), **found}
 
 
-FAMILIES: dict[str, Callable] = {"spectral": spectral, "autocorr": autocorr, "peaks": peaks, "nonlinear": nonlinear, "clusters": clusters}
+def differential(x: np.ndarray, s: Setup) -> dict[str, float]:
+    """Steps from sample to sample, a second: mean and deviation of their sizes, the largest, and the share that rise."""
+    d = np.diff(x) * s.fs
+    return {"step_mean": float(np.abs(d).mean()), "step_std": float(np.abs(d).std()), "step_max": float(np.abs(d).max()), "step_up": float((d > 0).mean())}
+
+
+FAMILIES: dict[str, Callable] = {"differential": differential, "spectral": spectral, "autocorr": autocorr, "peaks": peaks, "nonlinear": nonlinear, "clusters": clusters}
 
 
 def register_feature(name: str, fn: Callable[[np.ndarray, Setup], dict[str, float]]) -> None:
