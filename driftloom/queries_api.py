@@ -3,6 +3,7 @@
 import contextlib
 import io
 import json
+import tempfile
 
 from pyspark.sql import functions as F
 
@@ -113,8 +114,10 @@ def process_folder(spark, sf_dir):
     out.append(("features", f"{got.count()} rows, {len(night)} night numbers, {'named' if any(c.startswith('mean_mag_') for c in got.columns) else 'no'} bouts"))
     out.append(("series", f"series of {spark.read.csv(f'{root}/out/day_series', header=True).select('recording_id').distinct().count()}"))
     out.append(("header", "none of text" if api.load(spark, f"{root}/raw/one.csv", header_only=True) == (None, {}) else "some"))
-    with contextlib.redirect_stdout(io.StringIO()):
-        main(["process", f"{root}/raw", f"{root}/meta", f"{root}/gone", "-sf"])
+    with contextlib.redirect_stdout(io.StringIO()), tempfile.TemporaryDirectory() as own:  # the driver reads settings
+        with open(f"{own}/settings.json", "w") as f:
+            f.write(cfg)
+        main(["process", f"{root}/raw", f"{root}/meta", f"{root}/gone", "-sf", "-c", f"{own}/settings.json"])
     api._remove(spark, f"{root}/out/processed")
     out.append(("deleted", "processed there" if api._there(spark, f"{root}/out/processed") else "processed gone"))
     return spark.createDataFrame(out, "step string, result string")
@@ -241,9 +244,9 @@ def bout_features(spark, sf_dir):
     k = F.col("k")
     r = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("recording_id")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3 * 8640 - 1))))
     hour = k / 360 % 24
-    wave = F.when(k % 360 < 4, F.sin(k * 2.5 + F.col("recording_id"))).otherwise(0.0)
+    wave = F.when(k % 360 < 4, F.sin(k % 360 * 2.5 + F.col("recording_id"))).otherwise(0.0)
     night = (hour >= 10) & (hour < 18)
-    done = r.select("recording_id", (F.lit(BEGIN) + k.cast("long") * 10_000_000).alias("us"), (wave * 0.5).alias("x"), (wave * 0.3 + 0.1).alias("y"), (1 - F.abs(wave) * 0.2).alias("z"), F.lit(True).alias("wear"), night.alias("sptw"), (night & (k % 360 >= 4)).alias("sleep_bout"))
+    done = r.select("recording_id", (F.lit(BEGIN) + k.cast("long") * 10_000_000).alias("us"), (wave * 0.5).alias("x"), (wave * 0.3 + 0.1).alias("y"), (1 + F.abs(wave) * 0.2).alias("z"), F.lit(True).alias("wear"), night.alias("sptw"), (night & (k % 360 >= 4)).alias("sleep_bout"))
     done = materialise(done.withColumn("time", from_micros(F.col("us"))), "done")
     cfg = plan.ProcessConfig(fs=0.1, move_gap_s=60.0, least_bouts=1)
     bouts = materialise(plan.movements(done, cfg), "bouts")
