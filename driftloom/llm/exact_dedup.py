@@ -153,7 +153,7 @@ def probe_history(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     """rows with member, keep, keep_row and size, through the perfect hash over distinct; shards that hold many rows are
     dealt over many tasks."""
     shards = max(1, -(-distinct.count() // SHARD_KEYS))
-    limit = max(16384, -(-rows.count() // 512))
+    limit = max(2048, -(-rows.count() // 512))
     # At most rows / limit <= 512 shards exceed the limit, however large the table.
     spread = {r["shard"]: -(-r["count"] // limit) for r in rows.groupBy(shard_of(shards).alias("shard")).count().filter(F.col("count") > limit).collect()}
     return look_up(rows, build_history(distinct, shards), shards, spread)
