@@ -12,8 +12,10 @@ from .language import identify_language, train_language, train_rows
 from .line_dedup import line_dedup
 from .pieces import encode_pieces
 from .quality import score_quality, train_quality
+from .runs import find_runs, repeat_tails
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
+from .whitening import whiten_embeddings
 
 #: A public SentencePiece model; the operators take the path as a parameter.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -71,7 +73,25 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_exact_dedup, op5_substring_dedup, op6_language_id, op7_line_dedup, op8_html_extraction, op9_sentencepiece, op10_quality_classifier)}
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten_embeddings(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+    each = found.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "both"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "both.whitened", "both.explained", "identity_error")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(repeat_tails(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    # runs come by start, then period, so the first of the greatest exponent is the one wanted
+    best = F.expr("aggregate(slice(runs, 2, size(runs)), get(runs, 0), (a, b) -> if(b.length * a.period > a.length * b.period, b, a))")
+    listed = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_exact_dedup, op5_substring_dedup, op6_language_id, op7_line_dedup, op8_html_extraction, op9_sentencepiece, op10_quality_classifier, op12_embedding_whitening, op13_periodic_runs)}
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
