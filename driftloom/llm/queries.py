@@ -11,6 +11,7 @@ from .html_text import extract_text
 from .language import identify_language, train_language, train_rows
 from .line_dedup import line_dedup
 from .pieces import encode_pieces
+from .pitman_yor import score_texts
 from .quality import score_quality, train_quality
 from .runs import find_runs, repeat_tails
 from .simhash import simhash_components
@@ -73,6 +74,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("held_out", held_out)
+    return score_texts(docs, ~F.col("held_out")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whiten_embeddings(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
     each = found.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "both"))
@@ -91,7 +98,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_exact_dedup, op5_substring_dedup, op6_language_id, op7_line_dedup, op8_html_extraction, op9_sentencepiece, op10_quality_classifier, op12_embedding_whitening, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_benchmark_decontamination, op3_chat_formatting, op4_exact_dedup, op5_substring_dedup, op6_language_id, op7_line_dedup, op8_html_extraction, op9_sentencepiece, op10_quality_classifier, op11_lm_scoring, op12_embedding_whitening, op13_periodic_runs)}
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
