@@ -86,6 +86,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+    """The batch in slices of about most bytes of text, so that what is made of a slice stays small; a text is never cut."""
+    sizes = np.cumsum(np.diff(string_bytes(batch.column(column))[1])) // most
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x ^ (x >> np.uint64(30))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE_A, materialise, mix, shuffle_parts, string_bytes, word_hashes, word_spans
+from .common import BASE_A, materialise, mix, shuffle_parts, string_bytes, text_slices, word_hashes, word_spans
 from .packing import gaps, pack, unpack
 
 #: Stand for a text's edges; word hashes have 64 bits and meet these no likelier than each other.
@@ -35,7 +35,7 @@ class PitmanYorParams:
     samples: int = 5
     seed: int = 11
     exact: int = 512
-    chunk_bytes: int = 16 << 20
+    chunk_bytes: int = 12 << 20
     unit_bytes: int = 8 << 20
 
 
@@ -165,12 +165,11 @@ def share_of(h: np.ndarray, n: int) -> np.ndarray:
 def chunk_slices(before: np.ndarray, word: np.ndarray, text: np.ndarray, learn: np.ndarray, units: int, hot: np.ndarray):
     """(unit, payload) of a chunk's tokens. A unit has whole contexts, but of the hot ones a share of the words after."""
     names, at = np.unique(np.append(word, START), return_inverse=True)
-    start = at[-1]
-    w = at[:-1]
+    start, w = at[-1], at[:-1].astype(np.uint32)
     v = np.empty_like(w)
     v[1:] = w[:-1]
     v[before == START] = start
-    unit = share_of(before, units)
+    unit = share_of(before, units).astype(np.uint32)
     if len(hot):
         split = np.isin(before, hot)
         unit[split] = share_of(mix(before[split] * np.uint64(BASE_A) + word[split]), units)
@@ -305,7 +304,7 @@ def score_texts(docs: DataFrame, learn: Column, text_col: str = "text", params:
     units = max(parts, ceil((rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) / p.unit_bytes))
 
     def heads(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in text_slices(whole, "text")):
             names, n = np.unique(tokens_of(batch.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["h", "n"])
 
@@ -319,28 +318,28 @@ def score_texts(docs: DataFrame, learn: Column, text_col: str = "text", params:
 
         def close():
             nonlocal turn
-            table = pa.Table.from_batches(held).combine_chunks()
-            before, word, text = tokens_of(table.column("text"))
-            flags = table.column("learn").to_numpy()
+            sizes = np.concatenate([x[3] for x in held])
+            before, word = (np.concatenate([x[k] for x in held]) for k in (1, 2))
+            flags = np.concatenate([x[4] for x in held])
+            row = pa.concat_arrays([x[0] for x in held])
+            held.clear()
             number = (TaskContext.get().partitionId() << 24) + turn
             turn += 1
-            row = table.column("row").combine_chunks()
-            row = row if isinstance(row, pa.StructArray) else row.chunk(0)
             lists = pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), row)
-            counts = pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), pa.array(np.bincount(text, minlength=len(row))))
+            counts = pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), pa.array(sizes))
             yield pa.RecordBatch.from_arrays([pa.array([-1 - number % (1 << 30)], pa.int32()), pa.array([number]), pa.array([None], pa.binary()), lists, counts], names)
-            for unit, payload in chunk_slices(before, word, text, flags, units, hot):
+            for unit, payload in chunk_slices(before, word, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), flags, units, hot):
                 yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([number]), pa.array([payload], pa.binary()), pa.nulls(1, lists.type), pa.nulls(1, counts.type)], names)
-            pa.default_memory_pool().release_unused()
 
         names = ["unit", "chunk", "payload", "rows", "tokens"]
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += len(string_bytes(batch.column("text"))[0])
+        for batch in (piece for whole in batches for piece in text_slices(whole, "text")):
+            before, word, text = tokens_of(batch.column("text"))
+            held.append((batch.column("row"), before, word, np.bincount(text, minlength=batch.num_rows), batch.column("learn").to_numpy(zero_copy_only=False)))
+            size += 6 * len(word)  # a word and a blank, about
             if size >= p.chunk_bytes:
                 yield from close()
-                held, size = [], 0
+                size = 0
+            pa.default_memory_pool().release_unused()
         if held:
             yield from close()
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, mix, string_bytes, word_hashes, word_spans
+from .common import BASE_A, BASE_B, mix, string_bytes, text_slices, word_hashes, word_spans
 
 
 @dataclass(frozen=True)
@@ -190,14 +190,8 @@ def find_runs(docs: DataFrame, text_col: str = "text", params: RunParams = RunPa
     text_of = docs.select(*(F.col(f"`{c}`") for c in own), *([F.col(f"`{text_col}`").alias("_text")] if source == "_text" else []))
     kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
-    def pieces(batch):
-        """The batch in slices of about 8 MB of text, so that hashes stay small beside it."""
-        sizes = np.cumsum(np.diff(string_bytes(batch.column(source))[1])) >> 23
-        cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
-        return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
-
     def run(batches):
-        for batch in (piece for whole in batches for piece in pieces(whole)):
+        for batch in (piece for whole in batches for piece in text_slices(whole, source)):
             data, offsets = string_bytes(batch.column(source))
             starts, ends, first, a, b = stretches(data, offsets, params)
             raw, texts, found = data.tobytes(), [], []
