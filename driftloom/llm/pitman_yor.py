@@ -35,8 +35,8 @@ class PitmanYorParams:
     samples: int = 5
     seed: int = 11
     exact: int = 512
-    chunk_bytes: int = 12 << 20
-    unit_bytes: int = 8 << 20
+    chunk_bytes: int = 28 << 20
+    unit_bytes: int = 20 << 20
 
 
 # --- Seating
@@ -319,9 +319,9 @@ def score_texts(docs: DataFrame, learn: Column, text_col: str = "text", params:
         def close():
             nonlocal turn
             sizes = np.concatenate([x[3] for x in held])
-            before, word = (np.concatenate([x[k] for x in held]) for k in (1, 2))
             flags = np.concatenate([x[4] for x in held])
             row = pa.concat_arrays([x[0] for x in held])
+            before, word = (np.concatenate([x[k] for x in held]) for k in (1, 2))
             held.clear()
             number = (TaskContext.get().partitionId() << 24) + turn
             turn += 1
@@ -386,7 +386,7 @@ def score_texts(docs: DataFrame, learn: Column, text_col: str = "text", params:
             n = np.bincount(owner)
             some = np.flatnonzero(n)
             each = np.repeat(at, times)
-            out.append({"chunk": name, "unit": number, "sums": pack(gaps(some), *(np.bincount(owner, x[each])[some] for x in (score, base)), np.bincount(owner, seen[each])[some].astype(np.int64))})
+            out.append({"chunk": name, "unit": number, "sums": pack(gaps(some), np.bincount(owner, score[each])[some].astype(np.float32), np.bincount(owner, base[each])[some], np.bincount(owner, seen[each])[some].astype(np.int64))})
         return pa.Table.from_pylist(out, sum_schema)
 
     arrow = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
