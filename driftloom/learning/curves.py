@@ -96,61 +96,53 @@ def calibration_error(df: DataFrame, bins: int = 10, score: str = "score", y: st
     return df.agg(F.avg(F.pow(F.col(score) - F.col(y), 2)).alias("brier")).crossJoin(F.broadcast(b))  # two rows
 
 
-def bootstrap(df: DataFrame, rounds: int = 200, pred: str = "pred", y: str = "y", key: str = "id", seed: int = 1) -> DataFrame:
-    """Mean, deviation and 95 % interval of metrics over Poisson resamples within classes.
+#: Rounds of a bootstrap that one row of work draws.
+ROUNDS = 50
 
-    Only the four counts differ between rounds, and the weights of n rows, each Poisson of mean 1, sum up to a Poisson
-    number of mean n: the rows are counted once, and a round draws four numbers. key is not used any more."""
-    import numpy as np
-    import pandas as pd
-
-    def draw(batches):
-        for pdf in batches:
-            for n in pdf[["tp", "fp", "fn", "tn"]].fillna(0).to_numpy():
-                total = np.random.default_rng(seed).poisson(n, (rounds, 4)).astype(float)
-                yield pd.DataFrame({"round": np.arange(rounds), **{c: total[:, k] for k, c in enumerate(("tp", "fp", "fn", "tn"))}})
-
-    c = df.agg(*counts(F.col(pred), F.col(y))).select("tp", "fp", "fn", "tn").mapInPandas(draw, "round long, tp double, fp double, fn double, tn double")
-    tp, fp, fn, tn = (F.col(n) for n in ("tp", "fp", "fn", "tn"))
-    div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return c.withColumns({
-        "accuracy": div(tp + tn, tp + fp + fn + tn), "balanced_accuracy": (div(tp, tp + fn) + div(tn, tn + fp)) / 2, "precision": div(tp, tp + fp), "recall": div(tp, tp + fn),
-        "specificity": div(tn, tn + fp), "f1": div(2 * tp, 2 * tp + fp + fn),
-    })
-
-
-def calibration_bins(df: DataFrame, bins: int = 10, score: str = "score", y: str = "y") -> DataFrame:
-    """Mean score and rate of ones in even bins of the score."""
-    cell = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int").alias("bin")
-    return df.groupBy(cell).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(y).cast("double")).alias("rate"))
 
+def bootstrap(df: DataFrame, rounds: int = 2000, pred: str = "pred", y: str = "y", score: str | None = None, seed: int = 1, buckets: int = 1024) -> DataFrame:
+    """metric, mean, sd, low and high (95 % interval) over resamples of the rows, drawn with replacement within each class.
 
-def calibration_error(df: DataFrame, bins: int = 10, score: str = "score", y: str = "y") -> DataFrame:
-    """Brier score, and the bins' mean distance of score and rate by their rows."""
-    b = calibration_bins(df, bins, score, y).agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("rate"))) / F.sum("n")).alias("ece"))
-    return df.agg(F.avg(F.pow(F.col(score) - F.col(y), 2)).alias("brier")).crossJoin(F.broadcast(b))  # two rows
-
-
-def bootstrap(df: DataFrame, rounds: int = 200, pred: str = "pred", y: str = "y", key: str = "id", seed: int = 1) -> DataFrame:
-    """Mean, deviation and 95 % interval of metrics over Poisson resamples within classes.
-
-    Only the four counts differ between rounds, so each task draws Poisson weights for its rows and sums them up."""
+    Rows are counted once, by bucket of the score (0 to 1), predicted label and class: at most 4 * buckets counts, however
+    many rows. A resample of a class is a multinomial draw of its counts, so rounds cost buckets and not rows; they are
+    dealt to tasks. With a score there are roc_auc and average_precision as well, scores of a bucket counting as ties."""
     import numpy as np
     import pandas as pd
 
-    def draw(batches):
-        total = np.zeros((rounds, 4))
-        for pdf in batches:
-            for k, p, t in zip(pdf[key], pdf[pred], pdf[y]):
-                w = np.random.default_rng([seed, int(k) & 0x7FFFFFFF]).poisson(1.0, rounds)
-                total[:, (0 if t == 1 else 1) if p == 1 else (2 if t == 1 else 3)] += w
-        yield pd.DataFrame({"round": np.arange(rounds), "tp": total[:, 0], "fp": total[:, 1], "fn": total[:, 2], "tn": total[:, 3]})
-
-    c = df.select(key, pred, y).mapInPandas(draw, "round long, tp double, fp double, fn double, tn double").groupBy("round").agg(*(F.sum(n).alias(n) for n in ("tp", "fp", "fn", "tn")))
-    tp, fp, fn, tn = (F.col(n) for n in ("tp", "fp", "fn", "tn"))
-    div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    m = c.select("round", div(tp + tn, tp + fp + fn + tn).alias("accuracy"), ((div(tp, tp + fn) + div(tn, tn + fp)) / 2).alias("balanced_accuracy"), div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"), div(2 * tp, 2 * tp + fp + fn).alias("f1"))
-    return m.unpivot("round", list(METRICS), "metric", "value").groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
+    names = [*METRICS, *(("roc_auc", "average_precision") if score else ())]
+    cell = F.greatest(F.least(F.floor(F.col(score) * buckets), F.lit(buckets - 1)), F.lit(0)).cast("int") if score else F.lit(0)
+    one = F.col(y) == 1
+    cells = df.groupBy(cell.alias("cell"), (F.col(pred) == 1).alias("picked")).agg(F.count_if(one).alias("p"), F.count_if(~one).alias("q"))
+    listed = cells.agg(F.sort_array(F.collect_list(F.struct("cell", "picked", "p", "q"))).alias("cells"))
+    work = df.sparkSession.range(-(-rounds // ROUNDS)).withColumn("n", F.least(F.lit(ROUNDS), F.lit(rounds) - F.col("id") * ROUNDS)).crossJoin(F.broadcast(listed))  # one row
+
+    def draw(frames):
+        for frame in frames:
+            for part, n, cells in zip(frame["id"], frame["n"], frame["cells"]):
+                if not len(cells):
+                    continue
+                bucket, picked, p, q = (np.array([c[k] for c in cells]) for k in ("cell", "picked", "p", "q"))
+                rng = np.random.default_rng([seed, int(part)])
+                again = lambda c: rng.multinomial(c.sum(), c / c.sum(), size=int(n)) if c.sum() else np.zeros((int(n), len(c)), np.int64)
+                p, q = again(p), again(q)
+                tp, fp = p[:, picked].sum(axis=1), q[:, picked].sum(axis=1)
+                fn, tn = p.sum(axis=1) - tp, q.sum(axis=1) - fp
+                div = lambda a, b: np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
+                recall = div(tp, tp + fn)
+                found = {"accuracy": div(tp + tn, tp + fp + fn + tn), "balanced_accuracy": (recall + div(tn, tn + fp)) / 2, "precision": div(tp, tp + fp), "recall": recall, "f1": div(2 * tp, 2 * tp + fp + fn)}
+                if score:
+                    edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+                    p, q = (np.add.reduceat(c, edge, axis=1)[:, ::-1] for c in (p, q))  # by falling score
+                    above, all_ = p.cumsum(axis=1), p.cumsum(axis=1) + q.cumsum(axis=1)
+                    ones, zeros = p.sum(axis=1), q.sum(axis=1)
+                    found["roc_auc"] = np.where(ones * zeros > 0, div((q * (above - p) + q * p / 2).sum(axis=1), ones * zeros), np.nan)
+                    ap = np.divide(p * above, all_, out=np.zeros(p.shape), where=all_ > 0).sum(axis=1)
+                    found["average_precision"] = np.where(ones > 0, div(ap, ones), np.nan)
+                yield pd.DataFrame(found)
+
+    drawn = work.repartition(-(-rounds // ROUNDS)).mapInPandas(draw, ", ".join(f"{c} double" for c in names))
+    v = F.when(~F.isnan("value"), F.col("value"))
+    return drawn.unpivot([], names, "metric", "value").groupBy("metric").agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.percentile(v, F.lit(0.025)).alias("low"), F.percentile(v, F.lit(0.975)).alias("high"))
 
 
 def roc_on_grid(df: DataFrame, steps: int, score: str = "score", y: str = "y") -> DataFrame:

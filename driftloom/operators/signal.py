@@ -13,12 +13,17 @@ from .segments import HOUR_US, contained_in, points_in_intervals, segments, sess
 from .timeaxis import DAY_US, anchored_bins, bin_stats, ordered, rolling_median, rolling_medians
 
 
-def z_angle_change(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int) -> DataFrame:
-    """Epochs of rows samples: mean z-angle of the trailing medians of x, y, z over rows samples, and its absolute change.
+def z_angle_change(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | str) -> DataFrame:
+    """Epochs of rows samples (a number, or a column that is one in each recording): mean z-angle of the trailing medians of x, y, z over rows samples, and its absolute change.
 
     The first rows - 1 samples have no median; the last epoch may be short; the first change is 0."""
-    angles = rolling_medians(df, keys, order, ["x", "y", "z"], rows, "_rn").filter(F.col("_rn") >= rows).withColumnsRenamed({f"{c}_median": f"_{c}" for c in "xyz"})
-    angles = angles.withColumn("epoch", F.floor((F.col("_rn") - rows) / rows).cast("long")).withColumn("_angle", z_angle(F.col("_x"), F.col("_y"), F.col("_z")))
+    angles = rolling_medians(df, keys, order, ["x", "y", "z"], rows, "_rn")
+    if isinstance(rows, int):
+        width = F.lit(rows)
+    else:
+        angles, width = angles.join(df.groupBy(*keys).agg(F.max(rows).alias("_rows")), list(keys)), F.col("_rows")
+    angles = angles.filter(F.col("_rn") >= width).withColumnsRenamed({f"{c}_median": f"_{c}" for c in "xyz"})
+    angles = angles.withColumn("epoch", F.floor((F.col("_rn") - width) / width).cast("long")).withColumn("_angle", z_angle(F.col("_x"), F.col("_y"), F.col("_z")))
     means = angles.groupBy(*keys, "epoch").agg(F.avg("_angle").alias("angle"))
     change = F.abs(F.col("angle") - F.lag("angle").over(ordered(keys, ["epoch"])))
     return means.withColumn("change", F.coalesce(change, F.lit(0.0)))
@@ -285,31 +290,47 @@ def settling(sections: np.ndarray) -> int:
     return int(np.ceil(len(sections) * np.log(FADED) / np.log(slowest))) if 0 < slowest < 1 else 1
 
 
-def butterworth(df: DataFrame, keys: Sequence[str], columns: Sequence[str], fs: float, low: float | None = None, high: float | None = None, order: int = 5, us: str = "us", even: bool = False, piece: int = PIECE) -> DataFrame:
+def butterworth(df: DataFrame, keys: Sequence[str], columns: Sequence[str], fs: float | DataFrame, low: float | None = None, high: float | None = None, order: int = 5, us: str = "us", even: bool = False, piece: int = PIECE) -> DataFrame:
     """df with the columns filtered along time in each recording, and filtered, whether it was done.
 
-    A recording is filtered in pieces, each with as many samples of its neighbours on both sides as a state of the filter
-    needs to fade, so the result is that of the whole series to rounding, whatever the recording's length. even: samples
-    are 1 / fs apart, so that times number them; otherwise they are numbered in order, one recording in one sort. A
-    recording too short for the filter stays as it is."""
-    sections = butterworth_sections(fs, low, high, order)
-    warm = settling(sections) + 3 * (2 * len(sections) + 1)
+    fs: the rate of all, or keys, fs and step_us of each recording, which may have few different rates. A recording is
+    filtered in pieces, each with as many samples of its neighbours on both sides as a state of the filter needs to fade,
+    so the result is that of the whole series to rounding, whatever the recording's length. even: samples are steps of
+    step_us (1 / fs, rounded to microseconds) apart, so that times number them; otherwise they are numbered in order, one
+    recording in one sort. A recording too short for the filter, or too slow for its cut-offs, stays as it is."""
+    one = not isinstance(fs, DataFrame)
+    rates = [float(fs)] if one else sorted(r["fs"] for r in fs.select("fs").distinct().collect() if r["fs"] is not None)
+    setups: dict[float, np.ndarray] = {}
+    for rate in rates:
+        try:
+            setups[rate] = butterworth_sections(rate, low, high, order)
+        except ValueError:
+            if one:
+                raise
+    warm = max((settling(s) + 3 * (2 * len(s) + 1) for s in setups.values()), default=1)
     piece = max(piece, 4 * warm)
-    span = df.groupBy(*keys).agg(F.min(us).alias("_t0"), F.count("*").alias("_n"))
-    at = F.round((F.col(us) - F.col("_t0")) * (fs / 1e6)).cast("long") if even else F.row_number().over(ordered(keys, [us])).cast("long") - 1
-    numbered = df.join(span, list(keys)).withColumn("_k", at)
-    first, last = F.greatest(F.floor((F.col("_k") - warm) / piece), F.lit(0)), F.least(F.floor((F.col("_k") + warm) / piece), F.floor((F.col("_n") - 1) / piece))
-    dealt = numbered.withColumn("_piece", F.explode(F.sequence(first, last))).drop("_t0")
+    known = df.withColumns({"_fs": F.lit(rates[0]), "_step": F.lit(round(1e6 / rates[0]))}) if one else df.join(fs.select(*keys, F.col("fs").alias("_fs"), F.col("step_us").alias("_step")), list(keys), "left")
+    if even:
+        span = df.groupBy(*keys).agg(F.min(us).alias("_t0"), F.max(us).alias("_t1"))
+        place = lambda t: F.coalesce(F.round((t - F.col("_t0")) / F.col("_step")).cast("long"), F.lit(0))
+        numbered = known.join(span, list(keys)).withColumns({"_k": place(F.col(us)), "_end": place(F.col("_t1"))}).drop("_t0", "_t1")
+    else:
+        span = df.groupBy(*keys).agg((F.count("*") - 1).alias("_end"))
+        numbered = known.join(span, list(keys)).withColumn("_k", F.row_number().over(ordered(keys, [us])).cast("long") - 1)
+    first, last = F.greatest(F.floor((F.col("_k") - warm) / piece), F.lit(0)), F.least(F.floor((F.col("_k") + warm) / piece), F.floor(F.col("_end") / piece))
+    dealt = numbered.withColumn("_piece", F.explode(F.sequence(first, last))).drop("_step", "_end")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", filtered boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_k", kind="stable")
         own = (pdf["_k"] // piece == pdf["_piece"].iloc[0]).to_numpy()
-        done = True
-        try:
-            pdf[list(columns)] = filter_both_ways(sections, pdf[list(columns)].to_numpy(np.float64))
-        except ValueError:
-            done = False
-        return pdf[own].drop(columns=["_k", "_n", "_piece"]).assign(filtered=done)
+        sections, done = setups.get(float(pdf["_fs"].iloc[0])), False
+        if sections is not None:
+            try:
+                pdf[list(columns)] = filter_both_ways(sections, pdf[list(columns)].to_numpy(np.float64))
+                done = True
+            except ValueError:
+                pass
+        return pdf[own].drop(columns=["_k", "_piece", "_fs"]).assign(filtered=done)
 
     return dealt.groupBy(*keys, "_piece").applyInPandas(run, schema)

@@ -22,9 +22,9 @@ def with_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], us: str
     return df.withColumn("gap_us", F.col(us) - F.lag(us).over(ordered(keys, order)))
 
 
-def sample_rate(df: DataFrame, keys: Sequence[str], order: Sequence[str], longest_gap_s: float = 60.0) -> DataFrame:
+def sample_rate(df: DataFrame, keys: Sequence[str], order: Sequence[str], longest_gap_s: float = 60.0, more: Sequence[Column] = ()) -> DataFrame:
     """Rate of each recording from steps of at most longest_gap_s: mean (1 / mean step), population deviation of 1 / step,
-    both to 2 digits, and whether all steps are one."""
+    both to 2 digits, and whether all steps are one. more: other aggregates of gap_us."""
     steps = with_gaps(df, keys, order).filter((F.col("gap_us") > 0) & (F.col("gap_us") <= longest_gap_s * 1e6))
     s = F.col("gap_us") / 1e6
     return steps.groupBy(*keys).agg(
@@ -32,6 +32,7 @@ def sample_rate(df: DataFrame, keys: Sequence[str], order: Sequence[str], longes
         F.round(1 / F.avg(s), 2).alias("rate_hz"),
         F.round(F.stddev_pop(1 / s), 2).alias("rate_sd"),
         (F.min("gap_us") == F.max("gap_us")).alias("uniform"),
+        *more,
     )
 
 
@@ -43,6 +44,18 @@ def target_rate(rate: Column, header: Column, uniform: Column, wanted: Column, t
     return F.when(~uniform, F.coalesce(wanted, near)).when(wanted != rate, wanted)
 
 
+def inferred_rates(df: DataFrame, keys: Sequence[str], order: Sequence[str], headers: DataFrame | None = None, wanted: float | None = None) -> DataFrame:
+    """keys, fs (the rate to work at), step_us (between samples at it) and resample, whether the recording must be brought
+    to it first. headers: keys and header_hz, where known; wanted: one rate for all. A recording of one row has none."""
+    rates = sample_rate(df, keys, order, more=[F.min("gap_us").alias("least_gap_us")])
+    rates = rates.join(headers.select(*keys, "header_hz"), list(keys), "left") if headers is not None else rates.withColumn("header_hz", F.lit(None).cast("double"))
+    to = target_rate(F.col("rate_hz"), F.col("header_hz"), F.col("uniform"), F.lit(wanted).cast("double"))
+    to = F.when(to > 0, to)  # the nearest multiple of ten of a slow recording is none
+    fs = F.coalesce(to.cast("double"), F.col("rate_hz"))
+    step = F.when(to.isNotNull(), F.round(F.lit(1e6) / to)).otherwise(F.col("least_gap_us")).cast("long")
+    return rates.select(*keys, fs.alias("fs"), step.alias("step_us"), to.isNotNull().alias("resample"))
+
+
 def drop_duplicate_times(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """Remove every row whose time occurs more than once in its recording: none of several is right."""
     return df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, time))).filter("_n = 1").drop("_n")
@@ -89,27 +102,29 @@ def rolling_median(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
 WIDE, PIECE = 50, 500_000
 
 
-def rolling_medians(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], rows: int, number: str = "row", piece: int = PIECE) -> DataFrame:
+def rolling_medians(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], rows: int | str, number: str = "row", piece: int = PIECE) -> DataFrame:
     """keys, number (each row's place from 1) and <value>_median of the last rows values; null until there are that many.
 
-    A frame's median costs its width in an expression, so wide ones go to pandas, a piece of a recording at a time; the
+    Nulls and NaN are left out of a frame. rows may name a column that is one number in each recording. A frame's median costs its width in an expression, so wide ones go to pandas, a piece of a recording at a time; the
     rows that the next piece's first windows need are dealt to it as well."""
     w = ordered(keys, order)
     numbered = df.withColumn(number, F.row_number().over(w))
-    if rows <= WIDE:
-        medians = {f"{v}_median": F.when(F.col(number) >= rows, quantile(F.col(v), 0.5).over(w.rowsBetween(-(rows - 1), 0))) for v in values}
+    width = F.lit(rows) if isinstance(rows, int) else F.col(rows)
+    if isinstance(rows, int) and rows <= WIDE:
+        known = lambda v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v))  # noqa: E731  NaN counts as missing, as pandas has it
+        medians = {f"{v}_median": F.when(F.col(number) >= rows, quantile(known(v), 0.5).over(w.rowsBetween(-(rows - 1), 0))) for v in values}
         return numbered.withColumns(medians).select(*keys, number, *medians)
     own = F.floor((F.col(number) - 1) / piece)
-    last = F.floor((F.col(number) - 1 + rows - 1) / piece)
-    dealt = numbered.select(*keys, number, *values, F.explode(F.sequence(own, last)).alias("_piece"))
+    last = F.floor((F.col(number) - 1 + width - 1) / piece)
+    dealt = numbered.select(*keys, number, *values, width.alias("_width"), F.explode(F.sequence(own, last)).alias("_piece"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + f", {number} long, " + ", ".join(f"{v}_median double" for v in values)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(number)
-        out = pdf[[*keys, number]].copy()
+        out, n = pdf[[*keys, number]].copy(), int(pdf["_width"].iloc[0])
         for v in values:
-            m = pdf[v].astype(float).rolling(rows, min_periods=1).median()  # of the known values, as the expression's
-            out[f"{v}_median"] = m.where(pdf[number] >= rows)
+            m = pdf[v].astype(float).rolling(n, min_periods=1).median()  # of the known values, as the expression's
+            out[f"{v}_median"] = m.where(pdf[number] >= n)
         return out[((out[number] - 1) // piece) == pdf["_piece"].iloc[0]]
 
     return dealt.groupBy(*keys, "_piece").applyInPandas(run, schema)
@@ -127,39 +142,45 @@ def fill_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
 CELL_STEPS = 65_536
 
 
-def _cells(df: DataFrame, keys: Sequence[str], step_us: int, us: str) -> DataFrame:
-    """keys, _cell, _from, _to: the grid's first and last time in each stretch of CELL_STEPS steps of the time axis."""
-    width = step_us * CELL_STEPS
-    span = df.groupBy(*keys).agg(F.min(us).alias("_a"), F.max(us).alias("_b"))
-    each = span.select(*keys, "_a", "_b", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor(F.col("_b") / width))).alias("_cell"))
-    first = F.greatest(F.col("_a"), F.col("_a") + F.ceil((F.col("_cell") * width - F.col("_a")) / step_us) * step_us)
-    return each.select(*keys, "_cell", first.alias("_from"), F.least(F.col("_b"), (F.col("_cell") + 1) * width - 1).alias("_to"))
+def _step(step_us: int | str) -> Column:
+    """A step in microseconds, or the column that holds it, one number in each recording."""
+    return F.lit(step_us).cast("long") if isinstance(step_us, int) else F.col(step_us).cast("long")
+
+
+def _cells(df: DataFrame, keys: Sequence[str], step_us: int | str, us: str) -> DataFrame:
+    """keys, _cell, _from, _to, _step: the grid's first and last time in each stretch of CELL_STEPS steps of the time axis."""
+    step = F.col("_step")
+    width = step * CELL_STEPS
+    span = df.groupBy(*keys).agg(F.min(us).alias("_a"), F.max(us).alias("_b"), F.max(_step(step_us)).alias("_step"))
+    each = span.select(*keys, "_a", "_b", "_step", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor(F.col("_b") / width))).alias("_cell"))
+    first = F.greatest(F.col("_a"), F.col("_a") + F.ceil((F.col("_cell") * width - F.col("_a")) / step) * step)
+    return each.select(*keys, "_cell", first.alias("_from"), F.least(F.col("_b"), (F.col("_cell") + 1) * width - 1).alias("_to"), "_step")
 
 
-def _points(step_us: int):
-    return F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to", F.lit(step_us))).otherwise(F.array().cast("array<bigint>"))
+def _points():
+    return F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to", "_step")).otherwise(F.array().cast("array<bigint>"))
 
 
-def grid(df: DataFrame, keys: Sequence[str], step_us: int, us: str = "us") -> DataFrame:
+def grid(df: DataFrame, keys: Sequence[str], step_us: int | str, us: str = "us") -> DataFrame:
     """Evenly spaced times from each recording's first row to its last, made a cell at a time."""
-    return _cells(df, keys, step_us, us).select(*keys, F.explode(_points(step_us)).alias(us))
+    return _cells(df, keys, step_us, us).select(*keys, F.explode(_points()).alias(us))
 
 
-def _around(df: DataFrame, keys: Sequence[str], step_us: int, value: str, us: str) -> DataFrame:
+def _around(df: DataFrame, keys: Sequence[str], step_us: int | str, value: str, us: str) -> DataFrame:
     """The grid's times with the samples before (or at) and after (or at) each; one row for each time is taken.
 
     A cell of the time axis is sorted at a time: what lies before its first and after its last sample comes from the
     other cells' ends, of which a recording has few."""
     sample = F.struct(F.col(us).alias("_t"), F.col(value).alias("_v"))
-    at = df.select(*keys, us, F.floor(F.col(us) / (step_us * CELL_STEPS)).alias("_cell"), sample.alias("_s"))
+    at = df.select(*keys, us, F.floor(F.col(us) / (_step(step_us) * CELL_STEPS)).alias("_cell"), sample.alias("_s"))
     ends = at.groupBy(*keys, "_cell").agg(F.min_by("_s", us).alias("_first"), F.max_by("_s", us).alias("_last"))
     w = Window.partitionBy(*keys).orderBy("_cell")
     cells = _cells(df, keys, step_us, us).join(ends, [*keys, "_cell"], "left").select(
-        *keys, "_cell", "_from", "_to",
+        *keys, "_cell", "_from", "_to", "_step",
         F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
         F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
     )
-    points = cells.select(*keys, F.explode(_points(step_us)).alias(us), "_cell", "_earlier", "_later")
+    points = cells.select(*keys, F.explode(_points()).alias(us), "_cell", "_earlier", "_later")
     kind = at.schema["_s"].dataType
     none = F.lit(None).cast(kind)
     both = at.select(*keys, us, "_cell", "_s", none.alias("_earlier"), none.alias("_later"), F.lit(0).alias("_grid")).unionByName(points.select(*keys, us, "_cell", none.alias("_s"), "_earlier", "_later", F.lit(1).alias("_grid")))
@@ -169,7 +190,7 @@ def _around(df: DataFrame, keys: Sequence[str], step_us: int, value: str, us: st
     return found.filter("_grid = 1")
 
 
-def resample_nearest(df: DataFrame, keys: Sequence[str], step_us: int, value: str, us: str = "us") -> DataFrame:
+def resample_nearest(df: DataFrame, keys: Sequence[str], step_us: int | str, value: str, us: str = "us") -> DataFrame:
     """The nearest sample's value at each time of the grid; of two as near, the earlier. Times must be distinct."""
     left, right = F.col(us) - F.col("before._t"), F.col("after._t") - F.col(us)
     near = F.when(F.col("after").isNull() | (left <= right), F.col("before._v")).otherwise(F.col("after._v"))
@@ -179,7 +200,7 @@ def resample_nearest(df: DataFrame, keys: Sequence[str], step_us: int, value: st
 resample_nearest_struct = resample_nearest  # the value may be a struct of several columns
 
 
-def resample_linear(df: DataFrame, keys: Sequence[str], step_us: int, value: str, us: str = "us") -> DataFrame:
+def resample_linear(df: DataFrame, keys: Sequence[str], step_us: int | str, value: str, us: str = "us") -> DataFrame:
     """The value at each time of the grid on the line between the samples around it. Times must be distinct."""
     a, b = F.col("before"), F.col("after")
     share = (F.col(us) - a["_t"]) / F.nullif(b["_t"] - a["_t"], F.lit(0))

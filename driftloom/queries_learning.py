@@ -81,12 +81,12 @@ def exact_independence(spark, sf_dir):
     return rounded(stats.independence(n, "part", "odd"))
 
 
-@query("SELECT unnest(['accuracy', 'balanced_accuracy', 'precision', 'recall', 'f1']) AS metric, true AS covers, true AS near")
+@query("SELECT unnest(['accuracy', 'balanced_accuracy', 'precision', 'recall', 'f1', 'roc_auc', 'average_precision']) AS metric, true AS covers, true AS near")
 def bootstrap_ci(spark, sf_dir):
-    """Whether the interval of each metric covers the metric itself, and its mean is near."""
+    """Whether the interval of each metric covers the metric itself, and its mean is near, over 2,000 rounds."""
     p = predicted(spark, sf_dir)
-    point = curves.metrics(p).unpivot([], list(curves.METRICS), "metric", "point")
-    return curves.bootstrap(p, 400).join(point, "metric").select("metric", (F.col("point") >= F.col("low") - 1e-9).__and__(F.col("point") <= F.col("high") + 1e-9).alias("covers"), (F.abs(F.col("mean") - F.col("point")) < 0.02).alias("near"))
+    point = curves.metrics(p).crossJoin(F.broadcast(curves.auc(p))).unpivot([], [*curves.METRICS, "roc_auc", "average_precision"], "metric", "point")  # one row each
+    return curves.bootstrap(p, 2000, score="score").join(point, "metric").select("metric", (F.col("point") >= F.col("low") - 1e-9).__and__(F.col("point") <= F.col("high") + 1e-9).alias("covers"), (F.abs(F.col("mean") - F.col("point")) < 0.02).alias("near"))
 
 
 # --- folds, oversampling, rankings

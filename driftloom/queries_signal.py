@@ -210,15 +210,64 @@ def planted_nights(spark, sf_dir):
     return whole.join(counted, ["recording_id", "night"]).select("recording_id", F.col("night").cast("int").alias("night"), "at_night", "many_bouts")
 
 
-@query(f"""WITH {REC}, m AS (SELECT recording_id, us, event_id, z <> 3 AS wear, y > 20 AS sptw FROM r) SELECT recording_id, count(*) AS n, true AS subset, true AS settled FROM m GROUP BY 1""")
+#: Masks of events, islands of not wear and sptw (a), windows of sptw (w), windows that hold an island (h), and its rule (q).
+RULED = f"""{REC}, m AS (SELECT recording_id, us, event_id, z <> 3 AS wear, y > 20 AS sptw FROM r),
+  e AS (SELECT *, sum(CASE WHEN amb IS DISTINCT FROM pa THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY us, event_id) AS ia, sum(CASE WHEN sptw IS DISTINCT FROM ps THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY us, event_id) AS ib
+    FROM (SELECT *, lag(amb) OVER o AS pa, lag(sptw) OVER o AS ps FROM (SELECT *, NOT wear AND sptw AS amb FROM m) WINDOW o AS (PARTITION BY recording_id ORDER BY us, event_id))),
+  a AS (SELECT recording_id, ia, min(us) AS s, max(us) AS t FROM e WHERE amb GROUP BY 1, 2), w AS (SELECT recording_id, ib, min(us) AS s, max(us) AS t FROM e WHERE sptw GROUP BY 1, 2),
+  p AS (SELECT recording_id, min(us) AS r0, max(us) AS r1 FROM m GROUP BY 1),
+  h AS (SELECT a.recording_id, a.s, a.t, r0, r1, w.s AS ws, w.t AS wt, w.s < (w.s - {12 * seg.HOUR_US}) // {seg.DAY_US} * {seg.DAY_US} + {32 * seg.HOUR_US} AND w.t > (w.s - {12 * seg.HOUR_US}) // {seg.DAY_US} * {seg.DAY_US} + {22 * seg.HOUR_US} AS o FROM a JOIN w ON w.recording_id = a.recording_id AND w.s <= a.s AND w.t >= a.t JOIN p ON p.recording_id = a.recording_id),
+  g AS (SELECT recording_id, s, t, r0, r1, bool_or(o) AS o_any, bool_and(o) AS o_all, arg_min(ws, (ws, wt)) AS ws, arg_min(wt, (ws, wt)) AS wt, (t - s) / {seg.HOUR_US}.0 AS len, s // {seg.HOUR_US} % 24 AS sh, t // {seg.HOUR_US} % 24 AS eh FROM h GROUP BY recording_id, s, t, r0, r1),
+  n AS (SELECT *, (sh >= 22 OR sh <= 8) AND (eh >= 22 OR eh <= 8) AS night FROM g),
+  q AS (SELECT *, CASE WHEN s < r0 + {4 * seg.HOUR_US} THEN '1' WHEN t > r1 - {4 * seg.HOUR_US} THEN CASE WHEN o_any AND len > 4 THEN '2a' ELSE '2b' END WHEN night AND len < 4 THEN '3a' WHEN NOT night AND (sh < 9 OR eh > 22) THEN '3b'
+    WHEN NOT night AND (NOT o_all OR len > 4) THEN '3c' WHEN NOT night AND o_all AND len < 4 THEN '3d' ELSE 'open' END AS rule FROM n)"""
+
+
+@query(f"""WITH {RULED}, c AS (SELECT recording_id, rule, CASE WHEN rule = '1' THEN r0 WHEN rule = '2b' THEN r1 // {seg.DAY_US} * {seg.DAY_US} + {8 * seg.HOUR_US} WHEN rule IN ('2a', '3c') THEN ws ELSE s END AS a, CASE WHEN rule = '2b' THEN r1 WHEN rule IN ('2a', '3c') THEN wt ELSE t END AS b FROM q WHERE rule <> 'open'),
+  k AS (SELECT m.recording_id, m.us, m.event_id, m.wear, m.sptw, coalesce(bool_or(c.rule <> '3a'), false) AS clear, coalesce(bool_or(c.rule = '3a'), false) AS worn FROM m LEFT JOIN c ON c.recording_id = m.recording_id AND m.us BETWEEN c.a AND c.b GROUP BY ALL)
+  SELECT k.recording_id, count(*) AS n, count(*) FILTER (wear OR worn) AS n_wear, count(*) FILTER (sptw AND NOT clear) AS n_sptw, count(*) FILTER (sptw AND NOT clear AND us % 2 = 0) AS n_bout, (SELECT coalesce(string_agg(rule || ':' || n, ' ' ORDER BY rule), '') FROM (SELECT recording_id, rule, count(*) AS n FROM q GROUP BY 1, 2) x WHERE x.recording_id = k.recording_id) AS rules
+  FROM k GROUP BY k.recording_id""")
 def resolved_masks(spark, sf_dir):
-    """Masks after the ambiguities: sleep is only taken away, wear only given, and what changed lies where a rule says."""
+    """Samples worn, asleep and in bouts after the ambiguities are settled, and how many islands each rule settled."""
     r = recordings(spark, sf_dir).select("recording_id", "us", "event_id", (F.col("z") != 3).alias("wear"), (F.col("y") > 20).alias("sptw"))
-    rules = sig.ambiguity_rules(r, KEY, ORDER)
-    out = sig.resolve_ambiguities(r, KEY, ORDER).select("recording_id", "us", "event_id", F.col("wear").alias("wear2"), F.col("sptw").alias("sptw2"))
-    both = r.join(out, ["recording_id", "us", "event_id"])
-    at = rules.select(*KEY, F.least("start_us", F.when(F.col("rule").isin("2a", "3c"), F.col("first_a")).when(F.col("rule") == "1", F.col("rec_a")).otherwise(F.col("start_us")), F.when(F.col("rule") == "2b", F.floor(F.col("rec_b") / seg.DAY_US) * seg.DAY_US + 8 * seg.HOUR_US)).alias("start_us"), F.greatest("end_us", F.when(F.col("rule").isin("2a", "3c"), F.col("first_b")), F.when(F.col("rule") == "2b", F.col("rec_b"))).alias("end_us"))
-    marked = seg.points_in_intervals(both, at, KEY, "us", "_inside")
-    changed = (F.col("wear") != F.col("wear2")) | (F.col("sptw") != F.col("sptw2"))
-    subset = (~F.col("sptw2") | F.col("sptw")) & (F.col("wear2") | ~F.col("wear"))
-    return marked.groupBy("recording_id").agg(F.count("*").alias("n"), F.bool_and(subset).alias("subset"), F.bool_and(~changed | F.col("_inside")).alias("settled"))
+    out = sig.resolve_ambiguities(r.withColumn("sleep_bout", F.col("sptw") & (F.col("us") % 2 == 0)), KEY, ORDER)
+    counted = out.groupBy("recording_id").agg(F.count("*").alias("n"), F.count_if("wear").alias("n_wear"), F.count_if("sptw").alias("n_sptw"), F.count_if("sleep_bout").alias("n_bout"))
+    each = sig.ambiguity_rules(r, KEY, ORDER).groupBy("recording_id", "rule").agg(F.concat_ws(":", "rule", F.count("*")).alias("said"))
+    said = each.groupBy("recording_id").agg(F.array_join(F.sort_array(F.collect_list("said")), " ").alias("rules"))
+    return counted.join(said, "recording_id", "left").withColumn("rules", F.coalesce("rules", F.lit("")))
+
+
+#: Samples that each event stands for in two_rates().
+EACH = 20
+
+
+def two_rates(spark, sf_dir):
+    """events as two recordings of 50 and 100 Hz with a jitter of up to 0.1 ms: 20 samples for each event, from its value; in
+    every other stretch of 400 events the recorder lies still."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
+    s = e.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(EACH - 1))))
+    rid, k = F.col("event_id") % 2, F.floor(F.col("event_id") / 2) * EACH + F.col("i")
+    still = F.floor(F.col("event_id") / 800) % 2 == 0
+    us = F.lit(BEGIN) + k * F.when(rid == 0, 20_000).otherwise(10_000) + (F.col("event_id") * 7 + F.col("i") * 13) % 101
+    axis = lambda rest, shift: F.when(still, F.lit(rest)).otherwise(rest + (F.col("value") + shift) % 10 / 20 + (F.col("i") * (shift + 1)) % 5 / 10)
+    return s.select(rid.alias("recording_id"), from_micros(us.cast("long")).alias("time"), axis(0.1, 0).alias("x"), axis(0.2, 1).alias("y"), axis(0.95, 2).alias("z"))
+
+
+@query(f"""WITH s AS (SELECT event_id % 2 AS recording_id, event_id // 2 * {EACH} + i AS k, (event_id * 7 + i * 13) % 101 AS j FROM events, (SELECT unnest(range({EACH})) AS i)),
+  t AS (SELECT recording_id, k * CASE WHEN recording_id = 0 THEN 20000 ELSE 10000 END + j AS us FROM s)
+  SELECT recording_id, CASE WHEN recording_id = 0 THEN 50.0::DOUBLE ELSE 100.0::DOUBLE END AS fs, (max(us) - min(us)) // CASE WHEN recording_id = 0 THEN 20000 ELSE 10000 END + 1 AS n, 0::BIGINT AS n_other, true AS unworn_found, true AS gravity_gone FROM t GROUP BY 1""")
+def process_two_rates(spark, sf_dir):
+    """The plan with every step on over recordings of two rates, told from the data: as many samples as their grids have, and
+    none whose masks or values are other than those of each recording processed alone at its rate."""
+    raw = materialise(two_rates(spark, sf_dir), "two_rates")
+    cfg = plan.ProcessConfig(fs=None, lowpass_hz=15.0, highpass_hz=0.8, bin_s=1, nonwear_min=1, smooth_s=60, window_min=1, gap_min=2, bout_min=1)
+    both = plan.process(raw, cfg)
+    alone = None
+    for rid, fs in ((0, 50.0), (1, 100.0)):
+        one = plan.process(raw.filter(F.col("recording_id") == rid), replace(cfg, fs=fs)).withColumn("fs", F.lit(fs))
+        alone = one if alone is None else alone.unionByName(one)
+    joined = both.alias("a").join(alone.alias("b"), ["recording_id", "us"], "full")
+    differs = lambda c: ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    far = lambda c: F.coalesce(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) > 1e-9, F.lit(True))
+    other = differs("wear") | differs("sptw") | differs("sleep_bout") | far("x") | far("y") | far("z")
+    return joined.groupBy("recording_id").agg(F.max("b.fs").alias("fs"), F.count("a.us").alias("n"), F.count_if(other).alias("n_other"), (F.count_if(~F.col("a.wear")) > 0).alias("unworn_found"), (F.abs(F.avg("a.z")) < 0.05).alias("gravity_gone"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from driftloom.functions.storage import scratch_path
 from driftloom.learning import loader
 from driftloom.operators import validate
-from driftloom.sources import recorders, tables, writers
+from driftloom.sources import recorders, splits, tables, writers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,13 +35,36 @@ S = "s AS (SELECT CAST(user_id % 7 AS VARCHAR) AS recording_id, row_number() OVE
 AT = f"make_timestamp(CAST({BEGIN}000000 + "
 
 
-@query(f"WITH {S} SELECT recording_id, {AT}k * 1000000 AS BIGINT)) AS time, x / 256.0::DOUBLE AS x, y / 256.0::DOUBLE AS y, z / 256.0::DOUBLE AS z FROM s WHERE k < n - n % 120")
+#: A file of one block knows one time only: all its samples have it.
+BLOCKS = f"WITH {S} SELECT recording_id, {AT}CASE WHEN n < 240 THEN 119 ELSE k END * 1000000 AS BIGINT)) AS time, x / 256.0::DOUBLE AS x, y / 256.0::DOUBLE AS y, z / 256.0::DOUBLE AS z FROM s WHERE k < n - n % 120"
+
+
+@query(BLOCKS)
 def read_block_files(spark, sf_dir):
     """Samples as block files, 120 a block, and back."""
     g = samples(spark, sf_dir).withColumns({c: F.col(c) / 256 for c in "xyz"})
     return recorders.decode_files(writers.pack_files(g, ".cwa", BEGIN, 1)).select("recording_id", "time", "x", "y", "z")
 
 
+def files_of(spark, sf_dir, kind: str, hz: int, scale: float = 1.0) -> str:
+    """The folder in shared storage with events' recordings as files of a kind."""
+    path = scratch_path(spark, "files")
+    splits.write_files(writers.pack_files(samples(spark, sf_dir).withColumns({c: F.col(c) / scale if scale != 1 else F.col(c) for c in "xyz"}), kind, BEGIN, hz), path)
+    return path
+
+
+@query(BLOCKS)
+def read_block_ranges(spark, sf_dir):
+    """Block files read in ranges of four blocks, by as many tasks: times go over the ranges' edges."""
+    return splits.read_ranges(spark, files_of(spark, sf_dir, ".cwa", 1, 256), rangeBytes=2048).select("recording_id", "time", "x", "y", "z")
+
+
+@query(f"WITH {S}, n AS (SELECT recording_id, max(n) AS n FROM s GROUP BY 1) SELECT recording_id, CAST(ceil((1024 + 512 * (n // 120)) / 4096.0) AS BIGINT) AS ranges, CAST(n // 120 AS BIGINT) AS blocks, CAST(n // 120 * 120 AS BIGINT) AS samples, CASE WHEN n >= 120 THEN CAST({BEGIN}000000 + CASE WHEN n < 240 THEN 119 ELSE 0 END * 1000000 AS BIGINT) END AS first_us, CASE WHEN n >= 120 THEN CAST({BEGIN}000000 + (n // 120 * 120 - 1) * 1000000 AS BIGINT) END AS last_us, CASE WHEN n < 120 THEN 'no valid block' END AS problem FROM n")
+def block_range_summary(spark, sf_dir):
+    """Ranges, blocks, samples and span of each block file, and which files hold none."""
+    return splits.read_summary(spark, files_of(spark, sf_dir, ".cwa", 1, 256), rangeBytes=4096).select("recording_id", "ranges", "blocks", "samples", "first_us", "last_us", "problem")
+
+
 @query(f"WITH {S} SELECT recording_id, '2024-01-01 00:00:00' AS logging_start, 'AX3' AS device_type, 1::BIGINT AS device_id, 100.0::DOUBLE AS rate_hz FROM s GROUP BY 1")
 def block_file_headers(spark, sf_dir):
     g = samples(spark, sf_dir).withColumns({c: F.col(c) / 256 for c in "xyz"})
@@ -56,6 +79,16 @@ def read_page_files(spark, sf_dir):
     return got.select("recording_id", "time", *(F.round(c, 9).alias(c) for c in "xyz"), "light", "button", "temperature")
 
 
+PAGES_AT = f"{AT}k * 500000 AS BIGINT)) AS time, round((x * 100 - 50) / 25600.0::DOUBLE, 9) AS x, round((z * 100 - 50) / 25600.0::DOUBLE, 9) AS z, CAST(k % 3 = 0 AS DOUBLE) AS button, 20.5::DOUBLE AS temperature"
+
+
+@query(f"WITH {S} SELECT recording_id, {PAGES_AT} FROM s")
+def read_page_ranges(spark, sf_dir):
+    """Page files in ranges that cut pages anywhere."""
+    got = splits.read_ranges(spark, files_of(spark, sf_dir, ".bin", 2), rangeBytes=1536)
+    return got.select("recording_id", "time", F.round("x", 9).alias("x"), F.round("z", 9).alias("z"), "button", "temperature")
+
+
 @query(f"WITH {S} SELECT recording_id, 25600.0::DOUBLE AS x_gain, 50.0::DOUBLE AS x_offset, ceil(count(*) / 30.0) AS pages FROM s GROUP BY 1")
 def page_file_headers(spark, sf_dir):
     h = recorders.decode_headers(writers.pack_files(samples(spark, sf_dir), ".bin", BEGIN, 2))
@@ -70,6 +103,12 @@ def read_record_files(spark, sf_dir):
     return got.select("recording_id", "time", "x", "y", "z", "light")
 
 
+@query(f"WITH {S} SELECT recording_id, {AT}k * 250000 AS BIGINT)) AS time, x / 256.0::DOUBLE AS x, y / 256.0::DOUBLE AS y, z / 256.0::DOUBLE AS z, CAST((k // 4) % 900 AS DOUBLE) AS light FROM s WHERE k < n - n % 4")
+def read_record_streams(spark, sf_dir):
+    """Record files as streams of bounded memory."""
+    return splits.read_ranges(spark, files_of(spark, sf_dir, ".gt3x", 4)).select("recording_id", "time", "x", "y", "z", "light")
+
+
 @query(f"WITH {S} SELECT recording_id, 4.0::DOUBLE AS sample_rate, '2024-01-01 00:00:00' AS start_date, 4.1::DOUBLE AS battery_voltage FROM s GROUP BY 1")
 def record_file_headers(spark, sf_dir):
     h = recorders.decode_headers(writers.pack_files(samples(spark, sf_dir), ".gt3x", BEGIN, 4))

@@ -70,6 +70,42 @@ def test_metrics_and_thresholds(spark, scored):
     assert all(b[k]["low"] <= m[k] <= b[k]["high"] for k in curves.METRICS)
 
 
+def test_bootstrap_equals_resampling_rows(spark):
+    """Means, deviations and intervals of 2,000 rounds against rows drawn one by one within each class."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(400) < 0.3).astype(int)
+    score = np.round(np.clip(0.3 + 0.25 * y + 0.2 * rng.normal(size=400), 0, 0.999), 2)  # within buckets of 1 / 1,024 no two differ
+    pred = (score >= 0.45).astype(int)
+    df = spark.createDataFrame([(float(s), int(p), int(t)) for s, p, t in zip(score, pred, y)], "score double, pred int, y int")
+    got = {r["metric"]: r for r in curves.bootstrap(df, 2000, score="score").collect()}
+    one, zero, found = np.flatnonzero(y == 1), np.flatnonzero(y == 0), {k: [] for k in got}
+    for _ in range(1500):
+        k = np.concatenate([rng.choice(one, len(one)), rng.choice(zero, len(zero))])
+        s, p, t = score[k], pred[k], y[k]
+        tp, fp, fn, tn = ((p == a) & (t == b) for a, b in ((1, 1), (1, 0), (0, 1), (0, 0)))
+        tp, fp, fn, tn = tp.sum(), fp.sum(), fn.sum(), tn.sum()
+        order = np.argsort(-s, kind="stable")
+        ends = np.flatnonzero(np.diff(s[order], append=-1))
+        hits, picked = np.cumsum(t[order])[ends], ends + 1
+        values = {
+            "accuracy": (tp + tn) / 400, "balanced_accuracy": (tp / (tp + fn) + tn / (tn + fp)) / 2, "precision": tp / (tp + fp), "recall": tp / (tp + fn), "f1": 2 * tp / (2 * tp + fp + fn),
+            "roc_auc": ((s[t == 1][:, None] > s[t == 0]).mean() + (s[t == 1][:, None] == s[t == 0]).mean() / 2), "average_precision": (np.diff(hits, prepend=0) * hits / picked).sum() / hits[-1],
+        }
+        for m, v in values.items():
+            found[m].append(v)
+    assert got.keys() == found.keys() and len(found) == 7
+    for m, v in found.items():
+        v = np.array(v)
+        assert got[m]["mean"] == pytest.approx(v.mean(), abs=4 * v.std() / np.sqrt(1500)) and got[m]["sd"] == pytest.approx(v.std(), rel=0.1)
+        assert got[m]["low"] == pytest.approx(np.quantile(v, 0.025), abs=0.35 * v.std()) and got[m]["high"] == pytest.approx(np.quantile(v, 0.975), abs=0.35 * v.std())
+
+
+def test_bootstrap_of_one_class_and_of_nothing(spark):
+    got = {r["metric"]: r for r in curves.bootstrap(spark.createDataFrame([(0.5, 1, 1)] * 3, "score double, pred int, y int"), 120, score="score").collect()}
+    assert got["recall"]["mean"] == 1 and got["roc_auc"]["mean"] is None and got["average_precision"]["mean"] == 1
+    assert curves.bootstrap(spark.createDataFrame([], "score double, pred int, y int"), 60, score="score").count() == 0
+
+
 def test_folds_hold_groups_together(spark):
     rnd = random.Random(5)
     df = spark.createDataFrame([(g, int(g % 3 == 0)) for g in range(60) for _ in range(rnd.randrange(1, 9))], "g long, y int")
