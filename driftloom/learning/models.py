@@ -20,6 +20,7 @@ from driftloom.functions.storage import materialise, scratch_path
 from driftloom.operators import neighbours, rollup
 
 from . import curves, prepare
+from .boost import Boosted, BoostParams, fit_boosted
 from .ranks import with_rank
 
 #: Ranges of hyper-parameters: (low, high) of numbers, whole where both are, or a list of choices.
@@ -30,18 +31,21 @@ SPACES: dict[str, dict] = {
     "svm": {"regParam": (0.0001, 1.0)},
     "rbf_svm": {"regParam": (0.0001, 1.0), "gamma": (0.001, 1.0)},
     "knn": {"k": (1, 15)},
+    "boost": {"trees": (10, 60), "depth": (2, 5), "rate": (0.03, 0.3), "l2": (0.1, 10.0), "columns": (0.5, 1.0)},
 }
 #: Random features that stand for the kernel of an rbf_svm.
 WAVES = 128
 _CLASSES = {"gbt": GBTClassifier, "rf": RandomForestClassifier, "lr": LogisticRegression, "svm": LinearSVC}
 
 
-def make(name: str, features: Sequence[str], params: dict | None = None, weight: str | None = None, seed: int = 1) -> "Pipeline | Knn":
-    """An unfitted model. rbf_svm is a linear SVM on random Fourier features (Rahimi and Recht), whose inner products
+def make(name: str, features: Sequence[str], params: dict | None = None, weight: str | None = None, seed: int = 1) -> "Pipeline | Knn | Booster":
+    """An unfitted model. boost is boost.fit_boosted's. rbf_svm is a linear SVM on random Fourier features (Rahimi and Recht), whose inner products
     come near exp(-gamma |x - y|^2); like knn, it wants scaled features."""
     params = dict(params or {})
     if name == "knn":
         return Knn(list(features), **params)
+    if name == "boost":
+        return Booster(list(features), BoostParams(**{"seed": seed, **params}), weight)
     extra = {"weightCol": weight} if weight else {}
     if name in ("gbt", "rf"):
         extra["seed"] = seed
@@ -49,7 +53,7 @@ def make(name: str, features: Sequence[str], params: dict | None = None, weight:
         first = _waves(features, params.pop("gamma", 1.0 / len(features)), seed)
         return Pipeline(stages=[*first, LinearSVC(featuresCol="_x", labelCol="y", **extra, **params)])
     if name not in _CLASSES:
-        raise ValueError(f"unknown model {name}: one of {sorted([*_CLASSES, 'rbf_svm', 'knn'])}")
+        raise ValueError(f"unknown model {name}: one of {sorted([*_CLASSES, 'boost', 'rbf_svm', 'knn'])}")
     clf = _CLASSES[name](featuresCol="_x", labelCol="y", **extra, **params)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep"), clf])
 
@@ -84,9 +88,21 @@ class Knn:
         return held.join(prob, "_query").drop("_query").select(*df.columns, "prob")
 
 
-def score(model: "PipelineModel | Knn", df: DataFrame) -> DataFrame:
+@dataclass
+class Booster:
+    """Second-order boosted trees with a model's surface."""
+
+    features: list[str]
+    params: BoostParams
+    weight: str | None = None
+
+    def fit(self, df: DataFrame) -> Boosted:
+        return fit_boosted(df, self.features, self.params, weight=self.weight)
+
+
+def score(model: "PipelineModel | Knn | Boosted", df: DataFrame) -> DataFrame:
     """df with prob: the model's probability of 1, or a logistic of its margin where it has none."""
-    if isinstance(model, Knn):
+    if isinstance(model, (Knn, Boosted)):
         return model.score(df)
     out = model.transform(df)
     if "probability" in out.columns:

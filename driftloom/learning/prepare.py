@@ -95,6 +95,18 @@ def stratum(y: Column, dataset: Column | None = None) -> Column:
     return y.cast("string") if dataset is None else F.concat_ws("_", dataset.cast("string"), y.cast("string"))
 
 
+def spread_groups(counts: np.ndarray, folds: int) -> np.ndarray:
+    """The fold of each group, from its counts by stratum (groups, strata)."""
+    total, held, place = counts.sum(axis=0), np.zeros((folds, counts.shape[1])), np.zeros(len(counts), int)
+    for i in np.argsort(-counts.std(axis=1), kind="stable"):
+        trial = held[None] + np.eye(folds)[:, :, None] * counts[i]
+        cost = (trial / total).std(axis=1).mean(axis=1)
+        best = min(range(folds), key=lambda k: (round(cost[k], 12), held[k].sum()))
+        held[best] += counts[i]
+        place[i] = best
+    return place
+
+
 def group_folds(df: DataFrame, group: str, stratum_col: str, folds: int) -> DataFrame:
     """group, fold: whole groups in one fold each, with strata spread evenly.
 
@@ -107,16 +119,7 @@ def group_folds(df: DataFrame, group: str, stratum_col: str, folds: int) -> Data
     def assign(batches):
         table = pd.concat(list(batches), ignore_index=True)
         wide = table.pivot_table(index="g", columns="s", values="n", fill_value=0, aggfunc="sum").sort_index()
-        c, total = wide.to_numpy(float), wide.to_numpy(float).sum(axis=0)
-        held = np.zeros((folds, c.shape[1]))
-        place = np.zeros(len(c), int)
-        for i in np.argsort(-c.std(axis=1), kind="stable"):
-            trial = held[None] + np.eye(folds)[:, :, None] * c[i]
-            cost = (trial / total).std(axis=1).mean(axis=1)
-            best = min(range(folds), key=lambda k: (round(cost[k], 12), held[k].sum()))
-            held[best] += c[i]
-            place[i] = best
-        yield pd.DataFrame({"g": wide.index.to_numpy(), "fold": place})
+        yield pd.DataFrame({"g": wide.index.to_numpy(), "fold": spread_groups(wide.to_numpy(float), folds)})
 
     return counts.coalesce(1).mapInPandas(assign, f"g {kind}, fold int").select(F.col("g").alias(group), "fold")
 
