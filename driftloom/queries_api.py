@@ -15,8 +15,8 @@ from driftloom.learning import loader, models, prepare
 from driftloom.operators import diary, rollup
 from driftloom.operators import features as ft
 from driftloom.plans import process as plan
-from driftloom.queries_learning import FEATURES, vectors
-from driftloom.queries_signal import BEGIN, V, planted
+from driftloom.queries_learning import FEATURES, _each, vectors
+from driftloom.queries_signal import BEGIN, HOSTS, V, hosts, planted
 from driftloom.queries_tables import read, rounded
 from driftloom.queries_time import ISLANDS, KEY, REC, flagged, recordings
 from driftloom.streaming import segments as streams
@@ -86,19 +86,20 @@ def stream_islands(spark, sf_dir):
 # --- a folder of recordings, end to end
 
 
-@query("SELECT * FROM (VALUES ('files', 'gone.csv missing, odd.csv extra'), ('first', '2 recordings'), ('resumed', '2 recordings'), ('nights', '6 nights'), ('features', '6 rows, 20 night numbers, named bouts'), ('series', 'series of 2'), ('header', 'none of text'), ('deleted', 'processed gone'), ('awake', '8 days of 2')) AS t(step, result)")
+@query(f"""WITH {HOSTS}, n AS (SELECT count(*) AS n FROM hosts), r AS (SELECT 'files' AS step, 'gone.csv missing, odd.csv extra' AS result UNION ALL SELECT 'first', n || ' recordings' FROM n UNION ALL SELECT 'resumed', n || ' recordings' FROM n UNION ALL SELECT 'nights', 3 * n || ' nights' FROM n
+  UNION ALL SELECT 'features', 3 * n || ' rows, 20 night numbers, named bouts' FROM n UNION ALL SELECT 'series', 'series of ' || n FROM n UNION ALL SELECT 'header', 'none of text' UNION ALL SELECT 'deleted', 'processed gone' UNION ALL SELECT 'awake', 4 * n || ' days of ' || n FROM n) SELECT * FROM r""")
 def process_folder(spark, sf_dir):
-    """Two planted recordings as text files in a folder with metadata: the command line processes them, resumes, writes
+    """The planted recordings as text files in a folder with metadata: the command line processes them, resumes, writes
     night features and series, and cleans up."""
     root = scratch_path(spark, "folder")
-    rows = planted(spark, sf_dir).filter("recording_id < 2").withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
-    rows = materialise(rows, "rows")
-    for k, name in enumerate(("one", "two")):
-        rows.filter(F.col("recording_id") == k).select("time", "x", "y", "z").coalesce(1).write.csv(f"{root}/parts/{name}", header=True)
-        _move_part(spark, f"{root}/parts/{name}", f"{root}/raw/{name}.csv")
+    rows = planted(spark, sf_dir).withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
+    rows.select("recording_id", "time", "x", "y", "z").repartition("recording_id").write.partitionBy("recording_id").csv(f"{root}/parts", header=True)
+    names = sorted(f"r{r['recording_id']}" for r in hosts(spark, sf_dir, 1).select("recording_id").distinct().collect())  # a row for each recording
+    for name in names:
+        _move_part(spark, f"{root}/parts/recording_id={name[1:]}", f"{root}/raw/{name}.csv")
     spark.createDataFrame([("1",)], "a string").coalesce(1).write.csv(f"{root}/parts/odd", header=True)
     _move_part(spark, f"{root}/parts/odd", f"{root}/raw/odd.csv")
-    spark.createDataFrame([("one.csv", "a"), ("two.csv", "b"), ("gone.csv", "c")], "filename string, ID string").coalesce(1).write.csv(f"{root}/meta", header=True)
+    spark.createDataFrame([(f"{n}.csv", n) for n in [*names, "gone"]], "filename string, ID string").coalesce(1).write.csv(f"{root}/meta", header=True)
     cfg = '{"fs": 0.1, "lowpass_hz": null, "highpass_hz": null, "bin_s": 60, "epoch_s": 60, "smooth_s": 600, "still_sd": 0.001, "move_gap_s": 60.0, "least_bouts": 5}'
     settings = config.from_dict(api.ProcessConfig, json.loads(cfg))
     state = api.process_dataset(spark, f"{root}/raw", f"{root}/meta", f"{root}/out", settings, features=False)
@@ -113,7 +114,7 @@ def process_folder(spark, sf_dir):
     night = [c for c in ft.global_feature_names() if c in got.columns]
     out.append(("features", f"{got.count()} rows, {len(night)} night numbers, {'named' if any(c.startswith('mean_mag_') for c in got.columns) else 'no'} bouts"))
     out.append(("series", f"series of {spark.read.csv(f'{root}/out/day_series', header=True).select('recording_id').distinct().count()}"))
-    out.append(("header", "none of text" if api.load(spark, f"{root}/raw/one.csv", header_only=True) == (None, {}) else "some"))
+    out.append(("header", "none of text" if api.load(spark, f"{root}/raw/{names[0]}.csv", header_only=True) == (None, {}) else "some"))
     with contextlib.redirect_stdout(io.StringIO()), tempfile.TemporaryDirectory() as own:  # the driver reads settings
         with open(f"{own}/settings.json", "w") as f:
             f.write(cfg)
@@ -157,7 +158,7 @@ def command_line(spark, sf_dir):
     return spark.createDataFrame(out, "step string, result string")
 
 
-@query(f"SELECT CAST(r_regionkey AS BIGINT) AS recording_id, CAST(k AS BIGINT) AS bin_us, CAST(({BEGIN} + k * 3600000000) // 86400000000 AS BIGINT) AS day, true AS worn FROM region, (SELECT unnest(range(72)) AS k)")
+@query(f"WITH {HOSTS} SELECT recording_id, CAST(k AS BIGINT) AS bin_us, CAST(({BEGIN} + k * 3600000000) // 86400000000 AS BIGINT) AS day, true AS worn FROM hosts, (SELECT unnest(range(72)) AS k)")
 def day_series_bins(spark, sf_dir):
     """What a plot of days shows: a bin an hour of planted recordings (counted from the first)."""
     df = planted(spark, sf_dir).withColumn("us", F.unix_micros(F.col("time").cast("timestamp"))).withColumns({"wear": F.lit(True), "sptw": F.lit(False)})
@@ -225,26 +226,35 @@ def ranking_cache(spark, sf_dir):
     return first.select("feature", F.col("rank").alias("a")).join(again.select("feature", F.col("rank").alias("b")), "feature").select("feature", ((F.col("a") == F.col("b")) & kept).alias("same"))
 
 
-@query("SELECT * FROM (VALUES ('North_Site', 'north', '#111111'), ('north', 'north', '#111111'), ('N S', 'north', '#111111'), ('other', 'other', NULL)) AS t(name, dataset, color)")
+@query("SELECT lower(c_mktsegment) AS dataset, CASE WHEN c_custkey % 4 < 3 THEN '#' || length(c_mktsegment) END AS color, count(*) AS n FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 < 3 THEN c_mktsegment ELSE 'no ' || c_mktsegment END AS c_mktsegment FROM customer) GROUP BY 1, 2")
 def dataset_names(spark, sf_dir):
-    """Datasets by their names and other names, with their colours."""
-    d = config.Datasets({"north": "#111111"}, {"north site": "north", "n-s": "north"})
-    return spark.createDataFrame([(n, *d.resolve(n)) for n in ("North_Site", "north", "N S", "other")], "name string, dataset string, color string")
+    """Customers' segments as datasets, by their own names and others, with their colours; some that nobody knows."""
+    c = read(spark, sf_dir, "customer")
+    known = [r[0] for r in c.select("c_mktsegment").distinct().collect()]  # a handful of segments
+    d = config.Datasets({s.lower(): f"#{len(s)}" for s in known}, {f"{s} site": s.lower() for s in known} | {s: s.lower() for s in known})
+    k, s = F.col("c_custkey") % 4, F.col("c_mktsegment")
+    names = c.select(F.when(k == 0, s).when(k == 1, F.concat(F.lower(s), F.lit("_Site"))).when(k == 2, F.concat(s, F.lit(" - site"))).otherwise(F.concat(F.lit("no "), F.lower(s))).alias("name"))
+    got = _each(_each(names, lambda n: d.resolve(n)[0], "dataset string"), lambda n, _: d.resolve(n)[1], "color string")
+    return got.groupBy("dataset", "color").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('[''2024-01-01 22:00'', ''2024-01-02 06:00'']', 2), ('[1, 2, 3]', 3), ('no list', NULL), ('', NULL)) AS t(text, n)")
+@query("SELECT o_orderkey AS k, CAST(CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN o_custkey % 5 + 1 END AS INTEGER) AS n FROM orders")
 def literal_lists(spark, sf_dir):
-    texts = ["['2024-01-01 22:00', '2024-01-02 06:00']", "[1, 2, 3]", "no list", ""]
-    return spark.createDataFrame([(t, None if (got := config.literal_list(t)) is None else len(got)) for t in texts], "text string, n int")
+    """Lists of times and of numbers as text, and text that is no list: how many things each has."""
+    k, day = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")
+    numbers = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("o_custkey") % 5).cast("int")), lambda i: i.cast("string")), ", ")
+    text = F.when(k == 0, F.format_string("['%s', '%s']", day, day)).when(k == 1, F.concat(F.lit("["), numbers, F.lit("]"))).when(k == 2, F.col("o_orderpriority")).otherwise("")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), text.alias("text"))
+    return _each(rows, lambda _, t: None if (got := config.literal_list(t)) is None else len(got), "n int").select("k", "n")
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS recording_id, CAST(unnest([0, 1, 2]) AS BIGINT) AS night, true AS moves, true AS numbers FROM region")
+@query(f"WITH {HOSTS} SELECT recording_id, CAST(unnest([0, 1, 2]) AS BIGINT) AS night, true AS moves, true AS numbers FROM hosts")
 def bout_features(spark, sf_dir):
     """Movement bouts of planted nights, each with its 92 numbers."""
     k = F.col("k")
-    r = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("recording_id")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3 * 8640 - 1))))
+    r = hosts(spark, sf_dir, 52).filter(k < 3 * 8640)
     hour = k / 360 % 24
-    wave = F.when(k % 360 < 4, F.sin(k % 360 * 2.5 + F.col("recording_id"))).otherwise(0.0)
+    wave = F.when(k % 360 < 4, F.sin(k % 360 * 2.5 + F.col("value"))).otherwise(0.0)
     night = (hour >= 10) & (hour < 18)
     done = r.select("recording_id", (F.lit(BEGIN) + k.cast("long") * 10_000_000).alias("us"), (wave * 0.5).alias("x"), (wave * 0.3 + 0.1).alias("y"), (1 + F.abs(wave) * 0.2).alias("z"), F.lit(True).alias("wear"), night.alias("sptw"), (night & (k % 360 >= 4)).alias("sleep_bout"))
     done = materialise(done.withColumn("time", from_micros(F.col("us"))), "done")

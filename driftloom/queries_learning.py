@@ -59,13 +59,12 @@ def normality_tests(spark, sf_dir):
 
 @query("SELECT kind, normal FROM (SELECT unnest(['even', 'normal', 'skewed']) AS kind, unnest([false, true, false]) AS normal)")
 def shapiro_planted(spark, sf_dir):
-    """Which of three planted samples of 500 each test takes for normal, at one in a thousand."""
-    k = (F.col("k") + 0.5) / 500
-    rows = spark.range(500).withColumnRenamed("id", "k")
+    """Which of three samples planted in the embeddings' rows each test takes for normal, at one in a thousand."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].alias("v"))
     # Sums of twelve even numbers, spread by hashes: near normal.
-    near = sum(F.pmod(F.xxhash64("k", F.lit(i)), F.lit(10007)) / 10007 for i in range(12)) - 6
+    near = sum(F.pmod(F.xxhash64("vec_id", "v", F.lit(i)), F.lit(10007)) / 10007 for i in range(12)) - 6
     out = None
-    for kind, value in (("even", k), ("normal", near), ("skewed", F.exp(3 * k))):
+    for kind, value in (("even", F.col("vec_id").cast("double")), ("normal", near), ("skewed", F.exp(F.col("vec_id") % 500 / 150.0))):
         r = stats.normality_report(rows.select(value.alias("v")), "v")
         one = r.select(F.lit(kind).alias("kind"), ((F.col("shapiro_p") > 0.001) & (F.col("anderson_p") > 0.001)).alias("normal"))
         out = one if out is None else out.unionByName(one)
@@ -144,11 +143,11 @@ def mrmr_order(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('x0', 'confirmed'), ('x1', 'confirmed'), ('x2', 'rejected'), ('x3', 'rejected')) AS t(feature, state)")
 def boruta_planted(spark, sf_dir):
-    """Two features that tell the label, and two of noise."""
-    k = F.col("id")
+    """Two features that tell the label, and two of noise, from the orders' keys and prices."""
+    k = F.col("o_totalprice")
     y = F.pmod(F.xxhash64(k), F.lit(2))
-    noise = lambda n: F.pmod(F.xxhash64(k, F.lit(n)), F.lit(1000)) / 1000
-    df = spark.range(2000).select(y.cast("int").alias("y"), (y + noise(1) * 1.5).alias("x0"), (y - noise(2) * 1.5).alias("x1"), F.round(noise(3)).alias("x2"), F.round(noise(4)).alias("x3"))
+    noise = lambda n: F.pmod(F.xxhash64("o_orderkey", k, F.lit(n)), F.lit(1000)) / 1000
+    df = read(spark, sf_dir, "orders").select(y.cast("int").alias("y"), (y + noise(1) * 1.5).alias("x0"), (y - noise(2) * 1.5).alias("x1"), F.round(noise(3)).alias("x2"), F.round(noise(4)).alias("x3"))
     return models.importance_rank(df, ["x0", "x1", "x2", "x3"]).select("feature", "state")
 
 
@@ -156,10 +155,10 @@ def boruta_planted(spark, sf_dir):
 
 
 def _planted(spark, sf_dir):
-    """2,000 nights of 50 subjects, of label 1 within a disc: no line parts them from the others."""
-    k = F.col("night")
-    u = lambda n: F.pmod(F.xxhash64(k, F.lit(n)), F.lit(2001)) / 1000 - 1
-    df = spark.range(2000).withColumnRenamed("id", "night").select(k.alias("key"), (k % 50).alias("id"), u(1).alias("x0"), u(2).alias("x1"))
+    """The orders as nights of 50 subjects, spread over a square by their keys and prices, of label 1 within a disc: no line
+    parts them from the others."""
+    u = lambda n: F.pmod(F.xxhash64("o_orderkey", "o_totalprice", F.lit(n)), F.lit(2001)) / 1000 - 1
+    df = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 50).alias("id"), u(1).alias("x0"), u(2).alias("x1"))
     return materialise(df.withColumn("y", (F.col("x0") ** 2 + F.col("x1") ** 2 < 0.6).cast("int")), "planted")
 
 
@@ -193,13 +192,18 @@ def searches(spark, sf_dir):
     return spark.createDataFrame(out, "search string, n int, ranked boolean, in_space boolean, found boolean")
 
 
-@query("SELECT how, value FROM (VALUES ('best', 4.0::DOUBLE), ('mean', 2.0::DOUBLE), ('top', 4.0::DOUBLE), ('weighted', 2.4::DOUBLE), ('choice', 1.0::DOUBLE), ('seeds', 5.0::DOUBLE)) AS t(how, value)")
+TRIED = "t AS (SELECT s_suppkey AS k, CAST(s_suppkey * 5 % 7 + 1 AS DOUBLE) AS a, CAST(s_nationkey AS VARCHAR) AS c, (s_suppkey * 37 % 1009 + 1) / 1009.0::DOUBLE AS o FROM supplier), n AS (SELECT count(*) AS n FROM t), r AS (SELECT *, row_number() OVER (ORDER BY o DESC, k) AS place FROM t)"
+
+
+@query(f"""WITH {TRIED} SELECT 'best' AS how, max(a) FILTER (place = 1) AS value FROM r UNION ALL SELECT 'mean', round(avg(a), 6) FROM t UNION ALL SELECT 'top', round(avg(a) FILTER (place <= greatest(1, n // 10)), 6) FROM r, n
+  UNION ALL SELECT 'weighted', round(sum(o * a) / sum(o), 6) FROM t UNION ALL SELECT 'choice', CAST((SELECT c FROM t GROUP BY c ORDER BY count(*) DESC, c LIMIT 1) AS DOUBLE) UNION ALL SELECT 'seeds', CAST(n AS DOUBLE) FROM n""")
 def combined_params(spark, sf_dir):
-    """One set of parameters from several, and different seeds from one."""
-    tried = [{"params": {"a": a, "c": c}, "objective": o} for a, c, o in ((1.0, "x", 0.2), (1.0, "y", 0.2), (4.0, "x", 0.35))]
-    rows = [(how, round(models.combine_params(tried, how)["a"], 6)) for how in ("best", "mean", "top", "weighted")]
-    rows += [("choice", float(models.combine_params(tried, "mean")["c"] == "x")), ("seeds", float(len(set(models.seeds(1, 5)))))]
-    return spark.createDataFrame(rows, "how string, value double")
+    """One set of parameters from the suppliers' many, and as many different seeds from one."""
+    rows = read(spark, sf_dir, "supplier").orderBy("s_suppkey").collect()
+    tried = [{"params": {"a": float(r["s_suppkey"] * 5 % 7 + 1), "c": str(r["s_nationkey"])}, "objective": (r["s_suppkey"] * 37 % 1009 + 1) / 1009} for r in rows]
+    out = [(how, round(models.combine_params(tried, how)["a"], 6)) for how in ("best", "mean", "top", "weighted")]
+    out += [("choice", float(models.combine_params(tried, "mean")["c"])), ("seeds", float(len(set(models.seeds(1, len(rows))))))]
+    return spark.createDataFrame(out, "how string, value double")
 
 
 @query("SELECT unnest(['sigmoid', 'isotonic', 'ensemble']) AS kind, true AS like_rates, true AS in_range, true AS ordered")
@@ -281,28 +285,50 @@ def scores_by_dataset(spark, sf_dir):
     return rounded(evaluate.by_dataset(s, 0.5, "dataset", ["accuracy"]).join(n, "dataset").select("dataset", "n", "accuracy"))
 
 
-@query("SELECT name, value FROM (VALUES ('0.42', 0.42::DOUBLE), ('fixed:0.42', 0.42::DOUBLE), ('fixed_0.42', 0.42::DOUBLE), ('f1', NULL)) AS t(name, value)")
+def _each(df, f, out: str):
+    """f over the values of each row of df, as one column."""
+    import pyarrow as pa
+
+    (name, kind), own = out.split(), df.columns
+
+    def run(batches):
+        for batch in batches:
+            got = [f(*v) for v in zip(*(batch.column(c).to_pylist() for c in own))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(got, {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}[kind])], [*own, name])
+
+    return df.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in df.schema), out]))
+
+
+@query("SELECT name, max(value) AS value, count(*) AS n FROM (SELECT CASE c_custkey % 4 WHEN 0 THEN v WHEN 1 THEN 'fixed:' || v WHEN 2 THEN 'fixed_' || v ELSE 'f' || v END AS name, CASE WHEN c_custkey % 4 < 3 THEN CAST(v AS DOUBLE) END AS value FROM (SELECT c_custkey, '0.' || c_nationkey AS v FROM customer)) GROUP BY 1")
 def threshold_names(spark, sf_dir):
-    return spark.createDataFrame([(n, curves.parse_threshold(n)) for n in ("0.42", "fixed:0.42", "fixed_0.42", "f1")], "name string, value double")
+    """Names of thresholds, written in four ways, and the number that each is."""
+    v, k = F.concat(F.lit("0."), F.col("c_nationkey").cast("string")), F.col("c_custkey") % 4
+    names = read(spark, sf_dir, "customer").select(F.when(k == 0, v).when(k == 1, F.concat(F.lit("fixed:"), v)).when(k == 2, F.concat(F.lit("fixed_"), v)).otherwise(F.concat(F.lit("f"), v)).alias("name"))
+    return _each(names, curves.parse_threshold, "value double").groupBy("name").agg(F.max("value").alias("value"), F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('differences', '{\"b.c\": [2, 3]}'), ('merged', '{\"b\": {\"c\": 3, \"time(s)\": 3.0}, \"a\": 1}'), ('without', '{\"a\": 1}'), ('settings', '0.1')) AS t(what, value)")
+@query("""SELECT s_suppkey AS k, CASE WHEN s_nationkey = s_suppkey % 5 THEN '{}' ELSE '{"b.c": [' || s_nationkey || ', ' || s_suppkey % 5 || ']}' END AS differs, '{"a": ' || s_suppkey || ', "b": {"c": ' || s_suppkey % 5 || ', "time(s)": ' || (s_nationkey + 2) || '}}' AS merged, '{"a": ' || s_suppkey || '}' AS without_b, CAST(s_nationkey + 1 AS DOUBLE) AS fs FROM supplier""")
 def nested_settings(spark, sf_dir):
-    """Nested settings: their differences, merging with times added up, and settings as a dataclass."""
+    """Settings of each supplier: their differences, merging with times added up, leaving out, and as a dataclass."""
     from driftloom.plans.process import ProcessConfig
 
-    a, b = {"a": 1, "b": {"c": 2, "time(s)": 1.0}}, {"a": 1, "b": {"c": 3, "time(s)": 2.0}}
-    gone = config.differences({"a": 1, "b": {"c": 2}}, {"a": 1, "b": {"c": 3}})
-    rows = [("differences", json.dumps({k: list(v) for k, v in gone.items()})), ("merged", json.dumps(dict(sorted(config.with_times(a, b).items(), reverse=True)))), ("without", json.dumps(config.without(a, ["b"]))), ("settings", str(config.from_dict(ProcessConfig, {"fs": 0.1}).fs))]
-    return spark.createDataFrame(rows, "what string, value string")
+    def told(k, n):
+        a, b = {"a": k, "b": {"c": n, "time(s)": n}}, {"a": k, "b": {"c": k % 5, "time(s)": 2}}
+        gone = config.differences(config.without(a, ["time(s)"]), config.without(b, ["time(s)"]))
+        return json.dumps([json.dumps({x: list(v) for x, v in gone.items()}), json.dumps(config.with_times(a, b), sort_keys=True), json.dumps(config.without(a, ["b"])), config.from_dict(ProcessConfig, {"fs": n + 1}).fs])
+
+    got = _each(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n")), told, "said string")
+    said = F.from_json("said", "array<string>")
+    return got.select("k", said[0].alias("differs"), said[1].alias("merged"), said[2].alias("without_b"), said[3].cast("double").alias("fs"))
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS row, true AS low_when_clustered, true AS high_when_even FROM region")
+@query("SELECT CAST(event_id // 50 AS BIGINT) AS row, true AS low_when_clustered, true AS high_when_even FROM events GROUP BY 1 HAVING count(*) = 50")
 def hopkins_planted(spark, sf_dir):
-    """Points in three tight clusters score low, points at even distances high."""
+    """Every fifty events as points: in three tight clusters they score low, at even distances high."""
     from driftloom.operators import features as ft
 
-    r = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("row")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(59))))
-    df = r.select("row", (F.col("k") % 3 * 100 + F.pmod(F.xxhash64("row", "k"), F.lit(100)) / 100).alias("tight"), (F.col("k") * 1.0).alias("even"))
+    r = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 50).cast("long").alias("row"), (F.col("event_id") % 50).alias("k"), "value")
+    whole = r.groupBy("row").agg(F.count("*").alias("n")).filter("n = 50")
+    df = r.join(whole, "row", "left_semi").select("row", (F.col("k") % 3 * 100 + F.col("value") % 1).alias("tight"), (F.col("k") * 1.0).alias("even"))
     got = ft.kernel_features(df, ["row"], ["even"], ["tight", "even"], ["clusters"])
     return got.select("row", (F.col("hopkins_score_tight") < 0.2).alias("low_when_clustered"), (F.col("hopkins_score_even") > 0.6).alias("high_when_even"))

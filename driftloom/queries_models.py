@@ -54,16 +54,16 @@ WIDTH = 6
 
 def nights(spark, sf_dir):
     """embeddings as nights of subjects: y tells the label's parity, features are an embedding's first numbers in steps of
-    an eighth, the first missing in each eleventh row, with the label's parity added to the second."""
+    an eighth, the first missing in each eleventh row, with twice the label's parity added to the second in two of three rows."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     y = (F.col("label") % 2).cast("int")
     step = lambda k: F.floor(F.col("embedding")[k].cast("double") * 8)
-    x = [F.when(F.col("vec_id") % 11 != 0, step(0)), step(1) + F.when(F.col("vec_id") % 3 == 0, y).otherwise(0), *(step(k) for k in range(2, WIDTH))]
+    x = [F.when(F.col("vec_id") % 11 != 0, step(0)), step(1) + F.when(F.col("vec_id") % 3 != 0, 2 * y).otherwise(0), *(step(k) for k in range(2, WIDTH))]
     return e.filter("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").select((F.col("vec_id") % 60).alias("id"), y.alias("y"), *(c.cast("double").alias(f"x{k}") for k, c in enumerate(x)))
 
 
 _STEP = "floor(CAST(embedding[{}] AS DOUBLE) * 8)"
-NIGHTS = f"""d AS (SELECT vec_id, vec_id % 60 AS id, label % 2 AS y, CASE WHEN vec_id % 11 <> 0 THEN {_STEP.format(1)} END AS x0, {_STEP.format(2)} + CASE WHEN vec_id % 3 = 0 THEN label % 2 ELSE 0 END AS x1, {", ".join(f"{_STEP.format(k + 1)} AS x{k}" for k in range(2, WIDTH))} FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL)"""
+NIGHTS = f"""d AS (SELECT vec_id, vec_id % 60 AS id, label % 2 AS y, CASE WHEN vec_id % 11 <> 0 THEN {_STEP.format(1)} END AS x0, {_STEP.format(2)} + CASE WHEN vec_id % 3 <> 0 THEN label % 2 * 2 ELSE 0 END AS x1, {", ".join(f"{_STEP.format(k + 1)} AS x{k}" for k in range(2, WIDTH))} FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL)"""
 
 
 def _finder(rows: str, out: str) -> str:

@@ -110,26 +110,50 @@ def feat_kde_peaks(spark, sf_dir):
     return rounded(got.drop("hopkins_score_mid"), 4)
 
 
-@query("SELECT name, kind FROM (SELECT unnest(['mean_mag', 'samp_en_z', 'zero_crossings_x', 'ellipse_area', 'asd_16_mag']) AS name, 'movement' AS kind UNION ALL SELECT unnest(['iei_mean', 'hopkins_score', 'sleep_eff']), 'night') UNION ALL SELECT '92', 'movement' UNION ALL SELECT '20', 'night'")
+@query(f"WITH {V} SELECT name, kind, count(DISTINCT recording_id) AS n FROM t, (SELECT unnest(['ac_max_mag', 'loc_max_mag', 'ac_min_mag', 'loc_min_mag', 'zero_crossings_mag', 'mean_mag', 'std_mag', 'iei_mean']) AS name, unnest(['movement', 'movement', 'movement', 'movement', 'movement', 'movement', 'movement', 'night']) AS kind) GROUP BY 1, 2")
 def feature_names(spark, sf_dir):
-    """Some names of the catalogue, and how many there are."""
-    local, night = ft.local_feature_names(), ft.global_feature_names()
-    rows = [(n, "movement") for n in ("mean_mag", "samp_en_z", "zero_crossings_x", "ellipse_area", "asd_16_mag") if n in local] + [(n, "night") for n in ("iei_mean", "hopkins_score", "sleep_eff") if n in night]
-    return spark.createDataFrame([*rows, (str(len(set(local))), "movement"), (str(len(set(night))), "night")], "name string, kind string")
+    """Numbers made of each recording whose names are in the catalogue of movements' or nights' features, and of how many
+    recordings."""
+    local, night = set(ft.local_feature_names()), set(ft.global_feature_names())
+    r = recordings(spark, sf_dir).filter("value IS NOT NULL").withColumnRenamed("value", "mag")
+    many = r.groupBy("recording_id").agg(F.count("*").alias("n")).filter("n >= 8")
+    r = r.join(many, "recording_id", "left_semi")
+    made = ft.kernel_features(r, KEY, ["us", "event_id"], ["mag"], ["autocorr"], ft.Setup(fs=16.0)).join(r.groupBy(*KEY).agg(F.avg("mag").alias("mean_mag"), F.stddev_samp("mag").alias("std_mag")), KEY)
+    bouts = r.select(*KEY, F.lit(0).alias("night"), F.col("us").alias("start_us"), (F.col("us") + 1).alias("end_us"))
+    made = made.join(ft.intervals_between(bouts, [*KEY, "night"]).select(*KEY, "iei_mean"), KEY)
+    names = [c for c in made.columns if c in local | night]
+    long = made.unpivot("recording_id", names, "name", "v")
+    return long.groupBy("name", F.when(F.col("name").isin(*sorted(night)), "night").otherwise("movement").alias("kind")).agg(F.count("*").alias("n"))
 
 
 # --- filters and calibration
 
 
+#: Events that make one planted recording.
+HOST = 500
+#: The planted recordings: every whole stretch of HOST events.
+HOSTS = f"hosts AS (SELECT CAST(event_id // {HOST} AS BIGINT) AS recording_id FROM events GROUP BY 1 HAVING count(*) = {HOST})"
+
+
+def hosts(spark, sf_dir, each: int):
+    """recording_id, k and value: each samples for every event of a whole stretch of HOST, numbered by k in its recording."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value", F.floor(F.col("event_id") / HOST).cast("long").alias("recording_id"))
+    whole = e.groupBy("recording_id").agg(F.count("*").alias("n")).filter(F.col("n") == HOST)
+    k = F.col("event_id") % HOST * each + F.col("i")
+    return e.join(whole, "recording_id", "left_semi").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).select("recording_id", k.cast("int").alias("k"), "value")
+
+
 def _waves(spark, sf_dir):
-    """A recording for each region: 60 s at 100 Hz of 1 + a slow and a fast sine, the slow at 1 + its key / 10 Hz."""
+    """Recordings of 60 s at 100 Hz of a slow and a fast sine, the slow at 1 + the last digit of its key / 10 Hz, both as
+    large as its first event's value tells."""
     t = F.col("k") / 100
-    sine = lambda hz: F.sin(2 * math.pi * hz * t)
-    r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("recording_id"), (1 + F.col("r_regionkey") / 10).alias("hz"))
-    return r.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5999)))).select("recording_id", (F.col("k") * 10_000).cast("long").alias("us"), t.alias("t"), (sine(F.col("hz"))).alias("slow"), sine(F.lit(16.0)).alias("fast"))
+    sine = lambda hz: F.col("size") * F.sin(2 * math.pi * hz * t)
+    r = hosts(spark, sf_dir, 6000 // HOST)
+    size = r.filter("k = 0").select("recording_id", (0.5 + F.col("value") % 1 / 2).alias("size"))
+    return r.join(size, "recording_id").withColumn("hz", 1 + F.col("recording_id") % 10 / 10).select("recording_id", (F.col("k") * 10_000).cast("long").alias("us"), t.alias("t"), (sine(F.col("hz"))).alias("slow"), sine(F.lit(16.0)).alias("fast"))
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS recording_id, kind, kept FROM region, (SELECT unnest(['low', 'high', 'band']) AS kind, unnest(['slow', 'fast', 'slow']) AS kept)")
+@query(f"WITH {HOSTS} SELECT recording_id, kind, kept FROM hosts, (SELECT unnest(['low', 'high', 'band']) AS kind, unnest(['slow', 'fast', 'slow']) AS kept)")
 def butterworth_parts(spark, sf_dir):
     """Which of two sines each filter keeps whole: away from the ends the filtered sum differs from it by under 1 %."""
     w = _waves(spark, sf_dir).withColumn("x", F.col("slow") + F.col("fast"))
@@ -142,18 +166,15 @@ def butterworth_parts(spark, sf_dir):
     return out
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS recording_id, round(-0.02 + r_regionkey / 100.0, 3) AS offset_x, round(0.01 - r_regionkey / 200.0, 3) AS offset_y, 0.03::DOUBLE AS offset_z, round(1 / (1.02 + r_regionkey / 100.0::DOUBLE), 3) AS gain_x, true AS used FROM region")
+@query(f"WITH {HOSTS} SELECT recording_id, round(-0.02 + recording_id % 5 / 100.0, 3) AS offset_x, round(0.01 - recording_id % 5 / 200.0, 3) AS offset_y, 0.03::DOUBLE AS offset_z, round(1 / (1.02 + recording_id % 5 / 100.0::DOUBLE), 3) AS gain_x, true AS used FROM hosts")
 def calibrate_sphere(spark, sf_dir):
-    """Offsets and gains planted in points at rest, found again: 400 rests of 10 s in many directions a recording."""
-    k = F.col("k")
-    u, a = (k + 0.5) / 400 * 2 - 1, k * (math.pi * (3 - math.sqrt(5)))
-    side = F.sqrt(1 - u * u)
-    r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("recording_id")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(399))))
-    key = F.col("recording_id")
+    """Offsets and gains planted in points at rest, found again: a rest of 10 s in another direction for every event."""
+    n = F.floor(F.col("k") / 10)
+    u, a = (n + 0.5) / HOST * 2 - 1, n * (math.pi * (3 - math.sqrt(5)))
+    side, key = F.sqrt(1 - u * u), F.col("recording_id") % 5
     # value = (true - offset) / gain, so that offset + gain * value is true.
-    rest = r.select("recording_id", "k", ((side * F.cos(a) - (-0.02 + key / 100)) * (1.02 + key / 100)).alias("x"), (side * F.sin(a) - (0.01 - key / 200)).alias("y"), (u - 0.03).alias("z"))
-    df = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("us", (F.col("k") * 10 + F.col("i")).cast("long") * 1_000_000)
-    fit = sig.fit_calibration(df, ["recording_id"])
+    rest = hosts(spark, sf_dir, 10).select("recording_id", (F.col("k").cast("long") * 1_000_000).alias("us"), ((side * F.cos(a) - (-0.02 + key / 100)) * (1.02 + key / 100)).alias("x"), (side * F.sin(a) - (0.01 - key / 200)).alias("y"), (u - 0.03).alias("z"))
+    fit = sig.fit_calibration(rest, ["recording_id"])
     return fit.select("recording_id", *(F.round(F.col("offset")[n], 3).alias(f"offset_{c}") for n, c in enumerate("xyz")), F.round(F.col("gain")[0], 3).alias("gain_x"), "used")
 
 
@@ -163,12 +184,11 @@ FS, BEGIN = 0.1, 1_704_110_400_000_000
 
 
 def planted(spark, sf_dir):
-    """A recording for each region: three days of a sample every 10 s from 2024-01-01 12:00. Awake, the arm turns and shakes;
-    from 22:00 to 06:00 it lies still but for a shake at each half hour; on the second day from 14:00 to 15:30 the recorder
-    lies unworn."""
-    r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("recording_id"))
-    df = r.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3 * 8640 - 1))))
-    hour, noise = (12 + F.col("k") / 360) % 24, lambda n: (F.pmod(F.xxhash64("recording_id", "k", F.lit(n)), F.lit(2001)) / 1000 - 1)
+    """Recordings of three days of a sample every 10 s from 2024-01-01 12:00, shaken as the events' values tell. Awake, the
+    arm turns and shakes; from 22:00 to 06:00 it lies still but for a shake at each half hour; on the second day from 14:00
+    to 15:30 the recorder lies unworn."""
+    df = hosts(spark, sf_dir, 52).filter(F.col("k") < 3 * 8640)
+    hour, noise = (12 + F.col("k") / 360) % 24, lambda n: (F.pmod(F.xxhash64("value", "k", F.lit(n)), F.lit(2001)) / 1000 - 1)
     night, off = (hour >= 22) | (hour < 6), (F.col("k") >= 8640 + 2 * 360) & (F.col("k") < 8640 + 3 * 360 + 180)
     stir = night & (F.col("k") % 180 < 2)
     axis = lambda n, rest: F.when(off, F.lit(rest)).when(stir, rest + 0.6 * noise(n)).when(night, rest + 0.02 * noise(n)).otherwise(rest + 0.8 * noise(n))
@@ -180,7 +200,7 @@ def processed(spark, sf_dir):
     return plan.process(planted(spark, sf_dir), cfg), cfg
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS recording_id, CAST(3 * 8640 AS BIGINT) AS n, true AS worn_at_night, true AS unworn_found, true AS nights_found, true AS days_free, true AS bouts_inside FROM region")
+@query(f"WITH {HOSTS} SELECT recording_id, CAST(3 * 8640 AS BIGINT) AS n, true AS worn_at_night, true AS unworn_found, true AS nights_found, true AS days_free, true AS bouts_inside FROM hosts")
 def process_planted(spark, sf_dir):
     """The processing plan finds what was planted: non-wear to a few minutes, sleep at night only, bouts inside windows."""
     done, _ = processed(spark, sf_dir)
@@ -195,7 +215,7 @@ def process_planted(spark, sf_dir):
     )
 
 
-@query("SELECT CAST(r_regionkey AS BIGINT) AS recording_id, CAST(unnest([0, 1, 2]) AS INTEGER) AS night, true AS at_night, true AS many_bouts FROM region")
+@query(f"WITH {HOSTS} SELECT recording_id, CAST(unnest([0, 1, 2]) AS INTEGER) AS night, true AS at_night, true AS many_bouts FROM hosts")
 def planted_nights(spark, sf_dir):
     """The three nights, and their features."""
     done, cfg = processed(spark, sf_dir)
