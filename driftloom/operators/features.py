@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+from .order import exact_quantiles
 from .timeaxis import ordered
 
 HOUR_US = 3_600_000_000
@@ -30,6 +31,13 @@ def quantiles(value: str, name: str | None = None) -> list[Column]:
     return [*(q[k].alias(f"{c}_{n}") for k, c in enumerate(("min", "q25", "med", "q75", "max"))), (q[3] - q[1]).alias(f"iqr_{n}")]
 
 
+def quantiles_of_many(df: DataFrame, keys: Sequence[str], value: str, name: str | None = None) -> DataFrame:
+    """quantiles() of each key, for groups of any size."""
+    n = name or value
+    q = exact_quantiles(df, keys, value, (0.0, 0.25, 0.5, 0.75, 1.0))
+    return q.select(*keys, *(F.col("q")[k].alias(f"{c}_{n}") for k, c in enumerate(("min", "q25", "med", "q75", "max"))), (F.col("q")[3] - F.col("q")[1]).alias(f"iqr_{n}"))
+
+
 def energy(value: str, axes: Sequence[str]) -> list[Column]:
     """Signal magnitude area and root mean square of the value, mean power of the axes."""
     power = sum((F.col(a) * F.col(a) for a in axes[1:]), F.col(axes[0]) * F.col(axes[0]))
@@ -163,22 +171,109 @@ def welch(x: np.ndarray, fs: float, average: str = "median") -> tuple[np.ndarray
     return np.fft.rfftfreq(size, 1 / fs), power
 
 
+#: Points of a leaf of the tree that counts near pairs, and comparisons made at once.
+LEAF, AT_ONCE = 32, 1 << 22
+
+
+def near_pairs(points: np.ndarray, r: float) -> int:
+    """How many pairs of points (n, dimensions) differ by at most r in every coordinate.
+
+    A tree of boxes, each halved at the middle of its widest side: two boxes that lie within r of each other whole count
+    at once, two farther apart not at all, and only what is left is compared point by point. Exact up to the sign of
+    differences, which is that of a direct comparison."""
+    n, width = points.shape
+    order = np.arange(n)
+    starts, ends, kids = [0], [n], [-1]
+    k = 0
+    while k < len(starts):
+        a, b = starts[k], ends[k]
+        if b - a > LEAF:
+            own = points[order[a:b]]
+            side = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
+            half = (b - a) // 2
+            order[a:b] = order[a:b][np.argpartition(own[:, side], half)]
+            kids[k] = len(starts)
+            starts += [a, a + half]
+            ends += [a + half, b]
+            kids += [-1, -1]
+        k += 1
+    sorted_ = points[order]
+    starts_, ends_, kids_ = np.array(starts), np.array(ends), np.array(kids)
+    low, high = np.empty((len(starts), width)), np.empty((len(starts), width))
+    for k in range(len(starts) - 1, -1, -1):
+        c = kids[k]
+        low[k] = sorted_[starts[k] : ends[k]].min(axis=0) if c < 0 else np.minimum(low[c], low[c + 1])
+        high[k] = sorted_[starts[k] : ends[k]].max(axis=0) if c < 0 else np.maximum(high[c], high[c + 1])
+    padded = np.vstack([sorted_, np.full((LEAF, width), np.inf)])
+    lanes = np.arange(LEAF)
+    total, todo = 0, [np.zeros((1, 2), np.int64)]
+    while todo:
+        pair = todo.pop()
+        if len(pair) > 1 << 16:
+            todo += [pair[1 << 16 :]]
+            pair = pair[: 1 << 16]
+        p, q = pair.T
+        size = (ends_ - starts_)
+        same = p == q
+        apart = np.maximum(low[p] - high[q], low[q] - high[p]).max(axis=1) > r
+        whole = ~apart & (np.maximum(high[p] - low[q], high[q] - low[p]).max(axis=1) <= r)
+        total += int(np.where(same, size[p] * (size[p] - 1) // 2, size[p] * size[q])[whole].sum())
+        left = ~apart & ~whole
+        p, q, same = p[left], q[left], same[left]
+        leaves = (kids_[p] < 0) & (kids_[q] < 0)
+        for at in range(0, int(leaves.sum()), AT_ONCE // (LEAF * LEAF)):
+            x, y, s = (v[leaves][at : at + AT_ONCE // (LEAF * LEAF)] for v in (p, q, same))
+            i, j = starts_[x][:, None] + lanes, starts_[y][:, None] + lanes
+            i, j = np.where(i < ends_[x][:, None], i, n), np.where(j < ends_[y][:, None], j, n)
+            near = (i < n)[:, :, None] & (j < n)[:, None, :] & (~s[:, None, None] | (lanes[:, None] < lanes[None]))
+            with np.errstate(invalid="ignore"):
+                for d in range(width):
+                    near &= np.abs(padded[i, d][:, :, None] - padded[j, d][:, None, :]) <= r
+            total += int(near.sum())
+        p, q, same = p[~leaves], q[~leaves], same[~leaves]
+        if not len(p):
+            continue
+        one = same  # of a box with itself: its halves with themselves and with each other
+        c = kids_[p[one]]
+        halves = [np.stack([c, c], 1), np.stack([c + 1, c + 1], 1), np.stack([c, c + 1], 1)]
+        p, q = p[~one], q[~one]
+        first = (kids_[q] < 0) | ((kids_[p] >= 0) & (size[p] >= size[q]))
+        for big, other in ((p[first], q[first]), (q[~first], p[~first])):
+            halves += [np.stack([kids_[big], other], 1), np.stack([kids_[big] + 1, other], 1)]
+        todo.append(np.concatenate(halves))
+    return total
+
+
 def sample_entropy(x: np.ndarray, m: int = 3, tolerance: float = 0.2) -> float:
     """-ln of the share of pairs of m-long stretches within tolerance deviations that stay so one sample longer."""
     r = tolerance * x.std(ddof=1) if len(x) > 1 else 0.0
     n = len(x) - m
-    if n < 2 or r == 0:
+    if n < 2 or r == 0 or np.isnan(r):
         return float("nan")
-    a = b = 0
-    runs = np.lib.stride_tricks.sliding_window_view(x, m + 1)
-    for k in range(n - 1):
-        d = np.abs(runs[k + 1 :] - runs[k])
-        near = d[:, :m].max(axis=1) <= r
-        b += int(near.sum())
-        a += int((near & (d[:, m] <= r)).sum())
+    stretches = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, m + 1))
+    b = near_pairs(stretches[:, :m], r)
+    a = near_pairs(stretches, r) if b else 0
     return float(-np.log(a / b)) if a and b else float("nan")
 
 
+def cubic_at(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cubic spline through the points whose third derivative is continuous at the second and the last but one (not a
+    knot), at other places; NaN outside the points, and everywhere if there are fewer than four."""
+    n = len(x)
+    if n < 4:
+        return np.full(len(at), np.nan)
+    h, slope = np.diff(x), np.diff(y) / np.diff(x)
+    a, b = np.zeros((n, n)), np.zeros(n)  # for the second derivatives
+    k = np.arange(1, n - 1)
+    a[k, k - 1], a[k, k], a[k, k + 1], b[k] = h[:-1], 2 * (h[:-1] + h[1:]), h[1:], 6 * np.diff(slope)
+    a[0, :3], a[-1, -3:] = [h[1], -(h[0] + h[1]), h[0]], [h[-1], -(h[-2] + h[-1]), h[-2]]
+    m = np.linalg.solve(a, b)
+    i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+    u, v = at - x[i], x[i + 1] - at
+    out = (m[i] * v**3 + m[i + 1] * u**3) / (6 * h[i]) + (y[i] / h[i] - m[i] * h[i] / 6) * v + (y[i + 1] / h[i] - m[i + 1] * h[i] / 6) * u
+    return np.where((at >= x[0]) & (at <= x[-1]), out, np.nan)
+
+
 def hurst_rs(x: np.ndarray) -> float:
     """Slope of log rescaled range against log length over even partitions, less the range expected of noise (Anis and
     Lloyd), plus one half."""
@@ -240,7 +335,11 @@ class Setup:
 def spectral(x: np.ndarray, s: Setup) -> dict[str, float]:
     f, p = welch(x, s.fs)
     asd = np.sqrt(p)
-    out = {f"asd_{b}": float(np.interp(b, f, asd)) if len(f) > 1 and b <= f[-1] else float("nan") for b in s.bands}
+    on = {float(v): k for k, v in enumerate(f)}
+    if all(float(b) in on for b in s.bands):
+        out = {f"asd_{b}": float(asd[on[float(b)]]) for b in s.bands}
+    else:  # a bout of under a second has its frequencies elsewhere
+        out = {f"asd_{b}": float(v) for b, v in zip(s.bands, cubic_at(f, asd, np.array(s.bands, float)))}
     peaks, _ = find_peaks(asd)
     best = peaks[np.argsort(-asd[peaks], kind="stable")][:3]
     for k in range(3):

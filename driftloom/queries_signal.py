@@ -4,6 +4,7 @@ with what was planted in its input."""
 import math
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.numeric import from_micros
@@ -11,6 +12,7 @@ from driftloom.functions.storage import materialise
 from driftloom.operators import features as ft
 from driftloom.operators import segments as seg
 from driftloom.operators import signal as sig
+from driftloom.operators.order import exact_quantiles
 from driftloom.plans import process as plan
 from driftloom.queries_tables import rounded
 from driftloom.queries_time import ISLANDS, KEY, ORDER, REC, active, recordings
@@ -77,6 +79,41 @@ def feat_spectral(spark, sf_dir):
     return _kernels(spark, sf_dir, "spectral", fs=8.0, bands=(1, 2, 4))
 
 
+#: Samples of a bout of under a second at 8 Hz: frequencies at multiples of 8 / 7, four of them, through which one cubic goes.
+SHORT = 7
+_ANGLE = f"2 * pi() * k * j / {SHORT}"
+
+
+@query(f"""WITH {V}, g AS (SELECT recording_id, k // {SHORT} AS part, k % {SHORT} AS j, v FROM t WHERE k < n - n % {SHORT}), w AS (SELECT *, (v - avg(v) OVER (PARTITION BY recording_id, part)) * (0.5 - 0.5 * cos(2 * pi() * j / {SHORT})) AS x FROM g),
+  f AS (SELECT recording_id, part, k, sqrt((sum(x * cos({_ANGLE})) ** 2 + sum(x * sin({_ANGLE})) ** 2) / (8 * (SELECT sum((0.5 - 0.5 * cos(2 * pi() * i / {SHORT})) ** 2) FROM (SELECT unnest(range({SHORT})) AS i))) * (CASE WHEN k = 0 THEN 1 ELSE 2 END)) AS a FROM w, (SELECT unnest(range(4)) AS k) GROUP BY 1, 2, 3),
+  c AS (SELECT recording_id, part, b, sum(a * (CASE k WHEN 0 THEN (z - 1) * (z - 2) * (z - 3) / -6 WHEN 1 THEN z * (z - 2) * (z - 3) / 2 WHEN 2 THEN z * (z - 1) * (z - 3) / -2 ELSE z * (z - 1) * (z - 2) / 6 END)) AS v FROM f, (SELECT b, b * {SHORT} / 8.0::DOUBLE AS z FROM (SELECT unnest([1, 2, 3]) AS b)) GROUP BY 1, 2, 3)
+  SELECT recording_id, CAST(part AS BIGINT) AS part, {", ".join(f"round(max(v) FILTER (b = {b}), 6) + 0.0 AS asd_{b}_value" for b in (1, 2, 3))} FROM c GROUP BY 1, 2""")
+def feat_spectral_short(spark, sf_dir):
+    """Spectra of bouts under a second, told at frequencies between those that they have."""
+    r = recordings(spark, sf_dir).filter("value IS NOT NULL")
+    w = Window.partitionBy("recording_id").orderBy("us", "event_id")
+    r = r.withColumn("k", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("recording_id"))).filter(f"n >= 8 AND k < n - n % {SHORT}")
+    parts = r.withColumn("part", F.floor(F.col("k") / SHORT).cast("long"))
+    got = ft.kernel_features(parts, [*KEY, "part"], ["k"], ["value"], ["spectral"], ft.Setup(fs=8.0, bands=(1, 2, 3)), least=SHORT)
+    return got.select(*KEY, "part", *((F.round(f"asd_{b}_value", 6) + 0.0).alias(f"asd_{b}_value") for b in (1, 2, 3)))
+
+
+@query(f"""WITH {REC} SELECT recording_id, count(value) AS n, {", ".join(f"round(quantile_cont(value, {q}), 6) AS {c}_value" for c, q in (("min", 0), ("q25", 0.25), ("med", 0.5), ("q75", 0.75), ("max", 1)))}, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr_value FROM r WHERE value IS NOT NULL GROUP BY 1""")
+def feat_quantiles_of_many(spark, sf_dir):
+    """Quantiles of each recording from its buckets of values, for recordings of any length."""
+    r = recordings(spark, sf_dir)
+    n = r.groupBy("recording_id").agg(F.count("value").alias("n"))
+    return rounded(ft.quantiles_of_many(r, KEY, "value").join(n, "recording_id"))
+
+
+@query(f"SELECT count(*) AS n, {', '.join(f'round(quantile_cont(value, {q}), 6) AS q{k}' for k, q in enumerate((0.001, 0.1, 0.5, 0.9, 0.999)))} FROM events WHERE value IS NOT NULL")
+def quantiles_of_all(spark, sf_dir):
+    """Quantiles of all events as one group."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    got = exact_quantiles(e, [], "value", (0.001, 0.1, 0.5, 0.9, 0.999), 64)
+    return got.select("n", *(F.round(F.col("q")[k], 6).alias(f"q{k}") for k in range(5)))
+
+
 @query(f"WITH {WELCH} SELECT recording_id, CAST(k AS DOUBLE) AS hz, round(mean, 6) AS power FROM a")
 def feat_welch_mean(spark, sf_dir):
     """The power density of each recording, averaged by the mean: a registered family of its own."""
