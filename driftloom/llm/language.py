@@ -29,10 +29,10 @@ class LanguageParams:
 
 
 def _letter_table() -> np.ndarray:
-    """Whether each code point below 0x20000 is a letter or a mark inside words; above, all are taken for letters."""
+    """For each code point 2 if it is a letter, 1 if it is a mark (which belongs to words, but makes none), else 0."""
     import unicodedata
 
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x20000)])
+    return np.array([2 * (kind == "L") + (kind == "M") for kind in (unicodedata.category(chr(c))[0] for c in range(0x110000))], np.uint8)
 
 
 class Grams:
@@ -44,8 +44,9 @@ class Grams:
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams' slots, ascending, and how often each occurs; none if the text has no letter."""
         codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = self.letters[np.minimum(codes, 0x1FFFF)] | (codes > 0x1FFFF)
-        if not letter.any():
+        kind = self.letters[codes]
+        letter = kind > 0
+        if not (kind == 2).any():
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         line = np.where(letter, codes, 32)
         line = np.concatenate([[32], line, [32]])

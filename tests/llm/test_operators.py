@@ -345,6 +345,16 @@ def test_language_held_out(spark):
     assert kept >= {d for d, _, _ in rows[:400]} - {d for (d, _, _), ok in zip(rows, right) if not ok} and not kept & {500, 501, 502}
 
 
+def test_marks_and_private_characters_are_no_letters(spark):
+    """A text of marks, private-use or unassigned characters only is undetermined; letters beyond the basic plane aren't."""
+    rnd = random.Random(2)
+    rows = [(i, sentences(lang, rnd), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    model = language.train_language(language.train_rows(frame(spark, rows, SCHEMA + ", lang string")), language.LanguageParams(per_label=50))
+    texts = ["\u0301", "\u0301 \u20dd", "\U000f0000", "\U0010fffd 12", "\u0378", "\U00020000", "e\u0301", "\u0915\u093f"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify_language(frame(spark, list(enumerate(texts))), model).collect()}
+    assert [got[i] == "und" for i in range(8)] == [True] * 5 + [False] * 3
+
+
 def test_ftrl_against_a_plain_loop():
     """The fit against the update written a coordinate at a time."""
     rnd = random.Random(11)
