@@ -46,6 +46,16 @@ def nearest_vectors(spark, sf_dir):
     return rounded(neighbours.nearest_vectors(v.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query"), v, list("abc"), "query", "vec_id", 3))
 
 
+@query("""WITH p AS (SELECT q.vec_id AS query, r.vec_id AS vec_id, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS d FROM embeddings q, embeddings r WHERE q.vec_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS place FROM p)
+  SELECT query, vec_id, round(d, 6) AS distance, place::INTEGER AS place, true AS pruned FROM k WHERE place <= 5""")
+def pruned_neighbours(spark, sf_dir):
+    """The five nearest vectors by all numbers of an embedding; no query meets more cells than there are."""
+    names = [f"x{k}" for k in range(64)]
+    v = read(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(names)))
+    got = neighbours.pruned_neighbours(v.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query"), v, names, "query", "vec_id", 5)
+    return rounded(got.select("query", "vec_id", "distance", "place", (F.col("visited") <= F.col("cells")).alias("pruned")))
+
+
 @query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def look_up_one(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))

@@ -100,6 +100,29 @@ def test_bootstrap_equals_resampling_rows(spark):
         assert got[m]["low"] == pytest.approx(np.quantile(v, 0.025), abs=0.35 * v.std()) and got[m]["high"] == pytest.approx(np.quantile(v, 0.975), abs=0.35 * v.std())
 
 
+def test_pruned_neighbours_equal_the_block_search(spark, monkeypatch):
+    """On clusters a query meets few cells; on any rows, with repeats and ties, it finds what the search of all finds."""
+    from driftloom.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "PER_PIVOT", 20)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 8)) * 20
+    x = np.concatenate([centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 8)), np.repeat(centres[:2], 30, axis=0), rng.integers(0, 2, (60, 8))])
+    names = [f"x{k}" for k in range(8)]
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "id long, " + ", ".join(f"{c} double" for c in names))
+    q = df.filter("id % 7 = 0").withColumnRenamed("id", "q")
+    for others in (False, True):
+        ref = df if not others else df.withColumnRenamed("id", "q2")
+        want = neighbours.nearest_vectors(q, ref, names, "q", "q2" if others else "id", 4, others=others)
+        got = neighbours.pruned_neighbours(q, ref, names, "q", "q2" if others else "id", 4, others)
+        cols = ["q", "q2" if others else "id", "place"]
+        assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
+        visited = got.select("q", "visited", "cells").distinct().agg(F.avg("visited").alias("v"), F.max("cells").alias("c")).first()
+        assert visited["v"] < visited["c"] / 3
+    few = neighbours.pruned_neighbours(q.limit(2), df.limit(2), names, "q", "id", 4)
+    assert few.count() == 4 and neighbours.pruned_neighbours(q, df.limit(0), names, "q", "id", 4).count() == 0 and neighbours.pruned_neighbours(q.limit(0), df, names, "q", "id").count() == 0
+
+
 def test_bootstrap_of_one_class_and_of_nothing(spark):
     got = {r["metric"]: r for r in curves.bootstrap(spark.createDataFrame([(0.5, 1, 1)] * 3, "score double, pred int, y int"), 120, score="score").collect()}
     assert got["recall"]["mean"] == 1 and got["roc_auc"]["mean"] is None and got["average_precision"]["mean"] == 1
