@@ -253,12 +253,13 @@ class Calibrator:
             return df.withColumn(col, 1 / (1 + F.exp(-(self.a * F.ln(p / (1 - p)) + self.b))))
         if not self.at:
             return df
-        out = F.lit(self.value[0])
-        for k in range(1, len(self.at)):
-            span = self.at[k] - self.at[k - 1]
-            line = self.value[k - 1] + (F.col(col) - self.at[k - 1]) * ((self.value[k] - self.value[k - 1]) / span if span else 0.0)
-            out = F.when(F.col(col) >= self.at[k - 1], F.when(F.col(col) >= self.at[k], F.lit(self.value[k])).otherwise(line)).otherwise(out)
-        return df.withColumn(col, out)
+        # The last step at or under the score is found in a list, so that the expression is as large for any number of steps.
+        at, value, x = F.lit(self.at), F.lit(self.value), F.col(col)
+        k = F.size(F.filter(at, lambda a: a <= x))
+        get = lambda v, i: F.element_at(v, F.least(F.greatest(i, F.lit(1)), F.lit(len(self.at))))
+        span = get(at, k + 1) - get(at, k)
+        line = get(value, k) + F.when(span > 0, (x - get(at, k)) * (get(value, k + 1) - get(value, k)) / span).otherwise(0.0)
+        return df.withColumn(col, F.when(x.isNull(), F.lit(None).cast("double")).when(k == 0, F.lit(self.value[0])).when(k == len(self.at), F.lit(self.value[-1])).otherwise(line))
 
 
 def fit_calibrator(scored: DataFrame, kind: str = "sigmoid", col: str = "prob") -> Calibrator:

@@ -123,6 +123,19 @@ def test_pruned_neighbours_equal_the_block_search(spark, monkeypatch):
     assert few.count() == 4 and neighbours.pruned_neighbours(q, df.limit(0), names, "q", "id", 4).count() == 0 and neighbours.pruned_neighbours(q.limit(0), df, names, "q", "id").count() == 0
 
 
+def test_isotonic_steps_of_any_number_are_one_expression(spark):
+    rng = np.random.default_rng(2)
+    at = np.sort(rng.random(3000))
+    value = np.sort(rng.random(3000))
+    x = np.concatenate([rng.random(400), at[:50], [-1.0, 2.0]])
+    cal = models.Calibrator("isotonic", at=at.tolist(), value=value.tolist())
+    got = {r["x"]: r["prob"] for r in cal.apply(spark.createDataFrame([(float(v), float(v)) for v in x], "x double, prob double")).collect()}
+    assert [got[float(v)] for v in x] == pytest.approx(np.interp(x, at, value))
+    step = models.Calibrator("isotonic", at=[0.2, 0.5, 0.5, 0.9], value=[0.1, 0.1, 0.6, 0.6])
+    got = [r["prob"] for r in step.apply(spark.createDataFrame([(0.1,), (0.4,), (0.5,), (0.7,), (None,)], "prob double")).collect()]
+    assert got == pytest.approx([0.1, 0.1, 0.6, 0.6, None])
+
+
 def test_bootstrap_of_one_class_and_of_nothing(spark):
     got = {r["metric"]: r for r in curves.bootstrap(spark.createDataFrame([(0.5, 1, 1)] * 3, "score double, pred int, y int"), 120, score="score").collect()}
     assert got["recall"]["mean"] == 1 and got["roc_auc"]["mean"] is None and got["average_precision"]["mean"] == 1
