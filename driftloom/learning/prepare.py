@@ -95,33 +95,56 @@ def stratum(y: Column, dataset: Column | None = None) -> Column:
     return y.cast("string") if dataset is None else F.concat_ws("_", dataset.cast("string"), y.cast("string"))
 
 
+def _into_fold(held: np.ndarray, counts: np.ndarray, total: np.ndarray) -> int:
+    """The fold that a group goes to, whose counts are added to those held by fold."""
+    folds, strata = held.shape
+    share = (held[None] + np.eye(folds)[:, :, None] * counts) / total
+    # numpy's std and mean, without what they add for a group at a time.
+    apart = share - np.add.reduce(share, axis=1, keepdims=True) / folds
+    cost = (np.add.reduce(np.sqrt(np.add.reduce(apart * apart, axis=1) / folds), axis=1) / strata).tolist()
+    size = np.add.reduce(held, axis=1).tolist()
+    best = min(range(folds), key=lambda k: (round(cost[k], 12), size[k]))
+    held[best] += counts
+    return best
+
+
 def spread_groups(counts: np.ndarray, folds: int) -> np.ndarray:
     """The fold of each group, from its counts by stratum (groups, strata)."""
     total, held, place = counts.sum(axis=0), np.zeros((folds, counts.shape[1])), np.zeros(len(counts), int)
     for i in np.argsort(-counts.std(axis=1), kind="stable"):
-        trial = held[None] + np.eye(folds)[:, :, None] * counts[i]
-        cost = (trial / total).std(axis=1).mean(axis=1)
-        best = min(range(folds), key=lambda k: (round(cost[k], 12), held[k].sum()))
-        held[best] += counts[i]
-        place[i] = best
+        place[i] = _into_fold(held, counts[i], total)
     return place
 
 
 def group_folds(df: DataFrame, group: str, stratum_col: str, folds: int) -> DataFrame:
     """group, fold: whole groups in one fold each, with strata spread evenly.
 
-    Groups are put, the most uneven first, into the fold that keeps the strata's shares most even, then into the smaller.
-    The counts of groups and strata (not the rows) are one task's work, by nature one after the other: a dense table of
-    groups times strata must fit there, 16 MB for a million groups and two strata."""
+    Groups are put, the most uneven first, into the fold that keeps the strata's shares most even, then into the smaller;
+    groups or strata that are null have none. That is by nature one after the other: Spark counts and sorts the groups, and
+    one task takes them as a stream, holding the folds' counts and no more of the groups than a batch."""
     kind = df.schema[group].dataType.simpleString()
-    counts = df.groupBy(F.col(group).alias("g"), F.col(stratum_col).cast("string").alias("s")).agg(F.count("*").alias("n"))
+    known = df.select(F.col(group).alias("g"), F.col(stratum_col).cast("string").alias("s")).filter("g IS NOT NULL AND s IS NOT NULL")
+    counts = materialise(known.groupBy("g", "s").agg(F.count("*").alias("n")), "counts")
+    all_ = sorted((r["s"], r["n"]) for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect())  # a row for each stratum
+    at, total = {s: k for k, (s, _) in enumerate(all_)}, np.array([float(n) for _, n in all_])
+
+    def dense(batches):
+        for pdf in batches:
+            wide = np.zeros((len(pdf), len(at)))
+            for i, own in enumerate(pdf["own"]):
+                for x in own:
+                    wide[i, at[x["s"]]] += x["n"]
+            yield pd.DataFrame({"g": pdf["g"], "_uneven": wide.std(axis=1) if len(at) else 0.0, "_counts": list(wide)})
 
     def assign(batches):
-        table = pd.concat(list(batches), ignore_index=True)
-        wide = table.pivot_table(index="g", columns="s", values="n", fill_value=0, aggfunc="sum").sort_index()
-        yield pd.DataFrame({"g": wide.index.to_numpy(), "fold": spread_groups(wide.to_numpy(float), folds)})
-
-    return counts.coalesce(1).mapInPandas(assign, f"g {kind}, fold int").select(F.col("g").alias(group), "fold")
+        held = np.zeros((folds, len(at)))
+        for pdf in batches:
+            yield pd.DataFrame({"g": pdf["g"], "fold": [_into_fold(held, c, total) for c in pdf["_counts"]]})
+
+    listed = counts.groupBy("g").agg(F.collect_list(F.struct("s", "n")).alias("own"))
+    wide = listed.mapInPandas(dense, f"g {kind}, _uneven double, _counts array<double>")
+    placed = wide.repartition(1).sortWithinPartitions(F.col("_uneven").desc(), "g").mapInPandas(assign, f"g {kind}, fold int")
+    return materialise(placed.select(F.col("g").alias(group), "fold"), "folds")
 
 
 def leave_one_out(df: DataFrame, group: str) -> DataFrame:
