@@ -162,31 +162,45 @@ def share_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def chunk_slices(before: np.ndarray, word: np.ndarray, text: np.ndarray, learn: np.ndarray, units: int, hot: np.ndarray):
-    """(unit, payload) of a chunk's tokens. A unit has whole contexts, but of the hot ones a share of the words after."""
-    names, at = np.unique(np.append(word, START), return_inverse=True)
-    start, w = at[-1], at[:-1].astype(np.uint32)
-    v = np.empty_like(w)
-    v[1:] = w[:-1]
-    v[before == START] = start
-    unit = share_of(before, units).astype(np.uint32)
-    if len(hot):
-        split = np.isin(before, hot)
-        unit[split] = share_of(mix(before[split] * np.uint64(BASE_A) + word[split]), units)
+def chunk_slices(word: np.ndarray, sizes: np.ndarray, learn: np.ndarray, units: int, hot: np.ndarray, most: int = 1 << 18):
+    """(unit, payload) of a chunk's tokens: sizes of them to each text. A unit has whole contexts, but of the hot ones a share
+    of the words after. Units are taken in groups of about most tokens, so that what is made of them stays small."""
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[np.cumsum(sizes) - sizes] = START
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    unit = np.empty(len(word), np.uint32)
+    for a in range(0, len(word), most):
+        v, w = before[a : a + most], word[a : a + most]
+        unit[a : a + most] = share_of(v, units)
+        if len(hot):
+            split = np.isin(v, hot)
+            unit[a : a + most][split] = share_of(mix(v[split] * np.uint64(BASE_A) + w[split]), units)
+    group = (np.cumsum(np.bincount(unit, minlength=units)) // most).astype(np.int32)[unit]
+    for k in range(int(group.max(initial=-1)) + 1):
+        own = np.flatnonzero(group == k)
+        if len(own):
+            yield from unit_payloads(before[own], word[own], text[own], unit[own], learn)
+
+
+def unit_payloads(before: np.ndarray, word: np.ndarray, text: np.ndarray, unit: np.ndarray, learn: np.ndarray):
+    names, at = np.unique(np.concatenate([word, before]), return_inverse=True)
+    w, v = at[: len(word)].astype(np.uint32), at[len(word) :].astype(np.uint32)
+    own, u = np.unique(unit, return_inverse=True)
     bits = int(len(names)).bit_length()
-    key = (unit.astype(np.uint64) << np.uint64(2 * bits)) | (v.astype(np.uint64) << np.uint64(bits)) | w.astype(np.uint64)
+    key = (u.astype(np.uint64) << np.uint64(2 * bits)) | (v.astype(np.uint64) << np.uint64(bits)) | w.astype(np.uint64)
     order = np.argsort(key)
     key, owner = key[order], text[order]
     pair = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     learned = np.add.reduceat(learn[owner].astype(np.int64), pair)
     times = np.diff(np.append(pair, len(key)))
-    v, w, unit = v[order][pair], w[order][pair], unit[order][pair]
-    cuts = np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])), len(unit))
+    v, w, u = v[order][pair], w[order][pair], u[order][pair]
+    cuts = np.append(np.flatnonzero(np.append(True, u[1:] != u[:-1])), len(u))
     for a, b in zip(cuts[:-1], cuts[1:]):
         c = np.flatnonzero(np.append(True, v[a + 1 : b] != v[a : b - 1]))
         local, place = np.unique(w[a:b], return_inverse=True)
         entries = owner[pair[a] : pair[b] if b < len(pair) else len(owner)]
-        yield int(unit[a]), pack(gaps(names[v[a:b][c]]), np.diff(np.append(c, b - a)), gaps(names[local]), place, times[a:b], learned[a:b], entries)
+        yield int(own[u[a]]), pack(gaps(names[v[a:b][c]]), np.diff(np.append(c, b - a)), gaps(names[local]), place, times[a:b], learned[a:b], entries)
 
 
 class Unit:
@@ -304,7 +318,7 @@ def score_texts(docs: DataFrame, learn: Column, text_col: str = "text", params:
     units = max(parts, ceil((rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) / p.unit_bytes))
 
     def heads(batches):
-        for batch in (piece for whole in batches for piece in text_slices(whole, "text")):
+        for batch in (piece for whole in batches for piece in text_slices(whole, "text", 1 << 20)):
             names, n = np.unique(tokens_of(batch.column("text"))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["h", "n"])
 
@@ -318,23 +332,23 @@ def score_texts(docs: DataFrame, learn: Column, text_col: str = "text", params:
 
         def close():
             nonlocal turn
-            sizes = np.concatenate([x[3] for x in held])
-            flags = np.concatenate([x[4] for x in held])
+            sizes = np.concatenate([x[2] for x in held])
+            flags = np.concatenate([x[3] for x in held])
             row = pa.concat_arrays([x[0] for x in held])
-            before, word = (np.concatenate([x[k] for x in held]) for k in (1, 2))
+            word = np.concatenate([x[1] for x in held])
             held.clear()
             number = (TaskContext.get().partitionId() << 24) + turn
             turn += 1
             lists = pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), row)
             counts = pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), pa.array(sizes))
             yield pa.RecordBatch.from_arrays([pa.array([-1 - number % (1 << 30)], pa.int32()), pa.array([number]), pa.array([None], pa.binary()), lists, counts], names)
-            for unit, payload in chunk_slices(before, word, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), flags, units, hot):
+            for unit, payload in chunk_slices(word, sizes, flags, units, hot):
                 yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32()), pa.array([number]), pa.array([payload], pa.binary()), pa.nulls(1, lists.type), pa.nulls(1, counts.type)], names)
 
         names = ["unit", "chunk", "payload", "rows", "tokens"]
-        for batch in (piece for whole in batches for piece in text_slices(whole, "text")):
-            before, word, text = tokens_of(batch.column("text"))
-            held.append((batch.column("row"), before, word, np.bincount(text, minlength=batch.num_rows), batch.column("learn").to_numpy(zero_copy_only=False)))
+        for batch in (piece for whole in batches for piece in text_slices(whole, "text", 1 << 20)):
+            _, word, text = tokens_of(batch.column("text"))
+            held.append((batch.column("row"), word, np.bincount(text, minlength=batch.num_rows), batch.column("learn").to_numpy(zero_copy_only=False)))
             size += 6 * len(word)  # a word and a blank, about
             if size >= p.chunk_bytes:
                 yield from close()

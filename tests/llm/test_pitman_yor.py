@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.llm.packing import gaps, pack, unpack
-from driftloom.llm.pitman_yor import PitmanYorParams, Restaurants, Totals, discount_of, draw_tables, perplexities, score_texts, stirling_logs, table_mean_spread
+from driftloom.llm.pitman_yor import PitmanYorParams, Restaurants, Totals, chunk_slices, discount_of, draw_tables, perplexities, score_texts, stirling_logs, table_mean_spread
 from driftloom.llm.queries import op11_lm_scoring
 
 from . import brute
@@ -261,3 +262,21 @@ def test_packed_arrays_come_back():
     arrays = [np.sort(rng.integers(0, 1 << 63, 50).astype(np.uint64)), np.array([0, 255]), np.array([70_000]), rng.random(9), np.zeros(0, np.int64)]
     back = unpack(pack(gaps(arrays[0]), *arrays[1:]))
     assert (np.cumsum(back[0]) == arrays[0]).all() and all((a == b).all() and len(a) == len(b) for a, b in zip(arrays[1:], back[1:]))
+
+
+def test_chunks_are_sorted_by_groups_of_units():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 50_000).astype(np.uint64) * np.uint64(2)
+    word, sizes = pool[(rng.pareto(1.0, 1_000_000) * 20).astype(np.int64) % len(pool)], np.full(1000, 1000)
+    learn, hot = np.arange(1000) % 5 != 1, np.sort(pool[:3])
+    tracemalloc.start()
+    count = pairs = 0
+    for _, data in chunk_slices(word, sizes, learn, 40, hot, 1 << 16):
+        count, pairs = count + len(unpack(data)[6]), pairs + len(unpack(data)[3])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * len(word)  # bytes; 63 when a chunk was sorted whole
+    whole = {u: unpack(x) for u, x in chunk_slices(word, sizes, learn, 40, hot, 1 << 30)}
+    parts = {u: unpack(x) for u, x in chunk_slices(word, sizes, learn, 40, hot, 1 << 16)}
+    assert count == len(word) and whole.keys() == parts.keys() and pairs == sum(len(x[3]) for x in whole.values())
+    assert all((a == b).all() for u in whole for a, b in zip(whole[u][:6], parts[u][:6]))  # the seventh lists texts in any order
