@@ -14,6 +14,8 @@ from .simhash import slices
 EDITS = 0.2
 #: Repetitions of the LSH, and symbols of the embedding that one repetition samples.
 REPEATS, SAMPLED = 40, 4
+#: Words of the windows that are compared at once, and bytes of text that are hashed at once.
+WINDOW_WORDS, TEXT_BYTES = 1 << 20, 1 << 19
 #: Characters of items that one pass over the documents holds.
 BLOCK_CHARS = 8 << 20
 
@@ -32,6 +34,15 @@ def words_of(texts) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends) | np.uint64(1), np.searchsorted(starts, offsets)  # 0 stands for no word
 
 
+def words_in_parts(texts) -> tuple[np.ndarray, np.ndarray]:
+    """As words_of(), but the arrays that hold a number for each byte are made for a part of the texts at once."""
+    parts = [words_of(b.column(0)) for b in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", TEXT_BYTES)]
+    if len(parts) < 2:
+        return parts[0] if parts else words_of(texts)
+    start = np.cumsum([0, *(len(words) for words, _ in parts)])
+    return np.concatenate([words for words, _ in parts]), np.concatenate([*(first[:-1] + at for (_, first), at in zip(parts, start)), start[-1:]])
+
+
 def allowed(n: int, share: float) -> int:
     return int(share * n)
 
@@ -106,7 +117,7 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def leaks_in(texts, items: Items) -> tuple[np.ndarray, ...]:
     """(text, item, first word of the window, distance) of the best window of each text for each item within the edits."""
-    words, first = words_of(texts)
+    words, first = words_in_parts(texts)
     counts = np.diff(first)
     spans = []
     for run, (table, item, offset, bits) in items.seeds.items():
@@ -133,8 +144,9 @@ def leaks_in(texts, items: Items) -> tuple[np.ndarray, ...]:
         windows = np.unique(np.stack([np.repeat(text, len(spread)), (shift[:, None] + spread).ravel()]), axis=1)
         windows = windows[:, (windows[1] > -n) & (windows[1] < counts[windows[0]])]
         members, known, owner = items.tables[n]
-        for k in range(0, windows.shape[1], 20000):
-            w = windows[:, k : k + 20000]
+        at_once = max(1, WINDOW_WORDS // n)
+        for k in range(0, windows.shape[1], at_once):
+            w = windows[:, k : k + at_once]
             place = w[1][:, None] + np.arange(n)
             inside = (place >= 0) & (place < counts[w[0]][:, None])
             body = np.where(inside, words[np.where(inside, first[w[0]][:, None] + place, 0)], np.uint64(0))
@@ -146,7 +158,7 @@ def leaks_in(texts, items: Items) -> tuple[np.ndarray, ...]:
             hits = (high - low)[row, rep]
             entry = np.arange(int(hits.sum())) - np.repeat(np.cumsum(hits) - hits, hits) + np.repeat(low[row, rep], hits)
             i, m = np.unique(np.stack([np.repeat(row, hits), owner[entry]]), axis=1)
-            distance = np.concatenate([edit_distances(np.stack([items.words[x] for x in members[m[c : c + 5000]]]), body[i[c : c + 5000]]) for c in range(0, len(i), 5000)])
+            distance = np.concatenate([edit_distances(np.stack([items.words[x] for x in members[m[c : c + at_once]]]), body[i[c : c + at_once]]) for c in range(0, len(i), at_once)])
             ok = distance <= edits
             found.append(np.stack([w[0][i[ok]], members[m[ok]], w[1][i[ok]], distance[ok]]))
     if not found:

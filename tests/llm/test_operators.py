@@ -663,3 +663,20 @@ def test_word_spans_end_at_texts():
     data, offsets = string_bytes(pa.array(["ab", "cd e", None, "", " f"]))
     starts, ends, first = word_spans(data, offsets)
     assert [bytes(data[a:b]).decode() for a, b in zip(starts, ends)] == ["ab", "cd", "e", "f"] and first.tolist() == [0, 1, 3, 3, 3, 4]
+
+
+def test_words_of_leaks_are_hashed_in_bounded_memory():
+    """Arrays with a number for each byte were made for a whole slice of texts."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    texts = pa.array([None, "", *(" ".join(f"Wé{k}" for k in rng.integers(0, 90, 2000)) for _ in range(350)), "last"])
+    want = decontamination.words_of(texts)
+    items = decontamination.Items(["a"], ["some other words that are in none of the texts here"])
+    tracemalloc.start()
+    found = decontamination.leaks_in(texts, items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = decontamination.words_in_parts(texts)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and len(got[0]) == len(want[0])
+    assert not len(found[0]) and peak < 100e6
