@@ -4,7 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from driftloom.learning import forest, models
+from pyspark.sql import functions as F
+
+from driftloom.learning import forest, loader, models, ranks, stats
 
 
 def test_a_forest_is_grown_from_counts_of_whole_tables(spark, monkeypatch):
@@ -35,3 +37,34 @@ def test_splits_of_counts_equal_all_cuts():
     impure = lambda c: c.sum() - (c**2).sum() / max(c.sum(), 1)
     every = {(i, k): impure(n[0].sum(axis=0)) - impure(n[i, : k + 1].sum(axis=0)) - impure(n[i, k + 1 :].sum(axis=0)) for i in range(3) for k in range(5) if min(n[i, : k + 1].sum(), n[i, k + 1 :].sum()) >= 1}
     assert gain == pytest.approx(max(every.values())) and every[f, b] == pytest.approx(gain)
+
+
+def test_features_are_ranked_from_one_running_count(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 30_000
+    y = (rng.random(n) < 0.4).astype(int)
+    x = {"weak": y + 4 * rng.normal(size=n), "strong": y + rng.normal(size=n), "stronger": np.round(y + 0.7 * rng.normal(size=n), 1), "none": rng.normal(size=n), "few": np.where(rng.random(n) < 0.5, np.nan, rng.integers(0, 3, n) + y)}
+    frame = pd.DataFrame({"y": y, **x})
+    df = spark.createDataFrame(frame)
+    tested = {r["feature"]: r for r in stats.mann_whitney(df.unpivot("y", list(x), "feature", "v"), "v", "y", ["feature"]).collect()}
+    for f in x:
+        known = frame[["y", f]].dropna()
+        assert tested[f]["rho"] == pytest.approx(np.corrcoef(known[f].rank(), known["y"])[0, 1], abs=1e-12)
+    # p is 0 for both, but one is far surer than the other.
+    assert tested["strong"]["p"] == tested["stronger"]["p"] == 0
+    monkeypatch.setattr(stats, "spearman", None)
+    got = {r["feature"]: r for r in loader.rank_features(df.drop("few"), ["weak", "strong", "stronger", "none"]).collect()}
+    for how in ("correlation", "rank_correlation", "significance"):
+        assert [got[f][how] for f in ("stronger", "strong", "weak", "none")] == [1, 2, 3, 4]
+    monkeypatch.undo()
+    ranks = loader.rank_features(df.withColumn("y", df.y + 2), ["weak", "strong", "none"]).collect()
+    assert {r["feature"]: r["rank_correlation"] for r in ranks} == {"strong": 1, "weak": 2, "none": 3}
+
+
+def test_running_sums_deal_each_value_once(spark):
+    df = spark.createDataFrame([(0, 1.0, 1), (0, 2.0, 0), (0, 1.0, 0), (1, 5.0, 1), (1, 5.0, 1), (1, -3.0, 0), (1, None, 1)], "g long, v double, y long")
+    t = ranks.running(df, "v", {"ones": F.sum("y"), "n": F.count("*")}, ["g"])
+    assert sorted(map(tuple, t.collect())) == [(0, 1.0, 1, 2, 1, 2), (0, 2.0, 0, 1, 1, 3), (1, -3.0, 0, 1, 0, 1), (1, 5.0, 2, 2, 2, 3)]
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning" in line and " v#" in line]
+    assert len(dealt) == 1  # the ends and the cells' totals are no sums of each value
