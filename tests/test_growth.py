@@ -68,3 +68,30 @@ def test_running_sums_deal_each_value_once(spark):
     plan = t._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning" in line and " v#" in line]
     assert len(dealt) == 1  # the ends and the cells' totals are no sums of each value
+
+
+@pytest.mark.parametrize("kind", ["sigmoid", "isotonic"])
+def test_calibrators_take_equal_scores_as_one_row(spark, kind, monkeypatch):
+    rng = np.random.default_rng(9)
+    q = rng.integers(1, 20, 4000) / 20
+    y = (rng.random(4000) < q**2).astype(int)
+    held, write = [], models.materialise
+    monkeypatch.setattr(models, "materialise", lambda df, name: held.append(write(df, name)) or held[-1])
+    cal = models.fit_calibrator(spark.createDataFrame(pd.DataFrame({"prob": q, "y": y})), kind)
+    assert [h.count() for h in held] == [19]
+    asked = spark.createDataFrame([(0.0,), *((float(v),) for v in np.unique(q)), (1.0,)], "prob double")
+    got = [r[0] for r in cal.apply(asked).coalesce(1).collect()]
+    assert got == sorted(got)
+    assert got[1:-1] == pytest.approx(pd.Series(y).groupby(q).mean().tolist(), abs=0.1)
+
+
+def test_an_objective_scores_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(x):
+        seen.add(1)
+        return x
+
+    df = spark.createDataFrame([(k / 10, int(k > 4)) for k in range(10)], "x double, y int").withColumn("prob", told("x"))
+    assert models.objective(df) == pytest.approx((1 + 1) / 2) and seen.value == 10
