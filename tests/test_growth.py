@@ -95,3 +95,14 @@ def test_an_objective_scores_rows_once(spark):
 
     df = spark.createDataFrame([(k / 10, int(k > 4)) for k in range(10)], "x double, y int").withColumn("prob", told("x"))
     assert models.objective(df) == pytest.approx((1 + 1) / 2) and seen.value == 10
+
+
+def test_samples_are_made_by_as_many_tasks_as_they_need(spark, tmp_path, monkeypatch):
+    from driftloom import queries_signal
+    from driftloom.functions import storage
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 1000)
+    spark.range(queries_signal.HOST * 4).select(F.col("id").alias("event_id"), F.lit(1.0).alias("value")).write.parquet(str(tmp_path / "events.parquet"))
+    made = queries_signal.hosts(spark, str(tmp_path), 10)
+    sizes = made.groupBy(F.spark_partition_id()).count().collect()
+    assert made.count() == queries_signal.HOST * 40 and max(r["count"] for r in sizes) <= 1500
