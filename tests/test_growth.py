@@ -6,7 +6,10 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from driftloom.functions import storage
 from driftloom.learning import forest, loader, models, ranks, stats
+from driftloom.operators import timeaxis
+from driftloom.plans import process
 
 
 def test_a_forest_is_grown_from_counts_of_whole_tables(spark, monkeypatch):
@@ -106,3 +109,37 @@ def test_samples_are_made_by_as_many_tasks_as_they_need(spark, tmp_path, monkeyp
     made = queries_signal.hosts(spark, str(tmp_path), 10)
     sizes = made.groupBy(F.spark_partition_id()).count().collect()
     assert made.count() == queries_signal.HOST * 40 and max(r["count"] for r in sizes) <= 1500
+
+
+def test_the_plan_keeps_little_on_disk_and_leaves_even_samples(spark, monkeypatch):
+    """Every step's table and shuffle stayed until the session's end, and samples that were the grid were brought to it."""
+    k = np.arange(3 * 3600)
+    x = np.where(k % 3600 < 1800, 0.3 * np.sin(k), 0.1)
+    pdf = pd.DataFrame({"recording_id": 1 + k % 2, "time": pd.Timestamp("2024-01-01 20:00") + pd.to_timedelta(k // 2 * 10, unit="s"), "x": x, "y": x / 2, "z": 1 - x})
+    cfg = process.ProcessConfig(fs=0.1, lowpass_hz=None, highpass_hz=None, bin_s=60, epoch_s=60, smooth_s=600, still_sd=0.001)
+    made, write = [], storage.materialise
+    monkeypatch.setattr(process, "materialise", lambda df, name: made.append((name, write(df, name))) or made[-1][1])
+    early = pdf.copy()
+    early.loc[[100, 201], "time"] += pd.Timedelta("1s")  # brought back to the grid
+    brought = process.process(spark.createDataFrame(early), cfg)
+    assert [name for name, _ in made].count("signal") == 1
+    monkeypatch.setattr(process.tx, "resample_nearest_struct", None)
+    done = process.process(spark.createDataFrame(pdf), cfg)
+    shown = lambda df: df.orderBy("recording_id", "us").toPandas()
+    pd.testing.assert_frame_equal(shown(done), shown(brought))
+    left = [name for name, df in made if name in ("clean", "signal") and spark._jvm.java.io.File(df._jdf.inputFiles()[0].replace("file:", "").replace("//", "/")).exists()]
+    assert not left
+
+
+def test_places_and_steps_of_a_recording_come_of_its_stretches(spark):
+    rng = np.random.default_rng(3)
+    n = 4000
+    pdf = pd.DataFrame({"id": rng.permutation(n), "recording_id": rng.choice(["a", "b", None], n), "us": np.cumsum(rng.integers(0, 3, n)) * 20_000_000})
+    df = spark.createDataFrame(pdf)
+    w = timeaxis.ordered(["recording_id"], ["us", "id"])
+    want = {r["id"]: r["k"] for r in df.withColumn("k", F.row_number().over(w)).collect()}
+    got = timeaxis.numbered_rows(df, ["recording_id"], ["us", "id"], "k")
+    assert "_span" in got._jdf.queryExecution().optimizedPlan().toString() and {r["id"]: r["k"] for r in got.collect()} == want
+    plain = timeaxis.with_gaps(df, ["recording_id"], ["us", "id"]).filter("gap_us > 0 AND gap_us <= 60000000").groupBy("recording_id").agg(F.count("*").alias("n"), F.round(1e6 / F.avg("gap_us"), 2).alias("r")).collect()
+    told = timeaxis.sample_rate(df, ["recording_id"], ["us", "id"])
+    assert {r["recording_id"]: (r["n_steps"], r["rate_hz"]) for r in told.collect()} == {r["recording_id"]: (r["n"], r["r"]) for r in plain}
