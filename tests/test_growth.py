@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import storage
 from driftloom.learning import forest, loader, models, ranks, stats
-from driftloom.operators import timeaxis
+from driftloom.operators import segments, timeaxis
 from driftloom.plans import process
 
 
@@ -143,3 +143,16 @@ def test_places_and_steps_of_a_recording_come_of_its_stretches(spark):
     plain = timeaxis.with_gaps(df, ["recording_id"], ["us", "id"]).filter("gap_us > 0 AND gap_us <= 60000000").groupBy("recording_id").agg(F.count("*").alias("n"), F.round(1e6 / F.avg("gap_us"), 2).alias("r")).collect()
     told = timeaxis.sample_rate(df, ["recording_id"], ["us", "id"])
     assert {r["recording_id"]: (r["n_steps"], r["rate_hz"]) for r in told.collect()} == {r["recording_id"]: (r["n"], r["r"]) for r in plain}
+
+
+def test_nights_are_found_once(spark, monkeypatch):
+    """Bouts and a night's numbers each sorted all samples anew to find the nights."""
+    k = np.arange(9 * 360)
+    pdf = pd.DataFrame({"recording_id": 1, "us": k * 10_000_000 + 22 * segments.HOUR_US, "x": np.where(k % 30 < 3, 0.9, 0.1), "y": 0.0, "z": 0.0, "wear": True, "sptw": (k > 100) & (k < 3000), "sleep_bout": k % 7 > 2})
+    done = spark.createDataFrame(pdf)
+    nights = process.nights_of(done)
+    want = process.movements(done).orderBy("start_us").collect()
+    monkeypatch.setattr(process, "nights_of", None)
+    bouts = process.movements(done, nights=nights)
+    assert len(want) > 10 and bouts.orderBy("start_us").collect() == want
+    assert process.global_features(done, bouts, nights=nights).count() == 1
